@@ -45,7 +45,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=8)
 def _seeded(seed: int) -> tuple[np.ndarray, int]:
     rng = np.random.default_rng(seed)
-    return rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1), int(rng.integers(2**40, 2**62)) * 8 + 5
+    return rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1), (int(rng.integers(2**40, 2**62)) * 8 + 5) % 2**64
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
