@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeated
+
+    out = remove_repeated(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op5_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import passages, spans
+
+    return spans(passages(_table(spark, sf_dir, "documents")))
+
+
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leaks
 
@@ -39,10 +53,27 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_repeated_windows": op2_repeated_windows,
     "op3_benchmark_leaks": op3_benchmark_leaks,
+    "op5_suffix_passages": op5_suffix_passages,
     "op7_bin_slack_packing": op7_bin_slack_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+WINDOW_SQL = """
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM t WHERE len(ws) >= 35),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS g FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM k) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM r),
+g AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
+f AS (SELECT t.doc_id, len(ws) AS n, list_filter(range(1, len(ws) + 1), p -> gone IS NULL OR NOT list_contains(gone, p)) AS kept, ws FROM t LEFT JOIN g ON t.doc_id = g.doc_id)
+SELECT doc_id, n::BIGINT AS n_words, (n - len(kept))::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_transform(kept, p -> ws[p]), ' '), '')) AS kept_sha256
+FROM f
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_repeated_windows": WINDOW_SQL,
+}
