@@ -4,20 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica.llm.decontaminate import without_leaks
+from lattica.llm.jaccard_join import one_of_each
+from lattica.llm.packing import pack
 from lattica.llm.quality import keep_good
 from lattica.llm.shared import written
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+from lattica.llm.suffix_dedup import without_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Documents that the base rule or the certified thresholds reject go."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked at Jaccard 0.8 the one with the smallest id stays."""
+    return one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more stay at their first occurrence only."""
+    return without_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within its error budget go."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of at most 4096 tokens."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
 
-#: SQL can express neither the thresholds' choice nor the packing; tests compare brute-force versions.
+#: SQL can express neither the choice of thresholds nor the packing; tests compare brute-force versions.
 ORACLE_SQL = None
 
 
