@@ -62,15 +62,15 @@ QUERIES: dict[str, Query] = {
 }
 
 WINDOW_SQL = """
-WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 w AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM t WHERE len(ws) >= 35),
 k AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS g FROM w),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM k) WHERE n > 1),
 c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM r),
 g AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
-f AS (SELECT t.doc_id, len(ws) AS n, list_filter(range(1, len(ws) + 1), p -> gone IS NULL OR NOT list_contains(gone, p)) AS kept, ws FROM t LEFT JOIN g ON t.doc_id = g.doc_id)
+f AS (SELECT t.doc_id, len(ws) AS n, list_filter(range(1, len(ws) + 1), lambda p: gone IS NULL OR NOT list_contains(gone, p)) AS kept, ws FROM t LEFT JOIN g ON t.doc_id = g.doc_id)
 SELECT doc_id, n::BIGINT AS n_words, (n - len(kept))::BIGINT AS n_removed,
-       sha256(coalesce(array_to_string(list_transform(kept, p -> ws[p]), ' '), '')) AS kept_sha256
+       sha256(coalesce(array_to_string(list_transform(kept, lambda p: ws[p]), ' '), '')) AS kept_sha256
 FROM f
 """
 
