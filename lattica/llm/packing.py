@@ -26,7 +26,7 @@ from .words import segments
 
 BUCKETS = 256
 #: Distinct words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class WordIds:
@@ -42,19 +42,39 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
         self.end = np.array([end], dtype="<u4").tobytes()
 
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, ...]:
+        """What the pre-tokenizer cuts a word into, as far as that is plain: letters, and a comma or stop after them."""
+        core, last = (word[:-1], word[-1:]) if word[-1:] in (b",", b".") else (word, b"")
+        if not core.isascii():
+            if not last or not core.decode("utf-8", "replace")[-1].isalpha():
+                return (word,)
+        elif core.isalpha():
+            core = core.lower()
+        else:
+            return (word,)
+        return (core, last) if last else (core,)
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids, little-endian unsigned 32-bit, and the end id."""
         split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
+        words = set().union(*split) if split else set()
+        new = words.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+            self.parts.clear()
+            new = words
+        cut = {w: self._parts(w) for w in new}
+        missing = list({p for parts in cut.values() for p in parts}.difference(self.parts))
+        for at in range(0, len(missing), 20_000):
+            part = missing[at : at + 20_000]
             for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
+                self.parts[word] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, parts in cut.items():
+            self.known[w] = self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[p] for p in parts])
         get = self.known.__getitem__
         return [b"".join(map(get, words)) + self.end for words in split]
 
