@@ -50,7 +50,7 @@ class WordIds:
         """What the pre-tokenizer cuts a word into, as far as that is plain: letters, and a comma or stop after them."""
         core, last = (word[:-1], word[-1:]) if word[-1:] in (b",", b".") else (word, b"")
         if not core.isascii():
-            if not last or not core.decode("utf-8", "replace")[-1].isalpha():
+            if not last or not core.decode("utf-8", "replace")[-1].lower().isalpha():  # lower-casing may end in a mark
                 return (word,)
         elif core.isalpha():
             core = core.lower()
