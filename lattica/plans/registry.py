@@ -1,6 +1,797 @@
-"""All queries over the driver's tables and their SQL twins."""
+"""All queries over the driver's tables and their SQL twins.
+
+The tables hold no images, so embeddings stand in for 8 x 8 gray tiles and for descriptors,
+suppliers that share orders for the image graph, and line items for pixels on a canvas.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lattica.functions import tiles as t
+from lattica.operators import control_points, duplicates, features, filters, graph, layout, matching, pairs, quality, raster, seams
+from lattica.plans.tables import written
+from lattica.sources import images as sources
+from lattica.streaming import events as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        name = f.__name__
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(c, name: str | None = None):
+    c = F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return c.alias(name) if name else c
+
+
+# ---- tiles and quality -------------------------------------------------------------------------
+
+PX = """WITH px AS (SELECT vec_id AS image_id, (i // 8)::INT AS y, (i % 8)::INT AS x,
+  floor(greatest(0, least(255, (embedding[i + 1]::DOUBLE + 0.5) * 255)))::INT AS g FROM embeddings, range(64) r(i))"""
+NEAR = """, k3(dy, dx) AS (SELECT a, b FROM range(-1, 2) r1(a), range(-1, 2) r2(b)),
+nb AS (SELECT p.image_id, p.y, p.x, p.g AS c, k.dy, k.dx, n.g FROM px p CROSS JOIN k3 k JOIN px n ON n.image_id = p.image_id
+  AND n.y = CASE WHEN p.y + k.dy < 0 THEN 1 WHEN p.y + k.dy > 7 THEN 6 ELSE p.y + k.dy END
+  AND n.x = CASE WHEN p.x + k.dx < 0 THEN 1 WHEN p.x + k.dx > 7 THEN 6 ELSE p.x + k.dx END),
+st AS (SELECT image_id, y, x, any_value(c) AS g,
+  sum(g * CASE WHEN dy = 0 AND dx = 0 THEN -4 WHEN dy = 0 OR dx = 0 THEN 1 ELSE 0 END)::DOUBLE AS lap,
+  sum(g * CASE WHEN dy = 0 AND dx = 0 THEN 8 ELSE -1 END)::DOUBLE AS hp,
+  sum(g * dx * CASE WHEN dy = 0 THEN 2 ELSE 1 END)::DOUBLE AS sx, sum(g * dy * CASE WHEN dx = 0 THEN 2 ELSE 1 END)::DOUBLE AS sy,
+  sum(g * CASE WHEN dy = 0 AND dx = 0 THEN 4 WHEN dy = 0 OR dx = 0 THEN 2 ELSE 1 END)::DOUBLE / 16 AS gauss, sum(g)::DOUBLE / 9 AS box
+  FROM nb GROUP BY image_id, y, x)"""
+QUALITY = PX + NEAR + """, q AS (SELECT image_id, var_pop(lap) AS lv, avg(sqrt(sx * sx + sy * sy)) AS gm, stddev_pop(g) AS sd, stddev_pop(hp) AS ns FROM st GROUP BY image_id),
+sc AS (SELECT image_id, round(0.4::DOUBLE * least(1, lv / 1000) + 0.3::DOUBLE * least(1, gm / 100) + 0.2::DOUBLE * least(1, sd / 100) + 0.1::DOUBLE * (1 - least(1, ns / 50)), 6) AS quality FROM q)"""
+
+
+def tiles(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), t.gray_from_unit(F.col("embedding")).alias("px"))
+
+
+def pixels(tile: DataFrame, value: str = "value") -> DataFrame:
+    p = tile.select("image_id", "width", F.posexplode("px").alias("i", value))
+    return p.select("image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), value)
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return quality.assess(tiles(spark, d)).select("image_id", r6("quality", "quality"))
+
+
+@query(PX + " SELECT image_id, y, x, g AS value FROM px")
+def tile_pixels(spark, d):
+    return pixels(tiles(spark, d))
+
+
+@query(PX + """ SELECT b.image_id, b.y, b.x, round(0.114::DOUBLE * b.g + 0.587::DOUBLE * g.g + 0.299::DOUBLE * r.g, 6) AS value FROM px b
+JOIN px g ON g.image_id = b.image_id + 1 AND g.y = b.y AND g.x = b.x JOIN px r ON r.image_id = b.image_id + 2 AND r.y = b.y AND r.x = b.x WHERE b.image_id % 3 = 0""")
+def gray_convert(spark, d):
+    three = tiles(spark, d).groupBy(F.floor(F.col("image_id") / 3).alias("g")).agg(*[F.max(F.when(F.col("image_id") % 3 == k, F.col("px"))).alias(c) for k, c in enumerate("bxr")])
+    whole = three.filter("b is not null and x is not null and r is not null").select((F.col("g") * 3).alias("image_id"), F.lit(8).alias("width"), F.transform(t.bgr_to_gray(F.col("b"), F.col("x"), F.col("r")), lambda v: F.round(v, 6)).alias("px"))
+    return pixels(whole)
+
+
+@query(PX + NEAR + " SELECT image_id, round(var_pop(lap), 6) AS lapvar FROM st GROUP BY image_id")
+def quality_laplacian_var(spark, d):
+    return tiles(spark, d).select("image_id", r6(quality.laplacian_variance(F.col("px"), 8, 8), "lapvar"))
+
+
+@query(PX + NEAR + " SELECT image_id, round(avg(sqrt(sx * sx + sy * sy)), 6) AS gradient FROM st GROUP BY image_id")
+def quality_gradient_mag(spark, d):
+    return tiles(spark, d).select("image_id", r6(quality.gradient_magnitude(F.col("px"), 8, 8), "gradient"))
+
+
+@query(PX + " SELECT image_id, round(least(1, stddev_pop(g) / 100), 6) AS contrast FROM px GROUP BY image_id")
+def quality_contrast(spark, d):
+    return tiles(spark, d).select("image_id", r6(quality.contrast(F.col("px")), "contrast"))
+
+
+@query(PX + NEAR + " SELECT image_id, round(stddev_pop(hp), 6) AS noise FROM st GROUP BY image_id")
+def quality_noise(spark, d):
+    return tiles(spark, d).select("image_id", r6(quality.noise(F.col("px"), 8, 8), "noise"))
+
+
+@query(QUALITY + " SELECT * FROM sc")
+def quality_score(spark, d):
+    return scored(spark, d)
+
+
+@query(QUALITY + " SELECT image_id, quality, quality < 0.7 AS blurry FROM sc")
+def quality_blurry(spark, d):
+    return scored(spark, d).withColumn("blurry", quality.is_blurry(F.col("quality"), 0.7))
+
+
+@query(QUALITY + ", n AS (SELECT count(*) FILTER (quality >= 0.99) AS n FROM sc) SELECT image_id, quality FROM sc, n WHERE quality >= 0.99 OR (n = 0 AND quality >= 0.1)")
+def quality_filter_fallback(spark, d):
+    return quality.keep_good(scored(spark, d), 0.99)
+
+
+@query(QUALITY + " SELECT image_id, quality, row_number() OVER (ORDER BY quality DESC, image_id) - 1 AS rk FROM sc")
+def quality_rank(spark, d):
+    return quality.numbered(scored(spark, d), "image_id", "rk", "quality")
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 50")
+def row_cap(spark, d):
+    return sources.row_cap(table(spark, d, "part").select("p_partkey", "p_name"), 50, "p_partkey")
+
+
+@query("SELECT DISTINCT lower(source) AS path FROM documents")
+def file_scan_order(spark, d):
+    return sources.listed(table(spark, d, "documents").select(F.lower("source").alias("path")))
+
+
+@query(PX + " SELECT count(DISTINCT image_id) AS n, count(*)::BIGINT AS decoded FROM px")
+def memory_estimate(spark, d):
+    return sources.memory_estimate(tiles(spark, d).withColumn("n_channels", F.lit(1))).select("n", "decoded")
+
+
+# ---- duplicates --------------------------------------------------------------------------------
+
+DHASH = PX + ", dh AS (SELECT a.image_id, sum(CASE WHEN b.g > a.g THEN 1::BIGINT << (a.y * 7 + a.x) ELSE 0 END)::BIGINT AS dhash FROM px a JOIN px b ON b.image_id = a.image_id AND b.y = a.y AND b.x = a.x + 1 GROUP BY a.image_id)"
+DCT = PX + """, bs AS (SELECT u, x, CASE WHEN u = 0 THEN sqrt(1 / 8::DOUBLE) ELSE sqrt(2 / 8::DOUBLE) END * cos(pi() * (2 * x + 1) * u / 16) AS w FROM range(8) a(u), range(8) b(x)),
+co AS (SELECT image_id, (v.u * 8 + h.u)::INT AS k, round(sum(g * v.w * h.w), 6) AS c FROM px JOIN bs v ON v.x = px.y JOIN bs h ON h.x = px.x GROUP BY image_id, v.u, h.u),
+me AS (SELECT image_id, median(c) AS m FROM co GROUP BY image_id)"""
+
+
+def hashed(spark, d):
+    h = tiles(spark, d).select("image_id", "px", duplicates.dhash(F.col("px"), 8, 8).alias("dhash"), duplicates.dct(F.col("px"), 8, 8).alias("_c"))
+    return h.select("image_id", "px", "dhash", duplicates.phash_of(F.col("_c")).alias("phash"))
+
+
+@query(DHASH + " SELECT * FROM dh")
+def dhash_bits(spark, d):
+    return tiles(spark, d).select("image_id", duplicates.dhash(F.col("px"), 8, 8).alias("dhash"))
+
+
+@query(DCT + " SELECT image_id, count(*) FILTER (c > m)::INT AS ones FROM co JOIN me USING (image_id) GROUP BY image_id")
+def phash_bits(spark, d):
+    return hashed(spark, d).select("image_id", F.bit_count("phash").alias("ones"))
+
+
+def ranked_tiles(spark, d):
+    return tiles(spark, d).withColumn("rk", F.col("image_id"))
+
+
+@query(DHASH + " SELECT a.image_id AS image_i, b.image_id AS image_j, round(1 - bit_count(xor(a.dhash, b.dhash)) / 56::DOUBLE, 6) AS similarity FROM dh a JOIN dh b ON b.image_id BETWEEN a.image_id + 1 AND a.image_id + 30")
+def hash_similarity(spark, d):
+    h = written(dhash_bits(spark, d).withColumn("rk", F.col("image_id")), "hashes")
+    return duplicates.window_pairs(h, 30).select("image_id_i", "image_id_j", r6(duplicates.hash_similarity(F.col("dhash_i"), F.col("dhash_j"), 56), "similarity")).withColumnsRenamed({"image_id_i": "image_i", "image_id_j": "image_j"})
+
+
+NCC = PX + """, nc AS (SELECT a.image_id AS image_i, b.image_id AS image_j, round((corr(a.g, b.g) + 1) / 2, 6) AS ncc FROM px a JOIN px b ON b.y = a.y AND b.x = a.x AND b.image_id BETWEEN a.image_id + 1 AND a.image_id + 30 GROUP BY 1, 2)"""
+
+
+def ncc_pairs(spark, d):
+    p = duplicates.window_pairs(ranked_tiles(spark, d).select("image_id", "px", "rk"), 30)
+    return p.select(F.col("image_id_i").alias("image_i"), F.col("image_id_j").alias("image_j"), r6(duplicates.ncc_similarity(F.col("px_i"), F.col("px_j")), "ncc"))
+
+
+@query(NCC + " SELECT * FROM nc")
+def ncc_similarity(spark, d):
+    return ncc_pairs(spark, d)
+
+
+@query(NCC + " SELECT image_i, image_j, ncc FROM nc WHERE ncc >= 0.68")
+def window_duplicate_edges(spark, d):
+    return ncc_pairs(spark, d).filter("ncc >= 0.68")
+
+
+@query(DHASH.replace("WITH px", "WITH RECURSIVE px") + NCC.removeprefix(PX) + """ SELECT n.image_i, n.image_j,
+round(CASE WHEN ncc > 0.95 THEN greatest(0.3::DOUBLE * s + 0.7::DOUBLE * ncc, 0.98::DOUBLE * ncc) ELSE 0.3::DOUBLE * s + 0.7::DOUBLE * ncc END, 9) AS similarity
+FROM (SELECT nc.*, 1 - bit_count(xor(a.dhash, b.dhash)) / 56::DOUBLE AS s FROM nc JOIN dh a ON a.image_id = image_i JOIN dh b ON b.image_id = image_j) n""")
+def combined_similarity(spark, d):
+    h = written(tiles(spark, d).select("image_id", "px", duplicates.dhash(F.col("px"), 8, 8).alias("dhash"), F.col("image_id").alias("rk")), "hashes")
+    p = duplicates.window_pairs(h, 30)
+    s = duplicates.hash_similarity(F.col("dhash_i"), F.col("dhash_j"), 56)
+    return p.select(F.col("image_id_i").alias("image_i"), F.col("image_id_j").alias("image_j"), F.round(duplicates.combined(s, s, F.round(duplicates.ncc_similarity(F.col("px_i"), F.col("px_j")), 6)), 9).alias("similarity"))
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def greedy_survivors(spark, d):
+    return duplicates.exact_survivors(table(spark, d, "documents"), "text", "doc_id")
+
+
+@query()
+def greedy_window_survivors(spark, d):
+    e = ncc_pairs(spark, d).filter("ncc >= 0.68").select(F.col("image_i").alias("rk_i"), F.col("image_j").alias("rk_j"))
+    return duplicates.greedy_survivors(ranked_tiles(spark, d).select("image_id", "rk"), written(e, "edges"))
+
+
+# ---- pairs -------------------------------------------------------------------------------------
+
+N = "n AS (SELECT count(*) AS n FROM nation), i AS (SELECT n_nationkey::BIGINT AS i, n FROM nation, n)"
+
+
+def nations(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("i"))
+
+
+@query(f"WITH {N} SELECT a.i AS image_i, b.i AS image_j FROM i a JOIN i b ON a.i < b.i")
+def pairs_all(spark, d):
+    return pairs.all_pairs(nations(spark, d), 25)
+
+
+@query(f"WITH {N} SELECT a.i AS image_i, b.i AS image_j FROM i a JOIN i b ON b.i BETWEEN a.i + 1 AND a.i + 12")
+def pairs_window(spark, d):
+    return pairs.windowed(nations(spark, d), 25)
+
+
+@query(f"WITH {N} SELECT a.i AS image_i, b.i AS image_j FROM i a JOIN i b ON b.i = a.i + 1")
+def pairs_chain(spark, d):
+    return pairs.chain(nations(spark, d), 25)
+
+
+@query("""WITH c AS (SELECT count(*)::BIGINT AS n, ceil(sqrt(1.3 * count(*)))::BIGINT AS k FROM part),
+w AS (SELECT n, k, CASE WHEN n <= 30 THEN least(8, n // 3 + 2) WHEN n <= 100 THEN least(6, n // 10 + 3) WHEN n <= 500 THEN 5 ELSE 4 END AS w FROM c),
+o AS (SELECT unnest(range(1, w + 1)) AS o, 1 AS s, n FROM w UNION SELECT unnest([k - 1, k, k + 1]), 1, n FROM w
+ UNION SELECT unnest([2 * k, n // 3, n // 2]), greatest(10, n // 20), n FROM w WHERE n > 50 UNION SELECT unnest([1, 2, k]), greatest(1, n // 10), n FROM w),
+p AS (SELECT p_partkey - 1 AS i FROM part)
+SELECT DISTINCT i AS image_i, i + o AS image_j FROM p, o WHERE i % s = 0 AND i + o < n""")
+def pairs_smart(spark, d):
+    p = table(spark, d, "part").select((F.col("p_partkey") - 1).alias("i"))
+    return pairs.candidates(p, p.count())
+
+
+GRID = "g AS (SELECT n_nationkey::BIGINT AS image_id, (n_nationkey // 5)::INT AS r, (n_nationkey % 5)::INT AS c FROM nation)"
+
+
+def nation_grid(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("image_id"), F.floor(F.col("n_nationkey") / 5).cast("int").alias("row"), (F.col("n_nationkey") % 5).cast("int").alias("col"))
+
+
+@query(f"WITH {GRID} SELECT a.image_id AS image_i, b.image_id AS image_j FROM g a JOIN g b ON a.image_id < b.image_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1")
+def pairs_grid(spark, d):
+    return pairs.grid_pairs(nation_grid(spark, d))
+
+
+# ---- matching ----------------------------------------------------------------------------------
+
+KNN = """WITH e AS (SELECT vec_id, vec_id % 2 AS im, embedding::DOUBLE[] AS v FROM embeddings),
+ds AS (SELECT q.vec_id AS kp_i, t.vec_id AS kp_j, round(list_distance(q.v, t.v), 9) AS distance FROM e q JOIN e t ON q.im = 0 AND t.im = 1),
+kn AS (SELECT *, row_number() OVER (PARTITION BY kp_i ORDER BY distance, kp_j) AS rank FROM ds),
+rt AS (SELECT kp_i, min(kp_j) FILTER (rank = 1) AS kp_j, min(distance) FILTER (rank = 1) AS distance, min(distance) FILTER (rank = 2) AS second FROM kn WHERE rank <= 2 GROUP BY kp_i),
+ok AS (SELECT kp_i, kp_j, distance FROM rt WHERE distance < 0.95::DOUBLE * second)"""
+
+
+def halves(spark, d):
+    return table(spark, d, "embeddings").select((F.col("vec_id") % 2).alias("image_id"), F.col("vec_id").alias("kp_id"), F.col("embedding").alias("descriptor"))
+
+
+def one_pair(spark):
+    return spark.createDataFrame([(0, 1)], "image_i long, image_j long")
+
+
+@query(KNN + " SELECT kp_i, kp_j, round(distance, 6) AS distance, rank::INT AS rank FROM kn WHERE rank <= 2")
+def knn_k2(spark, d):
+    return matching.nearest(halves(spark, d), one_pair(spark)).select("kp_i", "kp_j", r6("distance", "distance"), "rank")
+
+
+@query(KNN + " SELECT kp_i, kp_j, round(distance, 6) AS distance FROM ok")
+def ratio_test(spark, d):
+    return matching.match(halves(spark, d), one_pair(spark), ratio=0.95).select("kp_i", "kp_j", r6("distance", "distance"))
+
+
+BEST = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ds AS (SELECT q.vec_id AS kp_i, t.vec_id AS kp_j, round(list_distance(q.v, t.v), 9) AS distance FROM e q JOIN e t ON q.vec_id <> t.vec_id),
+kn AS (SELECT *, row_number() OVER (PARTITION BY kp_i ORDER BY distance, kp_j) AS rank FROM ds),
+rt AS (SELECT kp_i, min(kp_j) FILTER (rank = 1) AS kp_j, min(distance) FILTER (rank = 1) AS distance, min(distance) FILTER (rank = 2) AS second FROM kn WHERE rank <= 2 GROUP BY kp_i),
+ok AS (SELECT kp_i, kp_j, distance, second FROM rt WHERE distance < 0.95::DOUBLE * second)
+SELECT kp_i AS vec_id, kp_j AS match_id, round(distance, 6) AS distance, round(1 - distance / second, 6) AS confidence FROM ok"""
+
+
+@query(BEST)
+def best_match(spark, d):
+    """Every embedding's best unambiguous match among all others: the packed train side is one image, itself left out."""
+    e = table(spark, d, "embeddings").select(F.lit(0).cast("long").alias("image_id"), F.col("vec_id").alias("kp_id"), F.col("embedding").alias("descriptor"))
+    near = matching.nearest(e, spark.createDataFrame([(0, 0)], "image_i long, image_j long"), 3).filter("kp_i <> kp_j")
+    again = near.withColumn("rank", F.row_number().over(Window.partitionBy("kp_i").orderBy("rank"))).filter("rank <= 2")
+    two = again.groupBy("kp_i").agg(F.min_by("kp_j", "rank").alias("kp_j"), F.min_by("distance", "rank").alias("distance"), F.max_by("distance", "rank").alias("second"), F.count("*").alias("n"))
+    return two.filter((F.col("n") == 2) & (F.col("distance") < 0.95 * F.col("second"))).select(F.col("kp_i").alias("vec_id"), F.col("kp_j").alias("match_id"), r6("distance", "distance"), r6(1 - F.col("distance") / F.col("second"), "confidence"))
+
+
+@query(KNN + ", bk AS (SELECT *, row_number() OVER (PARTITION BY kp_j ORDER BY distance, kp_i) AS back FROM ds) SELECT k.kp_i, k.kp_j, round(k.distance, 6) AS distance FROM kn k JOIN bk b ON b.kp_i = k.kp_i AND b.kp_j = k.kp_j WHERE rank = 1 AND back = 1")
+def cross_check(spark, d):
+    return matching.match(halves(spark, d), one_pair(spark), "disk").select("kp_i", "kp_j", r6("distance", "distance"))
+
+
+@query(KNN + """ SELECT kp_i, kp_j, round(greatest(0, list_cosine_similarity(a.v[17:64], b.v[17:64])), 6) AS colour FROM kn JOIN e a ON a.vec_id = kp_i JOIN e b ON b.vec_id = kp_j
+WHERE rank = 1 AND greatest(0, list_cosine_similarity(a.v[17:64], b.v[17:64])) >= 0.3""")
+def color_verify(spark, d):
+    first = matching.nearest(halves(spark, d), one_pair(spark), 1).drop("rank")
+    return matching.colour_verified(first, halves(spark, d)).select("kp_i", "kp_j", r6("colour", "colour"))
+
+
+@query(KNN + ", c AS (SELECT count(*) AS n FROM ok), m AS (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM e GROUP BY im)) SELECT n AS num_matches, CASE WHEN n < 10 THEN 0 ELSE round(n / m::DOUBLE, 6) END::DOUBLE AS confidence FROM c, m")
+def match_confidence(spark, d):
+    h = halves(spark, d)
+    return matching.confidence(matching.match(h, one_pair(spark), ratio=0.95), h).select("num_matches", r6("confidence", "confidence"))
+
+
+@query()
+def lsh_match(spark, d):
+    """Approximate matches by random projections, for descriptor sets without candidate pairs."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    v = halves(spark, d).select("image_id", "kp_id", array_to_vector(F.transform("descriptor", lambda x: x.cast("double"))).alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.6, numHashTables=4, seed=7).fit(v)
+    joined = model.approxSimilarityJoin(v.filter("image_id = 0"), v.filter("image_id = 1"), 1.2, "distance")
+    return joined.select(F.col("datasetA.kp_id").alias("kp_i"), F.col("datasetB.kp_id").alias("kp_j"), r6("distance", "distance"))
+
+
+# correspondences: places of line items, moved by a known transform of each supplier, every ninth one off
+POINTS = """WITH p AS (SELECT l_suppkey AS image_i, l_suppkey + 1 AS image_j, l_orderkey * 8 + l_linenumber AS kp, l_quantity::DOUBLE AS x1, (l_partkey % 97)::DOUBLE AS y1,
+ (l_orderkey % 9 = 0) AS off FROM lineitem WHERE l_suppkey <= 20),
+c AS (SELECT *, 0.9::DOUBLE * x1 - 0.1::DOUBLE * y1 + image_i + CASE WHEN off THEN 40 + kp % 50 ELSE 0 END AS x2, 0.1::DOUBLE * x1 + 0.9::DOUBLE * y1 - image_i AS y2 FROM p)"""
+
+
+def correspondences(spark, d):
+    p = table(spark, d, "lineitem").filter("l_suppkey <= 20").select(F.col("l_suppkey").alias("image_i"), (F.col("l_suppkey") + 1).alias("image_j"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("kp_i"), F.col("l_quantity").cast("double").alias("x1"), (F.col("l_partkey") % 97).cast("double").alias("y1"), (F.col("l_orderkey") % 9 == 0).alias("off"))
+    x2 = 0.9 * F.col("x1") - 0.1 * F.col("y1") + F.col("image_i") + F.when(F.col("off"), 40 + F.col("kp_i") % 50).otherwise(0)
+    return p.select("image_i", "image_j", "kp_i", F.col("kp_i").alias("kp_j"), "x1", "y1", x2.alias("x2"), (0.1 * F.col("x1") + 0.9 * F.col("y1") - F.col("image_i")).alias("y2"), "off")
+
+
+@query(POINTS + " SELECT image_i, image_j, count(*) AS num_matches, count(*) FILTER (NOT off) AS num_inliers, 0.9::DOUBLE AS a, 0.1::DOUBLE AS b, image_i::DOUBLE AS tx, -image_i::DOUBLE AS ty FROM c GROUP BY image_i, image_j")
+def ransac_inliers(spark, d):
+    r = matching.ransac(correspondences(spark, d), threshold=3.0)
+    return r.select("image_i", "image_j", "num_matches", "num_inliers", *[r6(c, c) for c in ("a", "b", "tx", "ty")])
+
+
+@query(POINTS + """, s AS (SELECT image_i, image_j, count(*) AS n, avg(x1) AS mx, avg(y1) AS my, avg(x2) AS ux, avg(y2) AS uy FROM c WHERE NOT off GROUP BY 1, 2),
+f AS (SELECT s.image_i, s.image_j, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, any_value(ux) AS ux, any_value(uy) AS uy,
+ sum((x1 - mx) * (x2 - ux) + (y1 - my) * (y2 - uy)) / sum((x1 - mx) ** 2 + (y1 - my) ** 2) AS a, sum((x1 - mx) * (y2 - uy) - (y1 - my) * (x2 - ux)) / sum((x1 - mx) ** 2 + (y1 - my) ** 2) AS b
+ FROM c JOIN s USING (image_i, image_j) WHERE NOT off GROUP BY 1, 2)
+SELECT image_i, image_j, n, round(a, 4) AS a, round(b, 4) AS b, round(ux - a * mx + b * my, 4) AS tx, round(uy - b * mx - a * my, 4) AS ty FROM f""")
+def similarity_ls_fit(spark, d):
+    f = matching.similarity_fit(correspondences(spark, d).filter("not off"), ["image_i", "image_j"])
+    return f.select("image_i", "image_j", "n", *[F.round(c, 4).alias(c) for c in ("a", "b", "tx", "ty")])
+
+
+@query(POINTS + " SELECT image_i, image_j, round(median(x2 - x1), 6) AS tx, round(median(y2 - y1), 6) AS ty FROM c GROUP BY 1, 2")
+def translation_median(spark, d):
+    return matching.translation_fit(correspondences(spark, d), ["image_i", "image_j"]).select("image_i", "image_j", r6("tx", "tx"), r6("ty", "ty"))
+
+
+@query(POINTS + " SELECT image_i, image_j, count(*) AS n FROM c WHERE NOT off GROUP BY 1, 2 HAVING count(*) >= 4")
+def refine_matches(spark, d):
+    c = correspondences(spark, d)
+    ids = c.select(F.col("image_i").alias("image_id")).union(c.select("image_j")).distinct()
+    # each image's own frame: what maps to the next one's is identity there
+    moved = c.select("image_i", "image_j", (0.9 * F.col("x1") - 0.1 * F.col("y1") + F.col("image_i")).alias("x1"), (0.1 * F.col("x1") + 0.9 * F.col("y1") - F.col("image_i")).alias("y1"), "x2", "y2")
+    same = ids.select("image_id", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("tx"), F.lit(0.0).alias("ty"))
+    return seams.refine(moved, same).groupBy("image_i", "image_j").agg(F.count("*").alias("n"))
+
+
+@query()
+def bundle_adjust(spark, d):
+    c = correspondences(spark, d).filter("image_i <= 3 and not off").select("image_i", "image_j", "x1", "y1", "x2", "y2")
+    return spark.createDataFrame(seams.bundle_adjust(c)).select("image", *[r6(x, x) for x in ("a", "b", "tx", "ty")])
+
+
+@query(POINTS + " SELECT image_i AS image1_idx, image_j AS image2_idx, count(*) AS n FROM c WHERE x1 < 40 AND y1 < 90 AND x2 >= 0 AND x2 < 60 AND y2 >= 0 AND y2 < 90 GROUP BY 1, 2")
+def control_point_bounds(spark, d):
+    c = correspondences(spark, d)
+    p = c.select(F.col("image_i").alias("image1_idx"), F.col("image_j").alias("image2_idx"), "x1", "y1", "x2", "y2")
+    w = Window.partitionBy()
+    sizes1 = c.select(F.col("image_i").alias("image1_idx")).distinct().select("image1_idx", F.lit(40).alias("w1"), F.lit(90).alias("h1"))
+    del w, sizes1
+    ids = c.select(F.col("image_i").alias("image_id")).union(c.select("image_j")).distinct().select("image_id", F.lit(60).alias("width"), F.lit(90).alias("height"))
+    return control_points.within_bounds(p.filter("x1 < 40"), ids).groupBy("image1_idx", "image2_idx").agg(F.count("*").alias("n"))
+
+
+@query(POINTS + " SELECT image_i, image_j, round(median(x2 - x1), 6) AS tx, round(median(y2 - y1), 6) AS ty FROM c GROUP BY 1, 2")
+def control_point_transforms(spark, d):
+    c = correspondences(spark, d)
+    p = c.select(F.col("image_j").alias("image1_idx"), F.col("image_i").alias("image2_idx"), F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))
+    return control_points.transforms(p, allow_scale=False).select("image_i", "image_j", r6("tx", "tx"), r6("ty", "ty"))
+
+
+# ---- graph -------------------------------------------------------------------------------------
+
+EDGES = """WITH RECURSIVE s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), w AS (SELECT a.l_suppkey AS image_i, b.l_suppkey AS image_j, count(*) AS num_matches FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2),
+c AS (SELECT quantile_cont(num_matches::DOUBLE, 0.989) AS cut FROM w), e AS (SELECT image_i, image_j, num_matches FROM w, c WHERE num_matches >= cut),
+b AS (SELECT image_i AS src, image_j AS dst FROM e UNION ALL SELECT image_j, image_i FROM e), dg AS (SELECT src AS image_id, count(*) AS degree FROM b GROUP BY 1)"""
+REACH = EDGES + """, rc(src, dst) AS (SELECT src, src FROM b UNION SELECT rc.src, b.dst FROM rc JOIN b ON b.src = rc.dst), cc AS (SELECT src AS image_id, min(dst) AS component FROM rc GROUP BY 1)"""
+
+
+def supplier_edges(spark, d, share: float = 0.989):
+    """Suppliers that share orders, linked where they share many: the cut is a percentile of the weights."""
+    s = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    # an order has at most seven lines, so its pairs are made in place instead of by a self-join
+    o = s.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_suppkey")).alias("v")).filter(F.size("v") > 1)
+    p = o.select(F.posexplode("v").alias("k", "image_i"), "v").select("image_i", F.explode(F.slice("v", F.col("k") + 2, F.size("v"))).alias("image_j"))
+    w = written(p.groupBy("image_i", "image_j").agg(F.count("*").alias("num_matches")), "weights")
+    cut = w.agg(F.percentile("num_matches", share).alias("cut"))
+    return written(w.crossJoin(F.broadcast(cut)).filter("num_matches >= cut").drop("cut"), "edges")  # cut: one row
+
+
+@query(EDGES + " SELECT * FROM e")
+def graph_edges(spark, d):
+    return supplier_edges(spark, d)
+
+
+@query(EDGES + " SELECT image_id, degree FROM dg ORDER BY degree DESC, image_id LIMIT 1")
+def degree_reference(spark, d):
+    return graph.reference(supplier_edges(spark, d))
+
+
+@query(EDGES + """, o AS (SELECT image_i, image_j, least(1, 0.5::DOUBLE * (num_matches / 100::DOUBLE) + num_matches / sqrt((x.a + y.a) / 2) * 100 * 0.01::DOUBLE) AS ov FROM e
+ JOIN (SELECT s_suppkey, 900000 + s_suppkey * 1000 AS a FROM supplier) x ON x.s_suppkey = image_i JOIN (SELECT s_suppkey, 900000 + s_suppkey * 1000 AS a FROM supplier) y ON y.s_suppkey = image_j)
+SELECT image_i, image_j, round(ov, 6) AS overlap FROM o WHERE ov BETWEEN 0.1 AND 1""")
+def overlap_filter(spark, d):
+    e = supplier_edges(spark, d).withColumn("confidence", F.col("num_matches") / 100)
+    areas = table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id"), (900000 + F.col("s_suppkey") * 1000).alias("area"))
+    return graph.overlap_band(graph.overlap_estimate(e, areas), 0.1, 1.0).select("image_i", "image_j", r6("overlap", "overlap"))
+
+
+@query(EDGES + " SELECT s_suppkey AS image_id FROM supplier WHERE s_suppkey IN (SELECT src FROM b)")
+def semi_keep(spark, d):
+    return graph.kept_images(table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id")), supplier_edges(spark, d))
+
+
+@query(REACH + " SELECT * FROM cc")
+def connected_components(spark, d):
+    return graph.components(supplier_edges(spark, d))
+
+
+@query(REACH + ", big AS (SELECT component FROM cc GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) SELECT * FROM cc WHERE component IN (SELECT component FROM big)")
+def largest_component(spark, d):
+    return graph.largest_component(supplier_edges(spark, d))
+
+
+@query(EDGES + """, st AS (SELECT image_id FROM dg ORDER BY degree DESC, image_id LIMIT 1), bf(image_id, level) AS (SELECT image_id, 0 FROM st UNION SELECT b.dst, level + 1 FROM bf JOIN b ON b.src = bf.image_id WHERE level < 25)
+SELECT image_id, min(level)::INT AS level FROM bf GROUP BY 1""")
+def bfs_levels(spark, d):
+    e = supplier_edges(spark, d)
+    return graph.bfs(e, graph.reference(e)).select("image_id", "level")
+
+
+@query()
+def transform_compose(spark, d):
+    e = supplier_edges(spark, d)
+    tree = graph.bfs(e, graph.reference(e))
+    t_ = e.select("image_i", "image_j", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), (F.col("image_j") - F.col("image_i")).cast("double").alias("tx"), F.lit(0.0).alias("ty"))
+    return graph.propagate(t_, tree)
+
+
+@query()
+def greedy_cover(spark, d):
+    e = supplier_edges(spark, d).withColumn("confidence", F.col("num_matches") / 200).withColumn("inlier_ratio", F.lit(0.9))
+    return graph.greedy_cover(e)
+
+
+@query()
+def greedy_partition(spark, d):
+    return graph.clusters(supplier_edges(spark, d), 10)
+
+
+@query(EDGES + ", m AS (SELECT s_suppkey, s_suppkey % 4 AS cl FROM supplier) SELECT least(x.cl, y.cl) AS cluster_a, greatest(x.cl, y.cl) AS cluster_b, sum(num_matches)::BIGINT AS links FROM e JOIN m x ON x.s_suppkey = image_i JOIN m y ON y.s_suppkey = image_j WHERE x.cl <> y.cl GROUP BY 1, 2")
+def cluster_links(spark, d):
+    m = table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id"), (F.col("s_suppkey") % 4).alias("cluster"))
+    return graph.cluster_links(supplier_edges(spark, d), m, "num_matches")
+
+
+@query("""WITH RECURSIVE v AS (SELECT s_acctbal / 1000 AS v FROM supplier), a(start) AS (SELECT min(v) FROM v UNION ALL SELECT (SELECT min(v) FROM v WHERE v - a.start > 0.5) FROM a WHERE a.start IS NOT NULL),
+s AS (SELECT start, row_number() OVER (ORDER BY start) - 1 AS cluster, lead(start) OVER (ORDER BY start) AS nx FROM a WHERE start IS NOT NULL)
+SELECT cluster::INT AS cluster, round(start, 6) AS start, (SELECT count(*) FROM v WHERE v >= start AND (nx IS NULL OR v < nx))::INT AS size FROM s""")
+def grid_cluster_1d(spark, d):
+    v = table(spark, d, "supplier").select((F.col("s_acctbal") / 1000).alias("v"))
+    return graph.cluster_1d(v, "v", 0.5).select("cluster", r6("start", "start"), "size")
+
+
+@query(f"WITH {GRID} SELECT image_id, r AS row, c AS col, 1::DOUBLE AS confidence FROM g")
+def grid_detect(spark, d):
+    g = nation_grid(spark, d).select("image_id", (F.col("col") + F.col("row") * 0.01).alias("x"), (F.col("row") + F.col("col") * 0.01).alias("y"))
+    return graph.detect_grid(g)
+
+
+@query(f"WITH {GRID}, m(dr, dc, direction) AS (VALUES (-1, 0, 'up'), (1, 0, 'down'), (0, -1, 'left'), (0, 1, 'right')) SELECT a.image_id, b.image_id AS nbr_id, direction FROM g a, m, g b WHERE b.r = a.r + dr AND b.c = a.c + dc")
+def grid_neighbors(spark, d):
+    return graph.grid_neighbours(nation_grid(spark, d))
+
+
+@query("""WITH p AS (SELECT n_nationkey AS image_id, n_nationkey * 37.0::DOUBLE AS x, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation), r AS (SELECT image_id, (i // 7)::INT AS row, (CASE WHEN (i // 7) % 2 = 0 THEN i % 7 ELSE 6 - i % 7 END)::INT AS col FROM p)
+SELECT image_id, row, col, col * 37.0::DOUBLE AS x, row * 37.0::DOUBLE AS y FROM r""")
+def linear_layout_snake(spark, d):
+    p = table(spark, d, "nation").select(F.col("n_nationkey").alias("image_id"), (F.col("n_nationkey") * F.lit(37.0)).alias("x"))
+    return layout.snake(p, 25)
+
+
+@query("""WITH p AS (SELECT s_suppkey AS image_id, s_suppkey * 10.0::DOUBLE AS cx, (s_suppkey % 7) * 20.0::DOUBLE AS cy FROM supplier), l AS (SELECT min(cx) AS lx, min(cy) AS ly FROM p),
+q AS (SELECT image_id, (cx - lx) * 1.3::DOUBLE AS cx, (cy - ly) * 1.3::DOUBLE AS cy FROM p, l), z AS (SELECT *, trunc(cx - 32)::INT AS x, trunc(cy - 24)::INT AS y FROM q)
+SELECT image_id, (x - min(x) OVER () + 50)::INT AS x, (y - min(y) OVER () + 50)::INT AS y, round(cx, 6) AS center_x, round(cy, 6) AS center_y FROM z""")
+def grid_layout(spark, d):
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id"), (F.col("s_suppkey") * F.lit(10.0)).alias("center_x"), ((F.col("s_suppkey") % 7) * F.lit(20.0)).alias("center_y"), F.lit(64).alias("width"), F.lit(48).alias("height"))
+    return layout.exploded_view(p)
+
+
+# ---- canvas ------------------------------------------------------------------------------------
+
+LAYERS = """WITH l AS (SELECT (l_suppkey % 48)::INT AS y, (l_partkey % 64)::INT AS x, (l_extendedprice / 500)::DOUBLE AS value, l_quantity::DOUBLE AS weight, l_discount::DOUBLE AS q, l_orderkey, l_linenumber FROM lineitem)"""
+
+
+def layers(spark, d):
+    return table(spark, d, "lineitem").select((F.col("l_suppkey") % 48).cast("int").alias("y"), (F.col("l_partkey") % 64).cast("int").alias("x"), (F.col("l_extendedprice") / 500).cast("double").alias("value"), F.col("l_quantity").cast("double").alias("weight"), F.col("l_discount").cast("double").alias("q"), "l_orderkey", "l_linenumber")
+
+
+TIE = ["l_orderkey", "l_linenumber"]
+
+
+def tie():
+    return [F.col(c) for c in TIE]
+
+
+@query("SELECT min(l_partkey) - 50 AS x0, min(l_suppkey) - 50 AS y0, max(l_partkey) + 8 + 50 AS x1, max(l_suppkey) + 8 + 50 AS y1 FROM lineitem")
+def bbox(spark, d):
+    b = table(spark, d, "lineitem").select(F.col("l_partkey").alias("x0"), F.col("l_suppkey").alias("y0"), (F.col("l_partkey") + 8).alias("x1"), (F.col("l_suppkey") + 8).alias("y1"))
+    return raster.bounds(b)
+
+
+@query(LAYERS + " SELECT y, x, count(*) AS layers FROM l WHERE x BETWEEN 8 AND 39 AND y BETWEEN 4 AND 19 GROUP BY 1, 2")
+def canvas_clip(spark, d):
+    return raster.coverage(raster.clipped(layers(spark, d), 8, 4, 40, 20))
+
+
+@query(LAYERS + " SELECT (y - 12)::INT AS y, (x - 16)::INT AS x, count(*) AS layers FROM l WHERE x BETWEEN 16 AND 47 AND y BETWEEN 12 AND 35 GROUP BY 1, 2")
+def canvas_zoom(spark, d):
+    return raster.coverage(raster.zoomed(layers(spark, d), 64, 48, 2.0))
+
+
+@query(LAYERS + " SELECT (min(x) - 5)::INT AS x0, (min(y) - 5)::INT AS y0, (max(x) + 5)::INT AS x1, (max(y) + 5)::INT AS y1 FROM l WHERE value > 150")
+def autocrop(spark, d):
+    return raster.autocrop(layers(spark, d).filter("value > 150"))
+
+
+@query(LAYERS + " SELECT y, x, count(*) AS layers FROM l GROUP BY 1, 2")
+def coverage_count(spark, d):
+    return raster.coverage(layers(spark, d))
+
+
+@query(LAYERS + ", r AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY q DESC, l_orderkey, l_linenumber) AS k FROM l) SELECT y, x, value FROM r WHERE k = 1")
+def blend_first_wins(spark, d):
+    return raster.first_wins(layers(spark, d), [-F.col("q"), *tie()])
+
+
+@query(LAYERS + " SELECT y, x, floor(greatest(0, least(255, round(sum(value * weight) / sum(weight), 6))))::BIGINT AS value, sum(weight) AS weight FROM l GROUP BY 1, 2")
+def blend_weighted(spark, d):
+    return raster.weighted(layers(spark, d))
+
+
+def feathered(spark, d):
+    # a layer's place within its image: 100 x 100 pixels
+    return layers(spark, d).withColumn("lx", (F.col("l_orderkey") % 100).cast("int")).withColumn("ly", (F.col("l_orderkey") * 7 % 100).cast("int"))
+
+
+@query(LAYERS + """, f AS (SELECT *, least(least(l_orderkey % 100, 99 - l_orderkey % 100, l_orderkey * 7 % 100, 99 - l_orderkey * 7 % 100) / 50::DOUBLE, 1) AS w FROM l)
+SELECT y, x, coalesce(floor(greatest(0, least(255, round(sum(value * w) / nullif(sum(w), 0), 6)))), 0)::BIGINT AS value FROM f GROUP BY 1, 2""")
+def blend_feather(spark, d):
+    return raster.blend(feathered(spark, d), "feather", 100, 100, tie())
+
+
+@query(LAYERS + """, f AS (SELECT *, least(least(l_orderkey % 100, 99 - l_orderkey % 100, l_orderkey * 7 % 100, 99 - l_orderkey * 7 % 100) / 100::DOUBLE, 1) AS w FROM l)
+SELECT y, x, coalesce(floor(greatest(0, least(255, round(sum(value * w) / nullif(sum(w), 0), 6)))), 0)::BIGINT AS value FROM f GROUP BY 1, 2""")
+def blend_multiband(spark, d):
+    return raster.blend(feathered(spark, d), "multiband", 100, 100, tie())
+
+
+@query(LAYERS + """, f AS (SELECT *, (l_orderkey % 100)::DOUBLE AS px, (l_orderkey * 7 % 100)::DOUBLE AS py FROM l), g AS (SELECT *, (1 - 0.3::DOUBLE * sqrt((px - 49.5::DOUBLE) ** 2 + (py - 49.5::DOUBLE) ** 2) / sqrt(49.5::DOUBLE ** 2 * 2)) * 1.2::DOUBLE * least(least(px, 99 - px, py, 99 - py) / 100, 1) AS w FROM f)
+SELECT y, x, coalesce(floor(greatest(0, least(255, round(sum(value * w) / nullif(sum(w), 0), 6)))), 0)::BIGINT AS value FROM g GROUP BY 1, 2""")
+def blend_pixelstitch(spark, d):
+    f = feathered(spark, d).withColumn("_w", raster.pixelstitch_weight(F.col("lx"), F.col("ly"), 100, 100))
+    return raster.weighted(f, weight="_w").select("y", "x", "value")
+
+
+@query(LAYERS + " SELECT y, x, max(value) AS value FROM l GROUP BY 1, 2")
+def blend_max(spark, d):
+    return raster.extreme(layers(spark, d), "max")
+
+
+@query(LAYERS + " SELECT y, x, min(value) AS value FROM l GROUP BY 1, 2")
+def blend_min(spark, d):
+    return raster.extreme(layers(spark, d), "min")
+
+
+@query(LAYERS + " SELECT y, x, round(median(value), 6) AS value FROM l GROUP BY 1, 2")
+def blend_median(spark, d):
+    return raster.median(layers(spark, d)).withColumn("value", r6("value"))
+
+
+@query(LAYERS + ", r AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY value DESC, l_orderkey, l_linenumber) AS k FROM l) SELECT y, x, value, l_orderkey, l_linenumber FROM r WHERE k = 1")
+def blend_strongest(spark, d):
+    return raster.strongest(layers(spark, d), tie())
+
+
+@query(LAYERS + ", r AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY weight DESC, l_orderkey, l_linenumber) AS k FROM l) SELECT y, x, CASE WHEN weight > 0 THEN value ELSE 255 END AS value FROM r WHERE k = 1")
+def blend_argmax(spark, d):
+    return raster.argmax(layers(spark, d), "weight", tie())
+
+
+@query(LAYERS + """, r AS (SELECT *, CASE WHEN value > 100 THEN 255 ELSE value END AS v, row_number() OVER (PARTITION BY y, x ORDER BY weight DESC, l_orderkey, l_linenumber) AS k FROM l),
+t AS (SELECT y, x, max(v) FILTER (k = 1) AS a, max(v) FILTER (k = 2) AS b FROM r WHERE k <= 2 GROUP BY 1, 2) SELECT y, x, CASE WHEN a = 255 AND b IS NOT NULL THEN b ELSE a END AS value FROM t""")
+def blend_top2(spark, d):
+    l_ = layers(spark, d).withColumn("value", F.when(F.col("value") > 100, 255.0).otherwise(F.col("value")))
+    return raster.top_two(l_, "weight", tie())
+
+
+@query(LAYERS + " SELECT y, x, round(sum(value) / count(*), 6) AS value, count(*) > 1 AS overlap FROM l WHERE l_orderkey % 7 = l_linenumber GROUP BY 1, 2")
+def overlap_mask(spark, d):
+    return seams.overlap_mask(layers(spark, d).filter("l_orderkey % 7 = l_linenumber")).withColumn("value", r6("value"))
+
+
+@query("""WITH b AS (SELECT s_suppkey * 300 AS x0, (s_suppkey % 13) * 400 AS y0 FROM supplier) SELECT count(*) AS n, round(((max(x0) + 64 - min(x0)) * (max(y0) + 48 - min(y0))) / (sum(64 * 48) * 0.7::DOUBLE * sqrt(count(*))), 6) AS ratio,
+count(*) >= 5 AND ((max(x0) + 64 - min(x0)) * (max(y0) + 48 - min(y0))) / (sum(64 * 48) * 0.7::DOUBLE * sqrt(count(*))) > 10 AS exploded FROM b""")
+def exploded_check(spark, d):
+    b = table(spark, d, "supplier").select((F.col("s_suppkey") * 300).alias("x0"), ((F.col("s_suppkey") % 13) * 400).alias("y0"))
+    return raster.is_exploded(b.withColumn("x1", F.col("x0") + 64).withColumn("y1", F.col("y0") + 48))
+
+
+@query("SELECT p, round(least((p + 1) / 8::DOUBLE, (32 - p) / 8::DOUBLE, 1), 6) AS weight FROM range(32) r(p)")
+def tile_ramp_weights(spark, d):
+    return spark.range(32).withColumnRenamed("id", "p").select("p", r6(raster.tile_ramp(32, 0.25), "weight"))
+
+
+# ---- filters -----------------------------------------------------------------------------------
+
+
+def filtered(spark, d, f):
+    return pixels(tiles(spark, d).withColumn("px", f(F.col("px"))))
+
+
+@query(PX + NEAR + " SELECT image_id, y, x, floor(greatest(0, least(255, round(1.5::DOUBLE * g - 0.5::DOUBLE * gauss, 6))))::INT AS value FROM st")
+def unsharp(spark, d):
+    return filtered(spark, d, lambda p: filters.unsharp(p, 8, 8, 0.5))
+
+
+@query(PX + NEAR + " SELECT image_id, y, x, floor(greatest(0, least(255, round(g - 0.3::DOUBLE * lap, 6))))::INT AS value FROM st")
+def laplacian_sharpen(spark, d):
+    return filtered(spark, d, lambda p: filters.laplacian_sharpen(p, 8, 8, 0.3))
+
+
+@query(PX + NEAR + " SELECT image_id, y, x, floor(greatest(0, least(255, round(0.5::DOUBLE * g + 0.5::DOUBLE * least(255, g / greatest(round(box, 9), 1) * 128), 5))))::INT AS value FROM st")
+def shadow_normalize(spark, d):
+    return filtered(spark, d, lambda p: F.zip_with(p, t.convolve(p, 8, 8, t.BOX), lambda v, b: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(0.5 * v + 0.5 * F.least(F.lit(255.0), v / F.greatest(F.round(b, 9), F.lit(1.0)) * 128), 5)))).cast("int")))
+
+
+@query(PX + """, q AS (SELECT image_id, quantile_cont(g::DOUBLE, 0.01) AS lo, quantile_cont(g::DOUBLE, 0.99) AS hi FROM px GROUP BY 1)
+SELECT image_id, y, x, CASE WHEN hi > lo THEN floor(greatest(0, least(255, round((g - lo) * 255 / (hi - lo), 6))))::INT ELSE g END AS value FROM px JOIN q USING (image_id)""")
+def percentile_stretch(spark, d):
+    return pixels(filters.percentile_stretch(tiles(spark, d)))
+
+
+@query(PX + ", m AS (SELECT image_id, min(g) AS a, max(g) AS b FROM px GROUP BY 1) SELECT image_id, y, x, CASE WHEN b > a THEN round(110 + (g - a) * 36.0::DOUBLE / (b - a), 6) ELSE 110 END AS value FROM px JOIN m USING (image_id)")
+def minmax_normalize(spark, d):
+    return filtered(spark, d, lambda p: filters.minmax(p, 110, 146))
+
+
+@query(PX + ", m AS (SELECT image_id, avg(g) AS m FROM px GROUP BY 1) SELECT image_id, y, x, round(g - (m - 128) / 2, 6) AS value FROM px JOIN m USING (image_id)")
+def gray_world(spark, d):
+    return filtered(spark, d, filters.gray_world)
+
+
+@query(PX + ", b AS (SELECT image_id, (g // 16)::INT AS bin, count(*) / 64::DOUBLE AS share FROM px GROUP BY 1, 2), a AS (SELECT vec_id AS image_id, k::INT AS bin FROM embeddings, range(16) r(k)) SELECT image_id, bin, round(coalesce(share, 0), 6) AS share FROM a LEFT JOIN b USING (image_id, bin)")
+def histogram_descriptor(spark, d):
+    return tiles(spark, d).select("image_id", F.posexplode(filters.histogram(F.col("px"))).alias("bin", "share")).withColumn("share", r6("share"))
+
+
+@query(PX + " SELECT image_id, (2 * y + a)::INT AS y, (2 * x + b)::INT AS x, g AS value FROM px, range(2) r1(a), range(2) r2(b)")
+def upscale(spark, d):
+    return pixels(tiles(spark, d).select("image_id", F.lit(16).alias("width"), filters.upscale_nearest(F.col("px"), 8, 8, 2).alias("px")))
+
+
+@query()
+def clahe(spark, d):
+    return pixels(filters.applied(tiles(spark, d), filters.clahe))
+
+
+@query()
+def nlmeans(spark, d):
+    return pixels(filters.applied(tiles(spark, d), filters.nl_means))
+
+
+@query()
+def wiener_deblur(spark, d):
+    return pixels(filters.applied(tiles(spark, d), filters.wiener))
+
+
+@query()
+def inpaint(spark, d):
+    return pixels(filters.applied(tiles(spark, d).withColumn("px", F.transform("px", lambda v: F.when(v > 200, 255).otherwise(v))), filters.inpaint))
+
+
+@query()
+def post_process(spark, d):
+    return pixels(filters.post_process(tiles(spark, d), 8, 8, shadow=0.3, denoise=True, equalise=True, sharpen=0.5, upscale=2))
+
+
+@query()
+def kmeans_boundary(spark, d):
+    """Pixels whose right neighbour is in another of eight value clusters (seeded)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    p = VectorAssembler(inputCols=["value"], outputCol="v").transform(written(pixels(tiles(spark, d)), "pixels"))
+    k = KMeans(k=8, featuresCol="v", predictionCol="label", seed=3, maxIter=5).fit(p).transform(p)
+    nxt = F.lead("label").over(Window.partitionBy("image_id", "y").orderBy("x"))
+    return k.select("image_id", "y", "x", F.coalesce(nxt != F.col("label"), F.lit(False)).alias("boundary"))
+
+
+@query()
+def seam_dp(spark, d):
+    return seams.seams(tiles(spark, d))
+
+
+@query()
+def seam_problem_regions(spark, d):
+    return seams.problem_regions(tiles(spark, d), mask_above=130)
+
+
+# ---- features ----------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 5")
+def topk_by_response(spark, d):
+    return features.top_by_response(table(spark, d, "events"), 5, "user_id", "value", "event_id").select("user_id", "event_id", "value")
+
+
+@query("""WITH n AS (SELECT CASE WHEN count(DISTINCT l_suppkey) > 100 THEN 20 WHEN count(DISTINCT l_suppkey) > 50 THEN 30 ELSE 50 END AS cap FROM lineitem),
+r AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber FROM r, n WHERE k <= cap""")
+def adaptive_feature_cap(spark, d):
+    l_ = table(spark, d, "lineitem")
+    n = l_.select("l_suppkey").distinct().count()
+    cap = features.adaptive_cap(n, 5000) // 100
+    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
+    return l_.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap).select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query()
+def detect_features(spark, d):
+    return features.detect(tiles(spark, d)).select("image_id", "kp_id", "x", "y", r6("response", "response"))
+
+
+@query()
+def dense_keypoints(spark, d):
+    return features.detector("dense")(tiles(spark, d)).select("image_id", "kp_id", "x", "y")
+
+
+@query(PX + """, k AS (SELECT image_id, y AS ky, x AS kx FROM px WHERE y % 4 = 2 AND x % 4 = 2), h AS (SELECT k.image_id, ky, kx, (p.g // 16)::INT AS bin, count(*) AS n FROM k JOIN px p ON p.image_id = k.image_id AND abs(p.y - ky) <= 1 AND abs(p.x - kx) <= 1 GROUP BY 1, 2, 3, 4)
+SELECT image_id, ((ky // 4) * 2 + kx // 4)::BIGINT AS kp_id, bin, round(n / 9::DOUBLE, 6) AS share FROM h""")
+def keypoint_histograms(spark, d):
+    p = pixels(tiles(spark, d))
+    k = p.filter("y % 4 = 2 and x % 4 = 2").select("image_id", (F.floor(F.col("y") / 4) * 2 + F.floor(F.col("x") / 4)).alias("kp_id"), F.col("x").cast("double"), F.col("y").cast("double"))
+    h = features.colour_histograms(k, p, 1)
+    return h.select("image_id", "kp_id", F.posexplode("histogram").alias("bin", "share")).filter("share > 0").withColumn("share", r6("share"))
+
+
+# ---- extensions: not operators of image sets -----------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_windows(spark, d):
+    return streams.tumbling(table(spark, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(spark, d):
+    return streams.sessions(table(spark, d, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_counts(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
