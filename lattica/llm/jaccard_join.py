@@ -4,9 +4,10 @@
 2. Shingles get one global order in which common ones come last. Two sets that reach the
    similarity share a shingle among the first n - ceil(0.8 n) + 1 of each, their prefixes.
 3. Prefix shingles that several nodes have make groups. Members of a group are compared with one
-   leader first, then, while groups still span several components, with further leaders; what is
-   then left is compared pair by pair across components, so that no link is lost while members
-   of large groups of copies are not all paired.
+   leader first, then, while groups still span several components, with further leaders. Of pairs
+   left across components those stay candidates that share enough prefix shingles to reach the
+   similarity at all, so no link is lost while members of large groups of copies are not all
+   paired.
 4. Every candidate is verified on the whole sets, computed again from the texts.
 """
 
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Sketch, sketch, written
@@ -25,9 +26,9 @@ from .words import NON_BLANK, U64, Words, inside, mix, rolling, segments
 SHINGLE = 5
 PER_CENT = 80
 #: Frequent shingles whose counts are known to all tasks, at most; others count as rare in the order.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
 #: Leaders tried before what is left is compared pair by pair.
-ROUNDS = 2
+ROUNDS = 3
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +67,7 @@ def _scan(df: DataFrame, row_id: str) -> DataFrame:
             nonlocal pending, held
             values, counts = np.unique(np.concatenate(pending), return_counts=True)
             pending, held = [], 0
-            often = counts >= 4
+            often = counts >= 2
             n = int(often.sum())
             return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.array(np.ones(n, np.int32))], names=names) if n else None
 
@@ -237,7 +238,7 @@ def linked(df: DataFrame, row_id: str = "doc_id") -> DataFrame:
     scanned = written(_scan(df, row_id), "shingle-scan")
     nodes = scanned.filter("kind = 0").select(F.col("_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
-    top = scanned.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "node").limit(FREQUENT).toArrow()
+    top = scanned.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "node").limit(FREQUENT).toArrow()
     values = top.column("node").to_numpy().view(np.uint64) if top.num_rows else np.zeros(0, np.uint64)
     order = np.argsort(values)
     ranks = np.log2(np.maximum(top.column("n").to_numpy(), 1)).astype(np.uint8) if top.num_rows else np.zeros(0, np.uint8)
@@ -269,25 +270,44 @@ def linked(df: DataFrame, row_id: str = "doc_id") -> DataFrame:
     texts = written(picked.join(one.select(F.col("_id").alias("_one"), F.col("node").alias("_node")), (F.col("node") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_one"))).select("node", "text"), "group-texts")
     tested = spark.createDataFrame([], "a long, b long, ok boolean")
     comps = spark.createDataFrame([], "node long, comp long")
-    for turn in range(ROUNDS + 1):
-        held = groups.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        prefer = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
-        if turn < ROUNDS:
-            lead = held.groupBy("token").agg(F.min_by(F.struct("node", "comp", "size", "place"), prefer).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", "l")
-            pairs = held.join(lead, "token").filter("comp <> l.comp").selectExpr("node x", "size sx", "place px", "l.node y", "l.size sy", "l.place py")
-        else:
-            mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-            open_ = held.join(mixed, "token", "left_semi")
-            other = open_.selectExpr("token", "node y", "size sy", "place py", "comp cy")
-            pairs = open_.selectExpr("token", "node x", "size sx", "place px", "comp cx").join(other, "token").filter("cx <> cy and x < y")
-        possible = pairs.filter(f"1 + least(sx - px - 1, sy - py - 1) >= {_need('sx', 'sy')}").selectExpr("least(x, y) a", "greatest(x, y) b").distinct()
-        done = written(_verified(possible.join(tested, ["a", "b"], "left_anti"), texts), "verified")
+    def test(pairs: DataFrame) -> bool:
+        """Verify the pairs a, b and merge the components of those that are linked."""
+        nonlocal tested, comps
+        done = written(_verified(pairs.select("a", "b"), texts), "verified")
         if done.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
+            return False
         tested = tested.unionByName(done)
         comps = components(tested.filter("ok"))
+        return True
+
+    def held_by_component() -> DataFrame:
+        return groups.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    for turn in range(ROUNDS):
+        held = held_by_component()
+        prefer = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
+        lead = held.groupBy("token").agg(F.min_by(F.struct("node", "comp", "size", "place"), prefer).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", "l")
+        pairs = held.join(lead, "token").filter("comp <> l.comp").selectExpr("node x", "size sx", "l.node y", "l.size sy")
+        # leaders that share several shingles first; whether others are linked is found below
+        likely = pairs.groupBy("x", "y", "sx", "sy").agg(F.count("*").alias("c")).filter("c >= 1 + 0.05 * sx")
+        likely = likely.selectExpr("least(x, y) a", "greatest(x, y) b").distinct().join(tested, ["a", "b"], "left_anti")
+        if not test(likely):
+            break
+    held = held_by_component()
+    mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    open_ = held.join(mixed, "token", "left_semi").selectExpr("token", "node x", "size sx", "place px", "comp cx")
+    other = open_.selectExpr("token", "x y", "sx sy", "px py", "cx cy")
+    # all common shingles up to the nearer end of both prefixes are counted, so the rest of that set bounds what else is shared
+    after = f"greatest(({PER_CENT} * sx + 99) div 100, ({PER_CENT} * sy + 99) div 100) - 1"
+    common_ = open_.join(other, "token").filter("cx <> cy and x < y").groupBy("x", "y", "sx", "sy").agg(F.count("*").alias("c"))
+    possible = written(common_.filter(f"c + {after} >= {_need('sx', 'sy')}").selectExpr("x a", "y b", "c / least(sx, sy) c").join(tested, ["a", "b"], "left_anti"), "candidates")
+    for best in (1, 8, None):
+        # the likeliest partners of each node first: pairs that are then in one component need no test
+        side = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+        still = possible.join(tested, ["a", "b"], "left_anti").join(side[0], "a", "left").join(side[1], "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)")
+        if best:
+            still = still.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))).filter(F.col("r") <= best)
+        test(still)
     keyed = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = keyed.filter("comp is not null").groupBy("comp").agg(F.min("_id").alias("least"))
     return keyed.join(least, "comp", "left").select(
