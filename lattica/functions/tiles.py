@@ -20,6 +20,11 @@ GAUSS = ((1 / 16, 2 / 16, 1 / 16), (2 / 16, 4 / 16, 2 / 16), (1 / 16, 2 / 16, 1
 BOX = ((1 / 9,) * 3,) * 3
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row, however often the body or its lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def reflect(v: Column, n: Column | int) -> Column:
     last = (F.lit(n) if isinstance(n, int) else n) - 1
     return F.when(v < 0, -v).when(v > last, 2 * last - v).otherwise(v)
@@ -38,27 +43,34 @@ def convolve(px: Column, width: Column | int, height: Column | int, kernel: Sequ
     """3 x 3 correlation with reflected borders."""
     w = F.lit(width) if isinstance(width, int) else width
 
-    def at(i: Column) -> Column:
-        y, x = F.floor(i / w).cast("int"), (i % w).cast("int")
-        total = None
-        for dy, row in enumerate(kernel):
-            for dx, k in enumerate(row):
-                if k:
-                    term = F.lit(float(k)) * F.get(px, (reflect(y + dy - 1, height) * w + reflect(x + dx - 1, width)).cast("int")).cast("double")
-                    total = term if total is None else total + term
-        return total
+    def whole(p: Column) -> Column:
+        def at(i: Column) -> Column:
+            y, x = F.floor(i / w).cast("int"), (i % w).cast("int")
+            total = None
+            for dy, row in enumerate(kernel):
+                for dx, k in enumerate(row):
+                    if k:
+                        term = F.lit(float(k)) * F.get(p, (reflect(y + dy - 1, height) * w + reflect(x + dx - 1, width)).cast("int")).cast("double")
+                        total = term if total is None else total + term
+            return total
+
+        return F.transform(F.sequence(F.lit(0), F.size(p) - 1), at)
+
+    return let(px, whole)
+
 
-    return F.transform(F.sequence(F.lit(0), F.size(px) - 1), at)
+def _moments(a: Column, finish) -> Column:
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0.0).alias("n"))
+    return F.aggregate(a, start, lambda t, v: F.struct((t["s"] + v.cast("double")).alias("s"), (t["q"] + v.cast("double") * v.cast("double")).alias("q"), (t["n"] + 1).alias("n")), finish)
 
 
 def mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size(a)
+    return _moments(a, lambda t: t["s"] / t["n"])
 
 
 def variance(a: Column) -> Column:
     """Population variance, in one pass over sums and squares."""
-    sums = F.aggregate(a, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda t, v: F.struct((t["s"] + v.cast("double")).alias("s"), (t["q"] + v.cast("double") * v.cast("double")).alias("q")))
-    return F.greatest(F.lit(0.0), sums["q"] / F.size(a) - (sums["s"] / F.size(a)) * (sums["s"] / F.size(a)))
+    return _moments(a, lambda t: F.greatest(F.lit(0.0), t["q"] / t["n"] - (t["s"] / t["n"]) * (t["s"] / t["n"])))
 
 
 def deviation(a: Column) -> Column:

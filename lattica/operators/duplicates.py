@@ -31,18 +31,34 @@ def dct(px: Column, n: int, k: int) -> Column:
     """The k x k lowest coefficients of an n x n tile, rounded to 6 digits."""
     basis = F.array(*[F.array(*map(F.lit, row)) for row in dct_basis(n, k)])
 
-    def coefficient(i: Column) -> Column:
-        u, v = F.floor(i / k).cast("int"), (i % k).cast("int")
-        return F.round(F.aggregate(F.sequence(F.lit(0), F.lit(n * n - 1)), F.lit(0.0), lambda s, p: s + F.get(px, p) * F.get(F.get(basis, u), F.floor(p / n).cast("int")) * F.get(F.get(basis, v), (p % n).cast("int"))), 6)
+    def coefficients(g: Column) -> Column:
+        # rows first, then columns: 2 n^3 products instead of n^4
+        def row(i: Column) -> Column:
+            y, v = F.floor(i / k).cast("int"), (i % k).cast("int")
+            return F.aggregate(F.zip_with(F.slice(g, y * n + 1, F.lit(n)), F.get(basis, v), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), coefficient)
+        def both(r: Column) -> Column:
+            def one(i: Column) -> Column:
+                u, v = F.floor(i / k).cast("int"), (i % k).cast("int")
+                column = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda y: F.get(r, y * k + v))
+                return F.round(F.aggregate(F.zip_with(column, F.get(basis, u), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6)
+
+            return F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), one)
+
+        return t.let(F.transform(F.sequence(F.lit(0), F.lit(n * k - 1)), row), both)
+
+    return t.let(px, coefficients)
 
 
 def phash_of(coefficients: Column, k: int = 8) -> Column:
     """Which coefficients exceed their median (the mean of the two middle ones)."""
-    ordered = F.sort_array(coefficients)
-    middle = (F.get(ordered, F.lit(k * k // 2 - 1)) + F.get(ordered, F.lit(k * k // 2))) / 2
-    return _bits(F.transform(coefficients, lambda c: c > middle), k * k)
+    low, high = F.lit(k * k // 2 - 1), F.lit(k * k // 2)
+
+    def bits(c: Column) -> Column:
+        middle = t.let(F.sort_array(c), lambda o: (F.get(o, low) + F.get(o, high)) / 2)
+        return t.let(middle, lambda m: _bits(F.transform(c, lambda v: v > m), k * k))
+
+    return t.let(coefficients, bits)
 
 
 def hash_similarity(a: Column, b: Column, bits: int = 64) -> Column:

@@ -20,49 +20,59 @@ def byte(v: Column) -> Column:
 
 
 def unsharp(px: Column, w: int, h: int, strength: float) -> Column:
-    return F.zip_with(px, t.convolve(px, w, h, t.GAUSS), lambda v, b: byte((1 + strength) * v - strength * b))
+    return t.let(px, lambda p: F.zip_with(p, t.convolve(p, w, h, t.GAUSS), lambda v, b: byte((1 + strength) * v - strength * b)))
 
 
 def laplacian_sharpen(px: Column, w: int, h: int, strength: float) -> Column:
-    return F.zip_with(px, t.convolve(px, w, h, t.LAPLACE), lambda v, l: byte(v - strength * l))
+    return t.let(px, lambda p: F.zip_with(p, t.convolve(p, w, h, t.LAPLACE), lambda v, l: byte(v - strength * l)))
 
 
 def shadow_normalised(px: Column, w: int, h: int, strength: float) -> Column:
     """Value over its surroundings, times 128, mixed with the value by strength."""
-    return F.zip_with(px, t.convolve(px, w, h, t.BOX), lambda v, b: byte((1 - strength) * v + strength * F.least(F.lit(255.0), v / F.greatest(b, F.lit(1.0)) * 128)))
+    return t.let(px, lambda p: F.zip_with(p, t.convolve(p, w, h, t.BOX), lambda v, b: byte((1 - strength) * v + strength * F.least(F.lit(255.0), v / F.greatest(b, F.lit(1.0)) * 128))))
 
 
 def minmax(px: Column, low: float, high: float) -> Column:
-    a, b = F.array_min(px), F.array_max(px)
-    return F.transform(px, lambda v: F.when(b > a, F.round(low + (v - a) * (high - low) / (b - a), 6)).otherwise(F.lit(float(low))))
+    def scaled(p: Column) -> Column:
+        ends = F.struct(F.array_min(p).alias("a"), F.array_max(p).alias("b"))
+        return t.let(ends, lambda e: F.transform(p, lambda v: F.when(e["b"] > e["a"], F.round(low + (v - e["a"]) * (high - low) / (e["b"] - e["a"]), 6)).otherwise(F.lit(float(low)))))
+
+    return t.let(px, scaled)
 
 
 def percentile(px: Column, q: float) -> Column:
     """Linear interpolation between the two nearest ranks."""
-    s, at = F.sort_array(px), (F.size(px) - 1) * F.lit(q)
-    lo = F.floor(at).cast("int")
-    a, b = F.get(s, lo).cast("double"), F.get(s, F.least(lo + 1, F.size(px) - 1)).cast("double")
-    return a + (b - a) * (at - lo)
+
+    def between(s: Column) -> Column:
+        at = (F.size(s) - 1) * F.lit(q)
+        lo = F.floor(at).cast("int")
+        a, b = F.get(s, lo).cast("double"), F.get(s, F.least(lo + 1, F.size(s) - 1)).cast("double")
+        return a + (b - a) * (at - lo)
+
+    return t.let(F.sort_array(px), between)
 
 
 def percentile_stretch(images: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    p = images.withColumn("_lo", percentile(F.col("px"), low)).withColumn("_hi", percentile(F.col("px"), high))
-    return p.withColumn("px", F.transform("px", lambda v: F.when(F.col("_hi") > F.col("_lo"), byte((v - F.col("_lo")) * 255 / (F.col("_hi") - F.col("_lo")))).otherwise(v))).drop("_lo", "_hi")
+    def stretched(p: Column) -> Column:
+        ends = F.struct(percentile(p, low).alias("lo"), percentile(p, high).alias("hi"))
+        return t.let(ends, lambda e: F.transform(p, lambda v: F.when(e["hi"] > e["lo"], byte((v - e["lo"]) * 255 / (e["hi"] - e["lo"]))).otherwise(v)))
+
+    return images.withColumn("px", t.let(F.col("px"), stretched))
 
 
 def gray_world(a: Column) -> Column:
     """Half of the channel's distance from 128 taken off."""
-    return F.transform(a, lambda v: F.round(v - (t.mean(a) - 128) / 2, 6))
+    return t.let(a, lambda p: t.let(t.mean(p), lambda m: F.transform(p, lambda v: F.round(v - (m - 128) / 2, 6))))
 
 
 def histogram(px: Column, bins: int = 16) -> Column:
     """Normalised histogram of values 0..255."""
     size = 256 // bins
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(px, lambda v: F.floor(v / size) == b)) / F.size(px))
+    return t.let(px, lambda p: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(p, lambda v: F.floor(v / size) == b)) / F.size(p)))
 
 
 def upscale_nearest(px: Column, w: int, h: int, factor: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(w * h * factor * factor - 1)), lambda i: F.get(px, (F.floor(F.floor(i / (w * factor)) / factor) * w + F.floor((i % (w * factor)) / factor)).cast("int")))
+    return t.let(px, lambda p: F.transform(F.sequence(F.lit(0), F.lit(w * h * factor * factor - 1)), lambda i: F.get(p, (F.floor(F.floor(i / (w * factor)) / factor) * w + F.floor((i % (w * factor)) / factor)).cast("int"))))
 
 
 def applied(images: DataFrame, run: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

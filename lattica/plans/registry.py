@@ -70,7 +70,8 @@ def pixels(tile: DataFrame, value: str = "value") -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return quality.assess(tiles(spark, d)).select("image_id", r6("quality", "quality"))
+    # written once: later filters and sorts would compute scores again
+    return written(quality.assess(tiles(spark, d)).select("image_id", r6("quality", "quality")), "scores")
 
 
 @query(PX + " SELECT image_id, y, x, g AS value FROM px")
@@ -388,9 +389,6 @@ def bundle_adjust(spark, d):
 def control_point_bounds(spark, d):
     c = correspondences(spark, d)
     p = c.select(F.col("image_i").alias("image1_idx"), F.col("image_j").alias("image2_idx"), "x1", "y1", "x2", "y2")
-    w = Window.partitionBy()
-    sizes1 = c.select(F.col("image_i").alias("image1_idx")).distinct().select("image1_idx", F.lit(40).alias("w1"), F.lit(90).alias("h1"))
-    del w, sizes1
     ids = c.select(F.col("image_i").alias("image_id")).union(c.select("image_j")).distinct().select("image_id", F.lit(60).alias("width"), F.lit(90).alias("height"))
     return control_points.within_bounds(p.filter("x1 < 40"), ids).groupBy("image1_idx", "image2_idx").agg(F.count("*").alias("n"))
 
