@@ -59,7 +59,8 @@ def weighted(layers: DataFrame, value: str = "value", weight: str = "weight", al
     """Weighted mean per cell, clipped and truncated; alpha weighs twice, as in the mask and in the sum; no weight: 0."""
     w = F.col(weight) if alpha is None else F.col(weight) * F.col(alpha) * F.col(alpha)
     s = layers.groupBy(*CELL).agg(F.sum(w * F.col(value)).alias("s"), F.sum(w).alias("w"))
-    return s.select(*CELL, F.coalesce(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(F.col("s") / F.nullif("w", F.lit(0.0)), 6)))), F.lit(0)).cast("long").alias("value"), F.col("w").alias("weight"))
+    mean = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(F.col("s") / F.col("w"), 6))))
+    return s.select(*CELL, F.when(F.col("w") == 0, F.lit(0)).otherwise(mean).cast("long").alias("value"), F.col("w").alias("weight"))
 
 
 def first_wins(layers: DataFrame, order: list[Column], value: str = "value") -> DataFrame:

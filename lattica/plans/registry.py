@@ -577,19 +577,19 @@ def feathered(spark, d):
 
 
 @query(LAYERS + """, f AS (SELECT *, least(least(l_orderkey % 100, 99 - l_orderkey % 100, l_orderkey * 7 % 100, 99 - l_orderkey * 7 % 100) / 50::DOUBLE, 1) AS w FROM l)
-SELECT y, x, coalesce(floor(greatest(0, least(255, round(sum(value * w) / nullif(sum(w), 0), 6)))), 0)::BIGINT AS value FROM f GROUP BY 1, 2""")
+SELECT y, x, (CASE WHEN sum(w) = 0 THEN 0 ELSE floor(greatest(0, least(255, round(sum(value * w) / sum(w), 6)))) END)::BIGINT AS value FROM f GROUP BY 1, 2""")
 def blend_feather(spark, d):
     return raster.blend(feathered(spark, d), "feather", 100, 100, tie())
 
 
 @query(LAYERS + """, f AS (SELECT *, least(least(l_orderkey % 100, 99 - l_orderkey % 100, l_orderkey * 7 % 100, 99 - l_orderkey * 7 % 100) / 100::DOUBLE, 1) AS w FROM l)
-SELECT y, x, coalesce(floor(greatest(0, least(255, round(sum(value * w) / nullif(sum(w), 0), 6)))), 0)::BIGINT AS value FROM f GROUP BY 1, 2""")
+SELECT y, x, (CASE WHEN sum(w) = 0 THEN 0 ELSE floor(greatest(0, least(255, round(sum(value * w) / sum(w), 6)))) END)::BIGINT AS value FROM f GROUP BY 1, 2""")
 def blend_multiband(spark, d):
     return raster.blend(feathered(spark, d), "multiband", 100, 100, tie())
 
 
 @query(LAYERS + """, f AS (SELECT *, (l_orderkey % 100)::DOUBLE AS px, (l_orderkey * 7 % 100)::DOUBLE AS py FROM l), g AS (SELECT *, (1 - 0.3::DOUBLE * sqrt((px - 49.5::DOUBLE) ** 2 + (py - 49.5::DOUBLE) ** 2) / sqrt(49.5::DOUBLE ** 2 * 2)) * 1.2::DOUBLE * least(least(px, 99 - px, py, 99 - py) / 100, 1) AS w FROM f)
-SELECT y, x, coalesce(floor(greatest(0, least(255, round(sum(value * w) / nullif(sum(w), 0), 6)))), 0)::BIGINT AS value FROM g GROUP BY 1, 2""")
+SELECT y, x, (CASE WHEN sum(w) = 0 THEN 0 ELSE floor(greatest(0, least(255, round(sum(value * w) / sum(w), 6)))) END)::BIGINT AS value FROM g GROUP BY 1, 2""")
 def blend_pixelstitch(spark, d):
     f = feathered(spark, d).withColumn("_w", raster.pixelstitch_weight(F.col("lx"), F.col("ly"), 100, 100))
     return raster.weighted(f, weight="_w").select("y", "x", "value")
