@@ -259,7 +259,7 @@ def without_repeats(df: DataFrame) -> DataFrame:
     """
     # texts that occur twice give several equal-keyed rows: one whose words are all kept is the first
     found = passages(df).groupBy("_id", "_key").agg(F.min_by("removed", F.struct(F.length("removed"), "removed")).alias("removed"))
-    both = beside(df, found.filter(F.length("removed") > 0))
+    both = beside(df, found.filter(F.length("removed") > 0).withColumnRenamed("removed", "_removed"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +279,7 @@ def without_repeats(df: DataFrame) -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(at).type) if j == at else c for j, c in enumerate(batch.columns) if batch.schema.names[j] != "_removed"]
             yield pa.RecordBatch.from_arrays(columns, names=[x for x in batch.schema.names if x != "_removed"])
 
-    out = both.withColumnRenamed("removed", "_removed").mapInArrow(cut, df.schema)
+    out = both.mapInArrow(cut, df.schema)
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(df.schema["n_chars"].dataType))
     return out
