@@ -28,7 +28,7 @@ PER_CENT = 80
 #: Frequent shingles whose counts are known to all tasks, at most; others count as rare in the order.
 FREQUENT = 1 << 20
 #: Leaders tried before what is left is compared pair by pair.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -277,7 +277,8 @@ def linked(df: DataFrame, row_id: str = "doc_id") -> DataFrame:
         if done.isEmpty():
             return False
         tested = tested.unionByName(done)
-        comps = components(tested.filter("ok"))
+        if not done.filter("ok").isEmpty():
+            comps = components(tested.filter("ok"))
         return True
 
     def held_by_component() -> DataFrame:
@@ -301,7 +302,7 @@ def linked(df: DataFrame, row_id: str = "doc_id") -> DataFrame:
     after = f"greatest(({PER_CENT} * sx + 99) div 100, ({PER_CENT} * sy + 99) div 100) - 1"
     common_ = open_.join(other, "token").filter("cx <> cy and x < y").groupBy("x", "y", "sx", "sy").agg(F.count("*").alias("c"))
     possible = written(common_.filter(f"c + {after} >= {_need('sx', 'sy')}").selectExpr("x a", "y b", "c / least(sx, sy) c").join(tested, ["a", "b"], "left_anti"), "candidates")
-    for best in (1, 8, None):
+    for best in (1, None):
         # the likeliest partners of each node first: pairs that are then in one component need no test
         side = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
         still = possible.join(tested, ["a", "b"], "left_anti").join(side[0], "a", "left").join(side[1], "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)")
