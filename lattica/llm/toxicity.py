@@ -166,7 +166,8 @@ def scored(df: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str =
 
     kind = df.schema[row_id].dataType.simpleString()
     picked = df.select(F.col(row_id).alias("_row"), F.xxhash64(row_id).alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(pick, f"_row {kind}, _text string")
-    train = picked.join(marked, F.col("_row") == F.col("_id")).select("toxic", "_text")
+    # one plan at every size: labels grow with the input, so they are merged, never broadcast
+    train = picked.join(marked.hint("merge"), F.col("_row") == F.col("_id")).select("toxic", "_text")
     sizes = marked.agg(F.sum("toxic"), F.count("*")).first()
     n_toxic, n_all = sizes[0] or 0, sizes[1]
     top = _counts(train).filter(F.col("toxic") + F.col("ordinary") >= RARE).orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(KNOWN).toArrow()
