@@ -1,10 +1,11 @@
 """Quality rules with risk-controlled thresholds (DataFrame and SQL functions only).
 
 Each rule is a score of the text; a text is rejected when a score reaches the cutoff of its
-stratum. Cutoffs come from labelled rows: a cutoff is allowed only if an exact (Clopper-Pearson)
-binomial bound shows that it rejects at most a given share of good rows of the stratum, at a
-confidence that is divided among all strata, rules and cutoffs tried (Bonferroni). A stratum
-with too few labels to prove that has no cutoff, and nothing of it is rejected by the method.
+stratum. Cutoffs come from labelled rows: a stratum's cutoffs are allowed only if an exact
+(Clopper-Pearson) binomial bound shows that all of them together reject at most a given share of
+its good rows, at a confidence that is divided among the strata (Bonferroni); within a stratum
+they are tried in a fixed sequence, which needs no division. A stratum with too few labels to
+prove that has no cutoff, and nothing of it is rejected by the method.
 """
 
 from __future__ import annotations
@@ -155,40 +156,59 @@ def binomial_tail(k: Column, n: Column, p: float, terms: int = 4096) -> Column:
 
 
 def thresholds(scored: DataFrame, stratum: str, good: str, risk: Risk) -> DataFrame:
-    """For each stratum and rule the cutoff that pays most among those proved safe.
+    """For each stratum the cutoffs that pay most among those proved safe together.
+
+    Steps lower one rule to one cutoff, from the strictest cutoff down and in the order of RULES; a
+    step that is no junk row's first is skipped. Which are left depends on junk rows only, so the
+    tests on good rows have an order fixed beforehand: each tests all steps so far together, at the
+    full alpha and the stratum's share of delta, and the first that fails ends them.
 
     `scored` holds labelled rows with RULES columns and `good` (true: a good row). All rows are
-    counted. Rows: stratum, rule, cutoff, n_good, n_good_rejected, n_junk_rejected.
+    counted. Rows: stratum, rule, cutoff, and for all rules of the stratum together n_good,
+    n_good_rejected, n_junk_rejected.
     """
-    rows = scored.select(
-        F.col(stratum).alias("stratum"),
-        F.col(good).alias("good"),
-        F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("score")) for r in RULES])).alias("x"),
-    ).select("stratum", "good", "x.rule", F.size(F.filter(F.array(*map(F.lit, risk.cutoffs)), lambda c: F.col("x.score") >= c)).alias("reached"))
-    # one row for each stratum, rule and number of cutoffs reached; pre-aggregated before the shuffle
-    counts = rows.groupBy("stratum", "rule", "reached").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("j"))
-    ladder = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(c).alias("cutoff")) for i, c in enumerate(risk.cutoffs)])
+    cutoffs = sorted(risk.cutoffs, reverse=True)
+
+    def missed(rule: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, cutoffs)), lambda c: F.col(rule) < c))
+
+    # for each rule the first of the cutoffs that the score reaches; their number if it reaches none
+    first = F.array(*map(missed, RULES))
+    # one row for each stratum and combination of cutoffs reached; pre-aggregated before the shuffle
+    counts = scored.select(F.col(stratum).alias("stratum"), F.col(good).alias("good"), first.alias("first")).groupBy("stratum", "first").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("j"))
+    every = F.array(*[F.struct(F.lit(i * len(RULES) + r).alias("step"), F.lit(i).alias("at"), F.lit(r).alias("rule")) for i in range(len(cutoffs)) for r in range(len(RULES))])
+
+    def taken(steps: Column) -> Column:
+        return F.array_min(F.transform(F.filter(steps, lambda s: F.get(F.col("first"), s["rule"]) <= s["at"]), lambda s: s["step"]))
+
+    junk = counts.filter("j > 0").withColumn("step", taken(every)).filter("step is not null")
+    plan = junk.groupBy("stratum").agg(F.collect_set("step").alias("_some")).select("stratum", F.filter(every, lambda s: F.array_contains("_some", s["step"])).alias("steps"))
+    # strata without steps test nothing and take no share of delta
+    plan = plan.crossJoin(F.broadcast(plan.agg(F.count("*").alias("strata")))).withColumnRenamed("stratum", "_of")
+    taking = counts.join(plan, F.col("stratum").eqNullSafe(F.col("_of"))).withColumn("taken", taken(F.col("steps")))
     tried = (
-        counts.withColumn("c", F.explode(ladder))
-        .groupBy("stratum", "rule", F.col("c.cutoff").alias("cutoff"))
+        taking.withColumn("s", F.explode("steps"))
+        .groupBy("stratum", "strata", F.col("s.step").alias("step"))
         .agg(
             F.sum("g").alias("n_good"),
-            F.sum(F.when(F.col("reached") > F.col("c.at"), F.col("g")).otherwise(0)).alias("n_good_rejected"),
-            F.sum(F.when(F.col("reached") > F.col("c.at"), F.col("j")).otherwise(0)).alias("n_junk_rejected"),
+            F.sum(F.when(F.col("taken") <= F.col("s.step"), F.col("g")).otherwise(0)).alias("n_good_rejected"),
+            F.sum(F.when(F.col("taken") <= F.col("s.step"), F.col("j")).otherwise(0)).alias("n_junk_rejected"),
         )
     )
-    strata = counts.agg(F.count_distinct(F.struct("stratum")).alias("strata"))
-    level = F.lit(risk.delta / (len(RULES) * len(risk.cutoffs))) / F.col("strata")
-    share = risk.alpha / len(RULES)
-    safe = tried.crossJoin(F.broadcast(strata)).filter(
-        F.when(F.col("n_good_rejected") < share * F.col("n_good"), binomial_tail(F.col("n_good_rejected"), F.col("n_good"), share) <= level).otherwise(False)
+    n, k = F.col("n_good"), F.col("n_good_rejected")
+    safe = F.when(k < risk.alpha * n, binomial_tail(k, n, risk.alpha) <= F.lit(risk.delta) / F.col("strata")).otherwise(False)
+    gain = F.col("n_junk_rejected") - risk.cost * k
+    tested = tried.select("*", safe.alias("safe"), gain.alias("gain")).groupBy("stratum").agg(
+        F.min(F.when(~F.col("safe"), F.col("step"))).alias("failed"),
+        F.array_sort(F.collect_list(F.struct("step", "gain", "n_good", "n_good_rejected", "n_junk_rejected"))).alias("t"),
     )
-    gain = F.col("n_junk_rejected") - risk.cost * F.col("n_good_rejected")
-    return (
-        safe.filter(gain > 0)
-        .groupBy("stratum", "rule")
-        .agg(F.max_by(F.struct("cutoff", "n_good", "n_good_rejected", "n_junk_rejected"), F.struct(gain, F.col("cutoff"))).alias("b"))
-        .select("stratum", "rule", "b.*")
+    proved = F.filter("t", lambda x: (x["gain"] > 0) & F.coalesce(x["step"] < F.col("failed"), F.lit(True)))
+    best = tested.withColumn("p", proved).filter("size(p) > 0").select("stratum", F.filter("p", lambda x: x["gain"] == F.array_max(F.col("p.gain")))[0].alias("b"), "t")
+    names, values = F.array(*map(F.lit, RULES)), F.array(*map(F.lit, cutoffs))
+    each = best.select("stratum", "b", F.explode(F.filter("t", lambda x: x["step"] <= F.col("b.step"))["step"]).alias("step"))
+    return each.groupBy("stratum", F.get(names, F.col("step") % len(RULES)).alias("rule")).agg(
+        F.min(F.get(values, F.floor(F.col("step") / len(RULES)).cast("int"))).alias("cutoff"),
+        *[F.first(F.col("b")[c]).alias(c) for c in ("n_good", "n_good_rejected", "n_junk_rejected")],
     )
 
 

@@ -151,6 +151,20 @@ def test_thresholds_reject_junk_only(spark):
     assert ids == {k for k in range(6000) if k % 4}
 
 
+def test_thresholds_of_small_strata(spark):
+    """217 good labels prove a cutoff in each of four strata; 216 do not, and the first failing step ends the tests."""
+    rows = []
+    for lang, good in (("a", 217), ("b", 216), ("c", 600), (None, 217)):
+        rows += [(lang, True, 0.0, 0.0)] * good + [(lang, False, 0.45, 0.0)] * 30
+    # three good rows of c reach a cutoff that pays; sixty the next one, which fails, so none after it is tried
+    rows += [("c", True, 0.0, 0.25)] * 3 + [("c", False, 0.0, 0.25)] * 40 + [("c", True, 0.0, 0.12)] * 60 + [("c", False, 0.0, 0.12)] * 5 + [("c", False, 0.07, 0.0)] * 900
+    data = spark.createDataFrame(rows, "lang string, good boolean, symbol_share double, repeat_share double")
+    for r in quality.RULES:
+        data = data if r in data.columns else data.withColumn(r, F.lit(0.0))
+    got = {(r["stratum"], r["rule"], r["cutoff"], r["n_good_rejected"], r["n_junk_rejected"]) for r in quality.thresholds(data, "lang", "good", quality.Risk()).collect()}
+    assert got == {("a", "symbol_share", 0.4, 0, 30), (None, "symbol_share", 0.4, 0, 30), ("c", "symbol_share", 0.4, 3, 70), ("c", "repeat_share", 0.2, 3, 70)}
+
+
 def test_benchmark_leaks(spark, docs, rows):
     item = " ".join(split(rows[0][1])[20:60])
     edited = " ".join(split(item)[:15] + ["x"] + split(item)[16:])
