@@ -17,15 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sketch
+from .shared import drop_table, sketch, written
 from .words import ALNUM, U64, Words, mix, segments
 
 #: Bytes of word beginnings, longest first; 0 stands for the whole word.
 PREFIXES = (0, 9, 8, 7, 6, 5, 4)
 #: Documents that a counted expression is in, at least, and the discount in standard deviations.
 RARE, DISCOUNT = 10, 3.0
-#: Expressions known to all tasks, at most (the most frequent ones; 12 MB).
-KNOWN = 1 << 19
 #: Labelled rows that the final calibration is fitted on, at most.
 CALIBRATION_ROWS = 4000
 
@@ -48,8 +46,16 @@ def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return first, number
 
 
-def _counts(train: DataFrame) -> DataFrame:
-    """Rows gram, toxic, ordinary: documents of each class by expression, summed within tasks."""
+def _among(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which fingerprints are in the sorted array `known`."""
+    return known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams
+
+
+def _counts(train: DataFrame, below: object = None) -> DataFrame:
+    """Rows gram, toxic, ordinary: documents of each class by expression, summed within tasks.
+
+    With `below`, a broadcast sorted array of expressions: only others that have a shorter beginning there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -71,6 +77,12 @@ def _counts(train: DataFrame) -> DataFrame:
             toxic = batch.column(0).to_numpy(zero_copy_only=False)
             first, number = _distinct(words)
             grams = _expressions(words, first)
+            if below is not None:
+                hit = _among(grams, below.value)
+                shorter = np.zeros_like(hit)
+                for c in reversed(range(len(PREFIXES) - 1)):
+                    shorter[:, c] = shorter[:, c + 1] | hit[:, c + 1]
+                grams = np.where(shorter & ~hit, grams, U64(0))
             pair = np.unique(words.doc.astype(np.int64) * len(first) + number)
             doc, word = pair // len(first), pair % len(first)
             for c in range(len(PREFIXES)):
@@ -91,7 +103,7 @@ def _counts(train: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log-likelihood differences (toxic less ordinary) of the expressions that are not rare."""
+    """Log-likelihood differences (toxic less ordinary) of the expressions that can change a score."""
 
     def __init__(self, grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, n_toxic: int, n_ordinary: int):
         order = np.argsort(grams)
@@ -123,6 +135,26 @@ class Model:
         return np.stack([total / n, total / np.sqrt(n)], axis=1)
 
 
+def _model(train: DataFrame, n_toxic: int, n_all: int) -> Model:
+    """The model of every expression that is not rare, without those that leave all scores as they are.
+
+    Only expressions with a difference add to a score. One without a difference is needed only if a
+    shorter beginning has one, since it keeps the word from being scored there.
+    """
+    texts = written(train, "toxicity-train")
+    shared = F.col("toxic") + F.col("ordinary")
+    expected = shared * n_toxic / max(1, n_all)
+    differs = F.abs(F.col("toxic") - expected) > DISCOUNT * F.sqrt(expected + 0.5)
+    parts = [_counts(texts).filter((shared >= RARE) & differs).toArrow()]
+    if parts[0].num_rows:
+        known = texts.sparkSession.sparkContext.broadcast(np.sort(parts[0].column(0).to_numpy().view(np.uint64)))
+        parts.append(_counts(texts, known).filter(shared >= RARE).toArrow())
+    drop_table(texts)
+    rows = pa.concat_tables(parts)
+    gram, toxic, ordinary = (rows.column(c).to_numpy() for c in range(3))
+    return Model(gram.view(np.uint64), toxic, ordinary, n_toxic, n_all - n_toxic)
+
+
 def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a logistic regression on both features and 1, by Newton steps with a small ridge."""
     z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
@@ -170,9 +202,7 @@ def scored(df: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str =
     train = picked.join(marked.hint("merge"), F.col("_row") == F.col("_id")).select("toxic", "_text")
     sizes = marked.agg(F.sum("toxic"), F.count("*")).first()
     n_toxic, n_all = sizes[0] or 0, sizes[1]
-    top = _counts(train).filter(F.col("toxic") + F.col("ordinary") >= RARE).orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(KNOWN).toArrow()
-    arrays = [top.column(c).to_numpy() for c in range(3)] if top.num_rows else [np.zeros(0, np.int64)] * 3
-    model = Model(arrays[0].view(np.uint64), arrays[1], arrays[2], n_toxic, n_all - n_toxic)
+    model = _model(train, n_toxic, n_all)
     weights = None
     if 0 < n_toxic < n_all:
         some = {r["_id"]: r["toxic"] for r in marked.orderBy(F.xxhash64("_id"), "_id").limit(CALIBRATION_ROWS).collect()}

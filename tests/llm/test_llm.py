@@ -243,6 +243,17 @@ def test_toxicity(spark, nothing):
     assert {r["score"] for r in toxicity.scored(d.limit(5), labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_keeps_less_frequent_words(spark, monkeypatch):
+    """Toxic words count however many neutral ones are more frequent."""
+    monkeypatch.setattr(toxicity, "KNOWN", 8, raising=False)
+    rng = random.Random(8)
+    data = [(k, " ".join(prose(rng, 40) + ["neutral", "ordinary"] + ["scoundrel"] * (k % 5 == 1))) for k in range(600)]
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 1)) for k in range(600)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scored(d, labels).collect()}
+    assert np.mean([got[k] == int(k % 5 == 1) for k in range(600)]) > 0.98
+
+
 def test_url_rules(spark):
     urls = [None, "abc", "HTTP://Ex.NET", "a://org/fr/x?y://z", "http://A.net/q", "http://www.example.net/en/1", "http://example.net/de/", "https://x.example.com/de/2#t", "http://a.fr/fr/1?x=1&y=2"]
     d = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id long, url string, html string")
