@@ -1,11 +1,12 @@
-"""Toxicity by two class-conditional Kneser-Ney models with shared backoff counts.
+"""Toxicity by discounted log ratios of class-conditional continuation counts with backoff.
 
 An expression is a word or a beginning of one; the counts are continuation counts, the number of
 documents of a class that an expression occurs in, so that a document which repeats itself counts
-once. A word is scored at the longest of its expressions that is not rare: the class count less an
-absolute discount (as large as the noise of the count) above or below what the counts shared by
-both classes lead to expect. Rare expressions leave no difference between the classes. The
-score compares the length-normalised log-likelihoods of both models.
+once. A word is scored at the longest of its expressions that differs between the classes or is
+not rare: the class count less a discount (as large as the noise of the count) above or below what
+the counts shared by both classes lead to expect. The score is the length-normalised sum of the log
+ratios. In this it departs from interpolated Kneser-Ney models: no class probabilities are built,
+and differences within the noise count as none instead of being smoothed.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .words import ALNUM, U64, Words, mix, segments
 
 #: Bytes of word beginnings, longest first; 0 stands for the whole word.
 PREFIXES = (0, 9, 8, 7, 6, 5, 4)
-#: Documents that a counted expression is in, at least, and the discount in standard deviations.
+#: Documents from which on an expression without a difference ends the search for one, and the discount in standard deviations.
 RARE, DISCOUNT = 10, 3.0
 #: Labelled rows that the final calibration is fitted on, at most.
 CALIBRATION_ROWS = 4000
@@ -136,16 +137,17 @@ class Model:
 
 
 def _model(train: DataFrame, n_toxic: int, n_all: int) -> Model:
-    """The model of every expression that is not rare, without those that leave all scores as they are.
+    """The model of all expressions, without those that leave all scores as they are.
 
-    Only expressions with a difference add to a score. One without a difference is needed only if a
-    shorter beginning has one, since it keeps the word from being scored there.
+    Only expressions with a difference add to a score, however few documents they are in. One without
+    a difference is needed only if a shorter beginning has one and it is not rare, since it keeps the
+    word from being scored there; a rare one leaves the word to its beginnings.
     """
     texts = written(train, "toxicity-train")
     shared = F.col("toxic") + F.col("ordinary")
     expected = shared * n_toxic / max(1, n_all)
     differs = F.abs(F.col("toxic") - expected) > DISCOUNT * F.sqrt(expected + 0.5)
-    parts = [_counts(texts).filter((shared >= RARE) & differs).toArrow()]
+    parts = [_counts(texts).filter(differs).toArrow()]
     if parts[0].num_rows:
         known = texts.sparkSession.sparkContext.broadcast(np.sort(parts[0].column(0).to_numpy().view(np.uint64)))
         parts.append(_counts(texts, known).filter(shared >= RARE).toArrow())

@@ -254,6 +254,18 @@ def test_toxicity_keeps_less_frequent_words(spark, monkeypatch):
     assert np.mean([got[k] == int(k % 5 == 1) for k in range(600)]) > 0.98
 
 
+def test_toxicity_of_rare_words(spark):
+    """A word of six toxic documents and of no other counts."""
+    rng = random.Random(9)
+    bad = {k for k in range(1, 200) if zlib.crc32(str(k).encode()) % 5}
+    bad = set(sorted(bad)[:6])
+    data = [(k, " ".join(prose(rng, 40) + ["scoundrel"] * (k in bad))) for k in range(200)] + [(1000, " ".join(prose(rng, 40) + ["scoundrel"])), (1001, " ".join(prose(rng, 40)))]
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, 1, int(k in bad)) for k in range(200)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.scored(d, labels).collect()}
+    assert got[1000]["predicted"] == 1 and got[1001]["predicted"] == 0 and all(got[k]["predicted"] == int(k in bad) for k in range(200))
+
+
 def test_url_rules(spark):
     urls = [None, "abc", "HTTP://Ex.NET", "a://org/fr/x?y://z", "http://A.net/q", "http://www.example.net/en/1", "http://example.net/de/", "https://x.example.com/de/2#t", "http://a.fr/fr/1?x=1&y=2"]
     d = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id long, url string, html string")
