@@ -336,14 +336,15 @@ def lsh_match(spark, d):
     return joined.select(F.col("datasetA.kp_id").alias("kp_i"), F.col("datasetB.kp_id").alias("kp_j"), r6("distance", "distance"))
 
 
-# correspondences: places of line items, moved by a known transform of each supplier, every ninth one off
+# correspondences: places of line items, moved by a known transform of each supplier, every ninth one off;
+# the queries read all suppliers, their twins keys up to 20
 POINTS = """WITH p AS (SELECT l_suppkey AS image_i, l_suppkey + 1 AS image_j, l_orderkey * 8 + l_linenumber AS kp, l_quantity::DOUBLE AS x1, (l_partkey % 97)::DOUBLE AS y1,
  (l_orderkey % 9 = 0) AS off FROM lineitem WHERE l_suppkey <= 20),
 c AS (SELECT *, 0.9::DOUBLE * x1 - 0.1::DOUBLE * y1 + image_i + CASE WHEN off THEN 40 + kp % 50 ELSE 0 END AS x2, 0.1::DOUBLE * x1 + 0.9::DOUBLE * y1 - image_i AS y2 FROM p)"""
 
 
 def correspondences(spark, d):
-    p = table(spark, d, "lineitem").filter("l_suppkey <= 20").select(F.col("l_suppkey").alias("image_i"), (F.col("l_suppkey") + 1).alias("image_j"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("kp_i"), F.col("l_quantity").cast("double").alias("x1"), (F.col("l_partkey") % 97).cast("double").alias("y1"), (F.col("l_orderkey") % 9 == 0).alias("off"))
+    p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("image_i"), (F.col("l_suppkey") + 1).alias("image_j"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("kp_i"), F.col("l_quantity").cast("double").alias("x1"), (F.col("l_partkey") % 97).cast("double").alias("y1"), (F.col("l_orderkey") % 9 == 0).alias("off"))
     x2 = 0.9 * F.col("x1") - 0.1 * F.col("y1") + F.col("image_i") + F.when(F.col("off"), 40 + F.col("kp_i") % 50).otherwise(0)
     return p.select("image_i", "image_j", "kp_i", F.col("kp_i").alias("kp_j"), "x1", "y1", x2.alias("x2"), (0.1 * F.col("x1") + 0.9 * F.col("y1") - F.col("image_i")).alias("y2"), "off")
 
@@ -390,7 +391,7 @@ def control_point_bounds(spark, d):
     c = correspondences(spark, d)
     p = c.select(F.col("image_i").alias("image1_idx"), F.col("image_j").alias("image2_idx"), "x1", "y1", "x2", "y2")
     ids = c.select(F.col("image_i").alias("image_id")).union(c.select("image_j")).distinct().select("image_id", F.lit(60).alias("width"), F.lit(90).alias("height"))
-    return control_points.within_bounds(p.filter("x1 < 40"), ids).groupBy("image1_idx", "image2_idx").agg(F.count("*").alias("n"))
+    return control_points.within_bounds(p, ids).filter("x1 < 40").groupBy("image1_idx", "image2_idx").agg(F.count("*").alias("n"))
 
 
 @query(POINTS + " SELECT image_i, image_j, round(median(x2 - x1), 6) AS tx, round(median(y2 - y1), 6) AS ty FROM c GROUP BY 1, 2")

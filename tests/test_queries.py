@@ -1,5 +1,8 @@
 """Registered queries against their SQL twins at the smallest scale."""
 
+from collections import Counter, defaultdict
+from statistics import median
+
 import duckdb
 import pytest
 
@@ -30,6 +33,28 @@ def test_query_matches_sql(spark, db, name):
     assert got == want and got
 
 
+def test_correspondence_queries_read_every_supplier(spark):
+    """On 100 suppliers, against plain Python over all line items."""
+    d = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity::DOUBLE, (l_partkey % 97)::DOUBLE FROM '{d}/lineitem.parquet'").fetchall()
+    total, right, inside, moves = Counter(), Counter(), Counter(), defaultdict(list)
+    for i, o, n, x, y in rows:
+        x2, y2 = 0.9 * x - 0.1 * y + i + (40 + (o * 8 + n) % 50 if o % 9 == 0 else 0), 0.1 * x + 0.9 * y - i
+        total[i] += 1
+        right[i] += o % 9 != 0
+        inside[i] += x < 40 and y < 90 and 0 <= x2 < 60 and 0 <= y2 < 90
+        moves[i].append((x2 - x, y2 - y))
+    assert len(total) == 100
+    got = lambda name: {r[0]: r for r in registry.QUERIES[name](spark, d).collect()}
+    assert {k: (r["num_matches"], r["num_inliers"]) for k, r in got("ransac_inliers").items()} == {k: (total[k], right[k]) for k in total}
+    assert {k: r["n"] for k, r in got("similarity_ls_fit").items()} == right
+    assert {k: r["n"] for k, r in got("refine_matches").items()} == right
+    assert {k: r["n"] for k, r in got("control_point_bounds").items()} == {k: n for k, n in inside.items() if n}
+    shifts = {k: tuple(median(c) for c in zip(*v, strict=True)) for k, v in moves.items()}
+    for name in ("translation_median", "control_point_transforms"):
+        assert {k: (r["tx"], r["ty"]) for k, r in got(name).items()} == {k: pytest.approx(v, abs=1e-5) for k, v in shifts.items()}
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
