@@ -1,7 +1,8 @@
 """Benchmark passages in documents by pigeonhole edit matching.
 
 A test item of n words may have n // 5 word edits (similarity 0.8). It is split into one piece
-more than that, so at least one piece stands unchanged in any copy within the budget. Hits of
+more than that, so at least one piece stands unchanged in any copy within the budget. An item of fewer
+than 8 words has no budget and is one piece. Hits of
 piece beginnings are found by rolling word fingerprints; around each, Myers' bit-parallel
 distance of the whole item verifies.
 """
@@ -17,14 +18,14 @@ from pyspark.sql import functions as F
 
 from .words import ALNUM, Words, inside, rolling, segments
 
-#: Items of fewer words are not matched: their pieces are too short to tell a leak from chance.
+#: Items of fewer words are matched exactly: their pieces are too short to tell a leak from chance.
 LEAST_WORDS = 8
 #: Items handled in one pass over the documents; more are taken in further passes.
 ITEMS_A_PASS = 20_000
 
 
 def budget(n: int) -> int:
-    return n // 5
+    return n // 5 if n >= LEAST_WORDS else 0
 
 
 def myers(pattern: list, text: list) -> tuple[int, int]:
@@ -63,42 +64,48 @@ class Items:
     """Piece beginnings of test items as sorted fingerprints, with their items and places."""
 
     def __init__(self, rows: list[tuple[object, str]]):
-        self.ids, self.words, starts = [], [], []
+        self.ids, self.words = [], []
+        starts: dict[int, list[tuple[int, int]]] = {}
         for item_id, text in rows:
             w = Words([(text or "").encode()], ALNUM, lower=True)
-            if len(w) >= LEAST_WORDS:
+            if len(w):
                 n, parts = len(w), budget(len(w)) + 1
-                starts += [(len(self.ids), p * n // parts) for p in range(parts)]
+                # short items have beginnings of their own length, so that they don't shorten the others'
+                starts.setdefault(n if n < LEAST_WORDS else 0, []).extend((len(self.ids), p * n // parts) for p in range(parts))
                 self.ids.append(item_id)
                 self.words.append(w.words(0))
+        self.groups = [self._group(n, places) for n, places in sorted(starts.items())]
+
+    def _group(self, n: int, starts: list[tuple[int, int]]) -> tuple[int, np.ndarray, list[tuple[int, int]]]:
+        """Width, sorted fingerprints and places of beginnings; n is the length of short items, else 0."""
         # every piece has at least `width` words
-        self.width = min((len(w) // (budget(len(w)) + 1) for w in self.words), default=4)
+        width = n or min(len(self.words[item]) // (budget(len(self.words[item])) + 1) for item, _ in starts)
         keys = []
         for item, at in starts:
-            w = Words([b" ".join(self.words[item][at : at + self.width])], ALNUM)
-            keys.append(rolling(w.hashes(), self.width)[0])
+            w = Words([b" ".join(self.words[item][at : at + width])], ALNUM)
+            keys.append(rolling(w.hashes(), width)[0])
         order = np.argsort(np.array(keys, dtype=np.uint64), kind="stable")
-        self.keys = np.array(keys, dtype=np.uint64)[order]
-        self.starts = [starts[i] for i in order]
+        return width, np.array(keys, dtype=np.uint64)[order], [starts[i] for i in order]
 
     def hits(self, words: Words) -> Iterator[tuple[int, int, int]]:
         """(text, item, diagonal) of every piece hit; the diagonal is the item's first word's place."""
-        grams = rolling(words.hashes(), self.width)
-        at = np.searchsorted(self.keys, grams)
-        found = np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == grams) & inside(words, self.width)) if len(self.keys) else []
-        for p in found:
-            k = at[p]
-            while k < len(self.keys) and self.keys[k] == grams[p]:
-                item, offset = self.starts[k]
-                yield int(words.doc[p]), item, int(p) - offset
-                k += 1
+        h = words.hashes()
+        for width, keys, starts in self.groups:
+            grams = rolling(h, width)
+            at = np.searchsorted(keys, grams)
+            for p in np.flatnonzero((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == grams) & inside(words, width)):
+                k = at[p]
+                while k < len(keys) and keys[k] == grams[p]:
+                    item, offset = starts[k]
+                    yield int(words.doc[p]), item, int(p) - offset
+                    k += 1
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows row_id, item_id, distance, first_word, last_word: each item's closest place in each text.
 
     Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z. Null and
-    empty texts and items match nothing, nor do items under LEAST_WORDS words. Repeated rows give
+    empty texts and items match nothing; items under LEAST_WORDS words match exactly. Repeated rows give
     a row each; null ids are kept. Items are read in blocks of ITEMS_A_PASS, each broadcast.
     """
     spark = df.sparkSession

@@ -175,6 +175,15 @@ def test_benchmark_leaks(spark, docs, rows):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_match_exactly(spark):
+    texts = ["say Open, sesame door now", "open sesame", "open the sesame door", "sesame door open", None, "sesame", "a b c d e f g and more", "a b c d x f g and more"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "open sesame door"), (2, "Sesame!"), (3, "a b c d e f g"), (4, " ")], "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.leaks(d, bench).collect()}
+    assert got == {(0, 1, 0, 1, 3), (0, 2, 0, 2, 2), (1, 2, 0, 1, 1), (2, 2, 0, 2, 2), (3, 2, 0, 0, 0), (5, 2, 0, 0, 0), (6, 3, 0, 0, 6)}
+    assert {r["doc_id"] for r in decontaminate.without_leaks(d, bench).collect()} == {4, 7}
+
+
 def test_myers_equals_dynamic_programming():
     rng = random.Random(3)
     for _ in range(200):
