@@ -36,37 +36,24 @@ def lower_ascii(text: bytes) -> bytes:
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalising bijection of 64-bit values (the public splitmix64 finaliser)."""
     h = h ^ (h >> U64(30))
-    h = h * U64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> U64(27))
-    h = h * U64(0x94D049BB133111EB)
-    return h ^ (h >> U64(31))
+    h *= U64(0xBF58476D1CE4E5B9)
+    h ^= h >> U64(27)
+    h *= U64(0x94D049BB133111EB)
+    h ^= h >> U64(31)
+    return h
 
 
 @lru_cache(maxsize=8)
-def _seeded(seed: int) -> tuple[np.ndarray, int]:
+def _seeded(seed: int) -> tuple[int, int, int]:
+    """An odd factor and two summands."""
     rng = np.random.default_rng(seed)
-    return rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1), (int(rng.integers(2**40, 2**62)) * 8 + 5) % 2**64
+    return tuple(int(x) for x in rng.integers(1, 2**63, 3, dtype=np.uint64) * U64(2) + U64(1))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        inverse = pow(base, -1, 1 << 64)
-        out = []
-        for b in (base, inverse):
-            p = np.empty(size, dtype=np.uint64)
-            p[0] = 1
-            filled, step = 1, b
-            while filled < size:
-                p[filled : 2 * filled] = p[:filled] * U64(step)
-                filled, step = 2 * filled, step * step % (1 << 64)
-            out.append(p)
-        _POWERS[base] = (out[0], out[1])
-    return _POWERS[base]
+def joined(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """Fingerprints of pairs of fingerprints; their order counts."""
+    factor, plus, _ = _seeded(seed)
+    return mix(a * U64(factor) + (b ^ U64(plus)))
 
 
 class Words:
@@ -91,13 +78,30 @@ class Words:
         return len(self.start)
 
     def hashes(self, seed: int = 1) -> np.ndarray:
-        """64-bit fingerprint of every word, depending on its bytes and on the seed only."""
-        table, base = _seeded(seed)
+        """64-bit fingerprint of every word, depending on its bytes and on the seed only.
+
+        Each block of 8 bytes is mixed with its place in the word by a bijection before the sum, so
+        no pattern of bytes or blocks cancels out (a polynomial modulo 2**64 would allow that).
+        """
         if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
-        power, inverse = _powers(base, len(self.buf) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[self.buf] * power[: len(self.buf)], dtype=np.uint64)])
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        _, plus, step = _seeded(seed)
+        size = self.end - self.start
+        padded = self.data + bytes(8)
+        at = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+        rest = np.minimum(size, 8).astype(np.uint64)
+        block = at[self.start] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - (rest << U64(3))))
+        sums = mix(block + U64(plus))
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            more = (size[long] - 1) // 8
+            owner = np.repeat(np.arange(len(long)), more)
+            turn = np.arange(len(owner)) - np.repeat(np.cumsum(more) - more, more) + 1
+            rest = np.minimum(size[long][owner] - 8 * turn, 8).astype(np.uint64)
+            block = at[self.start[long][owner] + 8 * turn] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - (rest << U64(3))))
+            mixed = mix(block + mix(turn.astype(np.uint64) * U64(step) + U64(plus)))
+            sums[long] += np.add.reduceat(mixed, np.cumsum(more) - more)
+        return mix(sums + size.astype(np.uint64) * U64(step))
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]]
@@ -107,13 +111,19 @@ class Words:
 
 
 def rolling(h: np.ndarray, n: int, seed: int = 11) -> np.ndarray:
-    """Fingerprints of all runs of n consecutive values, over text borders too."""
+    """Fingerprints of all runs of n consecutive values, over text borders too.
+
+    Runs of twice the length are made from pairs of runs; the last pair overlaps where n is no power of two.
+    """
     if len(h) < n:
         return np.zeros(0, dtype=np.uint64)
-    _, base = _seeded(seed)
-    power, inverse = _powers(base, len(h) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)])
-    return mix((sums[n:] - sums[:-n]) * inverse[: len(h) - n + 1])
+    size = 1
+    out = mix(h + U64(_seeded(seed)[2]))
+    while size < n:
+        step = min(size, n - size)
+        out = joined(out[:-step], out[step:], seed + size)
+        size += step
+    return out
 
 
 def inside(words: Words, n: int) -> np.ndarray:
