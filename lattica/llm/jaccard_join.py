@@ -3,12 +3,16 @@
 1. Documents of one shingle set become one node (copies are never expanded).
 2. Shingles get one global order in which common ones come last. Two sets that reach the
    similarity share a shingle among the first n - ceil(0.8 n) + 1 of each, their prefixes.
-3. Prefix shingles that several nodes have make groups. Members of a group are compared with one
-   leader first, then, while groups still span several components, with further leaders. Of pairs
-   left across components those stay candidates that share enough prefix shingles to reach the
-   similarity at all, so no link is lost while members of large groups of copies are not all
-   paired.
-4. Every candidate is verified on the whole sets, computed again from the texts.
+   A sketch of all prefix shingles tells which occur once only; those are not listed.
+3. Nodes with the same prefix and size are one group. A shingle's list holds the groups that have
+   it in their prefix, each once.
+4. Group pairs are filtered: sizes within the similarity, and enough shared prefix shingles to
+   reach it at all with what comes after the prefixes. Each list's first group is paired with the
+   others before; pairs of groups that are then in one component are left out, so that a large
+   group of near copies is not paired with itself.
+5. Pairs of groups that pass are expanded to members, and those are verified on the whole sets,
+   computed again from the texts. Members of one component are not compared any more. So no link
+   between components is lost.
 """
 
 from __future__ import annotations
@@ -17,18 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import Sketch, sketch, written
+from .shared import Sketch, drop_table, free_name, sketch, written
 from .words import NON_BLANK, U64, Words, inside, mix, rolling, segments
 
 SHINGLE = 5
 PER_CENT = 80
 #: Frequent shingles whose counts are known to all tasks, at most; others count as rare in the order.
 FREQUENT = 1 << 20
-#: Leaders tried before what is left is compared pair by pair.
+#: Rounds in which every list's first group is compared before what is left is compared pair by pair.
 ROUNDS = 2
+#: Rows of a list that one task pairs with the whole list; longer lists are split.
+LIST_ROWS = 512
+#: Cells of the sketch of prefix shingles, least and most (2 to 128 MB broadcast); too few only make lists longer.
+CELLS = 1 << 24, 1 << 30
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,11 +45,14 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     words = Words(texts, NON_BLANK, lower=True)
     h = words.hashes()
     ok = inside(words, SHINGLE)
-    doc, grams = words.doc[: len(ok)][ok], rolling(h, SHINGLE)[ok]
-    few = np.flatnonzero((words.count > 0) & (words.count < SHINGLE))
-    if len(few):
-        whole = [rolling(h[words.first[i] : words.first[i + 1]], int(words.count[i]), seed=100)[0] + U64(words.count[i]) for i in few.tolist()]
-        doc, grams = np.concatenate([doc, few]), np.concatenate([grams, np.array(whole, dtype=np.uint64)])
+    docs, parts = [words.doc[: len(ok)][ok]], [rolling(h, SHINGLE)[ok]]
+    for n in range(1, SHINGLE):
+        few = np.flatnonzero(words.count == n)
+        if len(few):
+            at = (words.first[few][:, None] + np.arange(n)).ravel()
+            docs.append(few)
+            parts.append(rolling(h[at], n, seed=100 * n)[::n])
+    doc, grams = np.concatenate(docs), np.concatenate(parts)
     order = np.lexsort((grams, doc))
     doc, grams = doc[order], grams[order]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1])]) if len(doc) else np.zeros(0, bool)
@@ -48,28 +60,52 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return doc, grams, np.bincount(doc, minlength=len(texts))
 
 
+def _keys(values: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit keys of consecutive sets of `sizes` fingerprints each (0: empty)."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ mix(np.array([seed], np.uint64))), dtype=np.uint64)])
+    ends = np.cumsum(sizes)
+    return np.where(sizes > 0, mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64)), U64(0))
+
+
 def set_keys(doc: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """64-bit key of each text's set (0: empty)."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ U64(0x9E3779B97F4A7C15)), dtype=np.uint64)])
-    ends = np.cumsum(sizes)
-    return np.where(sizes > 0, mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64)), U64(0)).view(np.int64)
+    return _keys(grams, sizes, 1).view(np.int64)
+
+
+class _Seen:
+    """Which keys a task meets for the first time (it may forget, then a key is met again)."""
+
+    def __init__(self):
+        self.keys: set[int] = set()
+
+    def fresh(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), dtype=bool)
+        for i, k in enumerate(keys.tolist()):
+            if k and k not in self.keys:
+                self.keys.add(k)
+                out[i] = True
+        if len(self.keys) > 1_000_000:
+            self.keys.clear()
+        return out
 
 
 def _scan(df: DataFrame, row_id: str) -> DataFrame:
     """Rows kind 0: each document's set key and size; rows kind 1: shingles that several sets of one task have, with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = _Seen()
         pending: list[np.ndarray] = []
         held = 0
 
         def frequent() -> pa.RecordBatch | None:
             nonlocal pending, held
-            values, counts = np.unique(np.concatenate(pending), return_counts=True)
+            values = np.sort(np.concatenate(pending))
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+            counts = np.diff(np.concatenate([first, [len(values)]]))
             pending, held = [], 0
             often = counts >= 2
             n = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.array(np.ones(n, np.int32))], names=names) if n else None
+            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array(values[first][often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.array(np.ones(n, np.int32))], names=names) if n else None
 
         names = ["_id", "node", "n", "kind"]
         kind = pa.int64()
@@ -78,14 +114,7 @@ def _scan(df: DataFrame, row_id: str) -> DataFrame:
             doc, grams, sizes = shingle_sets(texts)
             keys = set_keys(doc, grams, sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(sizes.astype(np.int64)), pa.array(np.zeros(len(keys), np.int32))], names=names)
-            fresh = np.zeros(len(keys), dtype=bool)
-            for i, k in enumerate(keys.tolist()):
-                if k not in seen:
-                    seen.add(k)
-                    fresh[i] = True
-            if len(seen) > 1_000_000:
-                seen.clear()
-            pending.append(grams[fresh[doc]])
+            pending.append(grams[seen.fresh(keys)[doc]])
             held += len(pending[-1])
             if held > 3_000_000 and (out := frequent()) is not None:
                 yield out
@@ -93,67 +122,86 @@ def _scan(df: DataFrame, row_id: str) -> DataFrame:
             yield out
 
     id_kind = df.schema[row_id].dataType.simpleString()
-    return df.select(F.col(row_id).alias("_id"), F.col("text").alias("_text")).mapInArrow(run, f"_id {id_kind}, node long, n long, kind int")
-
-
-def _postings(df: DataFrame, common: object, buckets: int) -> DataFrame:
-    """Packed prefix shingles of each distinct set of a task, by bucket of the shingle."""
+    return df.select(F.col(f"`{row_id}`").alias("_id"), F.col("text").alias("_text")).mapInArrow(run, f"_id {id_kind}, node long, n long, kind int")
+
+
+def _prefixes(texts: list[bytes], common: object, seen: _Seen) -> tuple[np.ndarray, ...] | None:
+    """Of texts whose sets are new to the task: their numbers, set keys, sizes, group keys, prefix lengths, and prefix shingles."""
+    values, ranks = common.value
+    doc, grams, sizes = shingle_sets(texts)
+    keys = set_keys(doc, grams, sizes)
+    new = seen.fresh(keys)
+    if not new.any():
+        return None
+    mine = new[doc]
+    doc, grams = doc[mine], grams[mine]
+    rank = np.zeros(len(grams), dtype=np.uint8)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, grams), len(values) - 1)
+        rank = np.where(values[at] == grams, ranks[at], 0).astype(np.uint8)
+    if rank.any():  # else the shingles are in order: by text, then fingerprint
+        order = np.lexsort((grams, rank, doc))
+        grams = grams[order]
+    own = sizes[new]
+    length = own - (PER_CENT * own + 99) // 100 + 1
+    begin = np.cumsum(own) - own
+    inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    tokens = grams[np.repeat(begin, length) + inner]
+    group = mix(_keys(tokens, length, 2) + own.astype(np.uint64))
+    return np.flatnonzero(new), keys[new], own, group, length, tokens
+
+
+def _listed(df: DataFrame, row_id: str, common: object, repeated: object, buckets: int) -> DataFrame:
+    """Rows of members (bucket -1: _id, node, g, size) and, packed by bucket, of prefix shingles with their groups."""
+    names = ["bucket", "_id", "node", "g", "size", "tokens", "groups", "sizes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, ranks = common.value
-        seen: set[int] = set()
+        seen, groups = _Seen(), _Seen()
         parts: list[tuple[np.ndarray, ...]] = []
         held = 0
+        kind = pa.int64()
 
         def flush() -> pa.RecordBatch:
             nonlocal parts, held
-            token, node, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            token, group, size = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts, held = [], 0
             bucket = ((token >> U64(20)) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
             rows = [order[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            n = len(rows)
             return pa.RecordBatch.from_arrays(
-                [pa.array(bucket[order][cut[:-1]])] + [pa.array([x[r].tobytes() for r in rows], pa.binary()) for x in (token, node, size, place)],
-                names=["bucket", "tokens", "nodes", "sizes", "places"],
+                [pa.array(bucket[order][cut[:-1]]), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())] + [pa.array([x[r].tobytes() for r in rows], pa.binary()) for x in (token, group, size)], names=names
             )
 
-        for _, texts in segments(batches, "_text"):
-            doc, grams, sizes = shingle_sets(texts)
-            keys = set_keys(doc, grams, sizes)
-            fresh = np.zeros(len(keys), dtype=bool)
-            for i, k in enumerate(keys.tolist()):
-                if k and k not in seen:
-                    seen.add(k)
-                    fresh[i] = True
-            if len(seen) > 1_000_000:
-                seen.clear()
-            mine = fresh[doc]
-            doc, grams = doc[mine], grams[mine]
-            if not len(doc):
+        for batch, texts in segments(batches, "_text"):
+            kind = batch.column(0).type
+            if (found := _prefixes(texts, common, seen)) is None:
+                continue
+            at, keys, own, group, length, tokens = found
+            hit = repeated.value.holds(mix(tokens))
+            owner = np.repeat(np.arange(len(at)), length)
+            listed = np.bincount(owner[hit], minlength=len(at)) > 0
+            n = int(listed.sum())
+            if not n:
                 continue
-            rank = np.zeros(len(grams), dtype=np.uint8)
-            if len(values):
-                at = np.minimum(np.searchsorted(values, grams), len(values) - 1)
-                rank = np.where(values[at] == grams, ranks[at], 0)
-            order = np.lexsort((grams, rank, doc))
-            doc, grams = doc[order], grams[order]
-            own = sizes[doc]
-            ends = np.cumsum(np.where(fresh, sizes, 0))
-            place = np.arange(len(doc)) - (ends - sizes)[doc]
-            prefix = place < own - (PER_CENT * own + 99) // 100 + 1
-            parts.append((grams[prefix], keys[doc[prefix]], own[prefix].astype(np.uint32), place[prefix].astype(np.uint32)))
-            held += int(prefix.sum())
-            if held > 1_500_000:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, -1)), batch.column(0).take(pa.array(at[listed])), pa.array(keys[listed]), pa.array(group[listed].view(np.int64)), pa.array(own[listed].astype(np.int32))] + [pa.nulls(n, pa.binary())] * 3, names=names
+            )
+            hit &= groups.fresh(group)[owner]  # a group's shingles go out once a task
+            parts.append((tokens[hit], group[owner[hit]], own[owner[hit]].astype(np.uint32)))
+            held += int(hit.sum())
+            if held > 1_000_000:
                 yield flush()
         if held:
             yield flush()
 
-    return df.select(F.col("text").alias("_text")).mapInArrow(run, "bucket long, tokens binary, nodes binary, sizes binary, places binary")
+    id_kind = df.schema[row_id].dataType.simpleString()
+    return df.select(F.col(f"`{row_id}`").alias("_id"), F.col("text").alias("_text")).mapInArrow(run, f"bucket long, _id {id_kind}, node long, g long, size int, tokens binary, groups binary, sizes binary")
 
 
-def _groups(postings: DataFrame, tasks: int) -> DataFrame:
-    """Rows token, node, size, place of shingles that several nodes have in their prefixes."""
+def _lists(packed: DataFrame, tasks: int) -> DataFrame:
+    """Rows token, g, size of shingles that several groups, or a group's several members, may share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -162,52 +210,74 @@ def _groups(postings: DataFrame, tasks: int) -> DataFrame:
                 held.setdefault(bucket, []).append(arrays)
         while held:
             _, rows = held.popitem()
-            token, node, size, place = (np.concatenate([np.frombuffer(r[i], dtype=t) for r in rows]) for i, t in enumerate((np.uint64, np.int64, np.uint32, np.uint32)))
-            order = np.lexsort((node, token))
-            token, node, size, place = token[order], node[order], size[order], place[order]
-            new = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
-            token, node, size, place = token[new], node[new], size[new], place[new]
+            token, group, size = (np.concatenate([np.frombuffer(r[i], dtype=t) for r in rows]) for i, t in enumerate((np.uint64, np.int64, np.uint32)))
+            order = np.lexsort((group, token))
+            token, group, size = token[order], group[order], size[order]
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
+            token, group, size = token[new], group[new], size[new]
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            many = np.repeat(np.diff(np.concatenate([first, [len(token)]])), np.diff(np.concatenate([first, [len(token)]]))) > 1
+            length = np.diff(np.concatenate([first, [len(token)]]))
+            many = np.repeat(length, length) > 1
             if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(node[many]), pa.array(size[many].astype(np.int32)), pa.array(place[many].astype(np.int32))], names=["token", "node", "size", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(group[many]), pa.array(size[many].astype(np.int32))], names=["token", "g", "size"])
+
+    return packed.repartition(tasks, "bucket").mapInArrow(run, "token long, g long, size int")
+
+
+def _alike(a: str, b: str) -> str:
+    """Whether sets of these sizes can reach the similarity (SQL)."""
+    return f"(100 * least({a}, {b}) >= {PER_CENT} * greatest({a}, {b}))"
 
-    return postings.repartition(tasks, "bucket").mapInArrow(run, "token long, node long, size int, place int")
 
+def _possible(c: str, a: str, b: str) -> str:
+    """Whether sets of these sizes that share c prefix shingles can reach the similarity (SQL).
 
-def _need(a: str, b: str) -> str:
-    """Shared shingles that sets of these sizes need at least (SQL)."""
-    return f"ceil({PER_CENT} * ({a} + {b}) / {100 + PER_CENT})"
+    All common shingles up to the nearer end of both prefixes are among the c; what else is shared
+    comes after that prefix.
+    """
+    after = f"greatest(({PER_CENT} * {a} + 99) div 100, ({PER_CENT} * {b} + 99) div 100) - 1"
+    return f"({c} + {after} >= ceil({PER_CENT} * ({a} + {b}) / {100 + PER_CENT}))"
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs a, b whose whole sets reach the similarity, with ok true or false for each."""
+    """The pairs a, b with ok: whether their whole sets reach the similarity.
+
+    Each text of a `b` goes once to every route that has pairs with it, so one with many partners is no single task's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                both = [t.encode() for t in part.column(2).to_pylist()] + [t.encode() for t in part.column(3).to_pylist()]
-                doc, grams, sizes = shingle_sets(both)
-                ends = np.cumsum(sizes)
-                ok = []
-                for i in range(part.num_rows):
-                    j = i + part.num_rows
-                    x, y = grams[ends[i] - sizes[i] : ends[i]], grams[ends[j] - sizes[j] : ends[j]]
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * shared >= PER_CENT * (len(x) + len(y) - shared))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    x = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    y = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean")
+        lead = None
+        for batch, part in segments(batches, "text"):
+            _, grams, sizes = shingle_sets(part)
+            ends = np.cumsum(sizes)
+            rows: list[int] = []
+            ok = []
+            for i, kind in enumerate(batch.column(2).to_pylist()):
+                own = grams[ends[i] - sizes[i] : ends[i]]
+                if kind == 0:
+                    lead = own
+                    continue
+                both = np.sort(np.concatenate([own, lead]))
+                shared = int((both[1:] == both[:-1]).sum())
+                rows.append(i)
+                ok.append(100 * shared >= PER_CENT * (len(both) - shared))
+            if rows:
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(3).take(at), batch.column(1).take(at), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    spark = pairs.sparkSession
+    routes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = pairs.withColumn("route", F.pmod(F.xxhash64("a"), F.lit(routes)))
+    member = p.join(texts.withColumnRenamed("node", "a"), "a").selectExpr("route", "b", "1 kind", "a", "text")
+    lead = p.select("route", "b").distinct().join(texts.withColumnRenamed("node", "b"), "b").selectExpr("route", "b", "0 kind", "cast(null as bigint) a", "text")
+    return member.unionByName(lead).repartition(routes, "route").sortWithinPartitions("route", "b", "kind").mapInArrow(run, "a long, b long, ok boolean")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows node, comp: the smallest node reachable, for all nodes of the edges.
 
     Each round sends every node to its smallest neighbour's parent and contracts the edges, so
-    the edges shrink fast; each round's tables are written.
+    the edges shrink fast; each round's tables are written, and dropped once they were read.
     """
     links = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "links")
     labels = None
@@ -219,42 +289,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if labels is None:
             labels = parent.select(F.col("a").alias("node"), F.col("p").alias("comp"))
         else:
-            labels = written(labels.join(parent, labels["comp"] == parent["a"], "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels")
+            before, labels = labels, written(labels.join(parent, labels["comp"] == parent["a"], "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels")
+            drop_table(before)
         one = parent.select(F.col("a"), F.col("p").alias("x"))
         two = parent.select(F.col("a").alias("b"), F.col("p").alias("y"))
-        links = written(links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "links")
+        before, links = links, written(links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "links")
+        drop_table(before)
         if links.isEmpty():
             return labels
 
 
-def linked(df: DataFrame, row_id: str = "doc_id") -> DataFrame:
-    """One row per input row: row_id, n_shingles, node (key of its set, null if empty), component_id.
-
-    component_id is the smallest id of its component (its own if it has no words); null ids stay
-    in the result, and a component of null ids only has null. Repeated ids and rows each give a
-    row. An empty table gives no rows. Extra columns are left out.
-    """
-    spark = df.sparkSession
-    scanned = written(_scan(df, row_id), "shingle-scan")
-    nodes = scanned.filter("kind = 0").select(F.col("_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
-    top = scanned.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "node").limit(FREQUENT).toArrow()
-    values = top.column("node").to_numpy().view(np.uint64) if top.num_rows else np.zeros(0, np.uint64)
-    order = np.argsort(values)
-    ranks = np.log2(np.maximum(top.column("n").to_numpy(), 1)).astype(np.uint8) if top.num_rows else np.zeros(0, np.uint8)
-    common = spark.sparkContext.broadcast((values[order], ranks[order]))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000)
-    groups = written(_groups(_postings(df, common, 4 * tasks), tasks), "prefix-groups")
-    # texts of one document for each node in a group; a bitmap of their ids keeps others from being shuffled
-    wanted = groups.select("node").distinct()
-    one = nodes.filter("node is not null").groupBy("node").agg(F.min("_id").alias("_id")).join(wanted, "node", "left_semi")
-    one = written(one.withColumn("tag", F.xxhash64("_id")), "group-nodes")
+def _texts_of(df: DataFrame, row_id: str, chosen: DataFrame) -> DataFrame:
+    """Rows node, text of the chosen nodes (rows _id, node); a bitmap of their ids keeps other texts from being shuffled."""
+    chosen = written(chosen.withColumn("tag", F.xxhash64("_id")), "chosen")
 
     def tags(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             yield mix(batch.column(0).to_numpy().view(np.uint64))
 
-    among, _ = sketch(one.select("tag"), tags, 1 << 24, 1)
+    among, _ = sketch(chosen.select("tag"), tags, 1 << 26, 1)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Sketch = among.value
@@ -266,73 +319,141 @@ def linked(df: DataFrame, row_id: str = "doc_id") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), part.column(2)], names=["_id", "node", "text"])
 
     id_kind = df.schema[row_id].dataType.simpleString()
-    picked = df.select(F.col(row_id).alias("_id"), F.xxhash64(row_id).alias("tag"), "text").mapInArrow(pick, f"_id {id_kind}, node long, text string")
-    texts = written(picked.join(one.select(F.col("_id").alias("_one"), F.col("node").alias("_node")), (F.col("node") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_one"))).select("node", "text"), "group-texts")
+    picked = df.select(F.col(f"`{row_id}`").alias("_id"), F.xxhash64(F.col(f"`{row_id}`")).alias("tag"), "text").mapInArrow(pick, f"_id {id_kind}, node long, text string")
+    wanted = chosen.select(F.col("_id").alias("_one"), F.col("node").alias("_node"))
+    # repeated rows of an id give a node's text more than once
+    return written(picked.join(wanted, (F.col("node") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_one"))).groupBy("node").agg(F.min("text").alias("text")), "chosen-texts")
+
+
+def linked(df: DataFrame, row_id: str = "doc_id") -> DataFrame:
+    """One row per input row: row_id, n_shingles, node (key of its set, null if empty), component_id.
+
+    component_id is the smallest id of its component (its own if it has no words); null ids stay
+    in the result, and a component of null ids only has null. Null and empty texts have no
+    shingles and are linked with nothing; long texts are read whole. Repeated ids and rows each
+    give a row. An empty table gives no rows. Extra columns, whatever their names, are left out.
+    """
+    spark = df.sparkSession
+    scanned = written(_scan(df, row_id), "shingle-scan")
+    nodes = scanned.filter("kind = 0").select(F.col("_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    rows, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    top = scanned.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "node").limit(FREQUENT).toArrow()
+    values = top.column("node").to_numpy().view(np.uint64) if top.num_rows else np.zeros(0, np.uint64)
+    order = np.argsort(values)
+    ranks = np.log2(np.maximum(top.column("n").to_numpy(), 1)).astype(np.uint8) if top.num_rows else np.zeros(0, np.uint8)
+    common = spark.sparkContext.broadcast((values[order], ranks[order]))
+
+    def prefix_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        seen = _Seen()
+        for _, texts in segments(batches, "_text"):
+            if (found := _prefixes(texts, common, seen)) is not None:
+                yield mix(found[-1])
+
+    cells = min(max(CELLS[0], 1 << int(total).bit_length()), CELLS[1])  # about five cells a prefix shingle
+    repeated, _ = sketch(df.select(F.col("text").alias("_text")), prefix_shingles, cells, 2)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000_000)
+    packed = written(_listed(df, row_id, common, repeated, 4 * tasks), "prefixes")
+    lists = written(_lists(packed.filter("bucket >= 0").select("bucket", "tokens", "groups", "sizes"), tasks), "lists")
+    # how much of its prefix a group shares with others: the source of near copies more than each of them
+    share = lists.groupBy("g").agg((F.count("*") / F.first("size")).alias("share"))
+    # nodes of one group share all its shingles, which are in lists with other groups or in none
+    members = packed.filter("bucket < 0").groupBy("node").agg(F.min("_id").alias("_id"), F.first("g").alias("g"), F.first("size").alias("size"))
+    alone = members.groupBy("g").agg(F.count("*").alias("m"), F.min("node").alias("first"))
+    members = written(members.join(alone, "g").join(share, "g", "left").filter("m > 1 or share > 0").select("node", "_id", "g", "size", "first", F.coalesce("share", F.lit(0.0)).alias("share")), "members")
+    drop_table(packed)
     tested = spark.createDataFrame([], "a long, b long, ok boolean")
     comps = spark.createDataFrame([], "node long, comp long")
-    def test(pairs: DataFrame) -> bool:
-        """Verify the pairs a, b and merge the components of those that are linked."""
+
+    def test(pairs: DataFrame, name: str) -> bool:
+        """Verify the pairs a, b and merge the components of those that are linked; false if there were none to test."""
         nonlocal tested, comps
-        done = written(_verified(pairs.select("a", "b"), texts), "verified")
-        if done.isEmpty():
+        pairs = written(pairs.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), name)
+        if pairs.isEmpty():
             return False
+        chosen = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = _texts_of(df, row_id, members.select("node", "_id").join(chosen, "node", "left_semi"))
+        done = written(_verified(pairs, texts), "verified")
+        drop_table(texts)
         tested = tested.unionByName(done)
         if not done.filter("ok").isEmpty():
             comps = components(tested.filter("ok"))
         return True
 
-    def held_by_component() -> DataFrame:
-        return groups.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-    for turn in range(ROUNDS):
-        held = held_by_component()
-        prefer = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
-        lead = held.groupBy("token").agg(F.min_by(F.struct("node", "comp", "size", "place"), prefer).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", "l")
-        pairs = held.join(lead, "token").filter("comp <> l.comp").selectExpr("node x", "size sx", "l.node y", "l.size sy")
-        # leaders that share several shingles first; whether others are linked is found below
-        likely = pairs.groupBy("x", "y", "sx", "sy").agg(F.count("*").alias("c")).filter("c >= 1 + 0.05 * sx")
-        likely = likely.selectExpr("least(x, y) a", "greatest(x, y) b").distinct().join(tested, ["a", "b"], "left_anti")
-        if not test(likely):
-            break
-    held = held_by_component()
-    mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    open_ = held.join(mixed, "token", "left_semi").selectExpr("token", "node x", "size sx", "place px", "comp cx")
-    other = open_.selectExpr("token", "x y", "sx sy", "px py", "cx cy")
-    # all common shingles up to the nearer end of both prefixes are counted, so the rest of that set bounds what else is shared
-    after = f"greatest(({PER_CENT} * sx + 99) div 100, ({PER_CENT} * sy + 99) div 100) - 1"
-    common_ = open_.join(other, "token").filter("cx <> cy and x < y").groupBy("x", "y", "sx", "sy").agg(F.count("*").alias("c"))
-    possible = written(common_.filter(f"c + {after} >= {_need('sx', 'sy')}").selectExpr("x a", "y b", "c / least(sx, sy) c").join(tested, ["a", "b"], "left_anti"), "candidates")
-    for best in (1, None):
-        # the likeliest partners of each node first: pairs that are then in one component need no test
-        side = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        still = possible.join(tested, ["a", "b"], "left_anti").join(side[0], "a", "left").join(side[1], "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)")
-        if best:
-            still = still.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))).filter(F.col("r") <= best)
-        test(still)
-    keyed = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = keyed.filter("comp is not null").groupBy("comp").agg(F.min("_id").alias("least"))
-    return keyed.join(least, "comp", "left").select(
-        F.col("_id").alias(row_id), "n_shingles", "node", F.when(F.col("comp").isNull(), F.col("_id")).otherwise(F.col("least")).alias("component_id")
-    )
+    def units() -> DataFrame:
+        """Members with their components."""
+        return members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def held() -> DataFrame:
+        """The lists with each group's components and the first node of each."""
+        return lists.join(units().groupBy("g", "comp").agg(F.min("node").alias("node"), F.first("share").alias("share")), "g")
+
+    def leads(rows: DataFrame, turn: int) -> DataFrame:
+        """Each list's other groups with its first, by share and then by turn; those that have several shingles in common."""
+        prefer = F.struct(-F.col("share") if turn == 0 else F.lit(0), F.xxhash64("g", F.lit(turn)), F.col("g"), F.col("node"))
+        lead = rows.groupBy("token").agg(F.min_by(F.struct("node", "comp", "size"), prefer).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", "l")
+        pairs = rows.join(lead, "token").filter("comp <> l.comp").selectExpr("node a", "size sx", "l.node b", "l.size sy").filter(_alike("sx", "sy"))
+        return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("sx").alias("sx")).filter("c >= 1 + 0.05 * sx").select("a", "b")
+
+    inner = members.filter("node <> first").selectExpr("node a", "first b")
+    firsts = lists.join(members.filter("node = first").selectExpr("g", "node", "node comp", "share"), "g")
+    going = test(inner.unionByName(leads(firsts, 0)), "first-pairs")
+    for turn in range(1, ROUNDS):
+        going = going and test(leads(held(), turn), "more-pairs")
+    # what is left: pairs of groups across components
+    now = written(held(), "held")
+    mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").selectExpr("token", f"(m + {LIST_ROWS - 1}) div {LIST_ROWS} parts")
+    open_ = now.join(mixed, "token")
+    x = open_.selectExpr("token", "pmod(xxhash64(g, comp), parts) part", "g gx", "size sx", "comp cx")
+    y = open_.selectExpr("token", "explode(sequence(0l, parts - 1)) part", "g gy", "size sy", "comp cy")
+    shared = x.join(y, ["token", "part"]).filter("cx < cy").filter(_alike("sx", "sy")).groupBy("gx", "gy", "cx", "cy").agg(F.count("*").alias("c"), F.first("sx").alias("sx"), F.first("sy").alias("sy"))
+    # a group whose members are in several components, and lists that no other group shares
+    split = units().groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").selectExpr("g gx", "g gy")
+    possible = written(shared.filter(_possible("c", "sx", "sy")).selectExpr("gx", "gy", "c / least(sx, sy) near").unionByName(split.withColumn("near", F.lit(1.0))).groupBy("gx", "gy").agg(F.max("near").alias("near")), "candidates")
+
+    def expanded(rows: DataFrame) -> DataFrame:
+        a, b = rows.selectExpr("g gx", "node a", "comp ca"), rows.selectExpr("g gy", "node b", "comp cb")
+        return possible.join(a, "gx").join(b, "gy").filter("ca <> cb").selectExpr("least(a, b) a", "greatest(a, b) b", "near")
+
+    if not possible.isEmpty():
+        # one member of each component of a group first, of those each one's likeliest partner; then all whose components still differ
+        for best in (True, False):
+            pairs = expanded(units().groupBy("g", "comp").agg(F.min("node").alias("node")))
+            if best:
+                partner = pairs.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b"))
+                pairs = partner.unionByName(pairs.groupBy("b").agg(F.max_by("a", F.struct("near", "a")).alias("a")).select("a", "b"))
+            test(pairs, "group-pairs")
+        test(expanded(units()), "member-pairs")
+    # copies are one row until here; a set that many documents have is dealt over several tasks
+    sets = nodes.filter("node is not null").groupBy("node").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
+    keyed = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = keyed.groupBy("comp").agg(F.min("_least").alias("_first"))
+    found = keyed.join(least, "comp").filter("_n > 1 or comp <> node or not _first <=> _least").selectExpr("node _node", "_first", "_n")
+    found = written(found, "sets")
+    hot = [r[0] for r in found.filter(F.col("_n") * 1000 > rows).select("_node").collect()]  # fewer than 1000
+    part = F.when(F.col("node").isin(hot), F.pmod(F.xxhash64("_id"), F.lit(64))).otherwise(0).alias("_part") if hot else F.lit(0).alias("_part")
+    spread = found.withColumn("_share", F.explode(F.when(F.col("_node").isin(hot), F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0))))) if hot else found.withColumn("_share", F.lit(0))
+    out = nodes.select("*", part).join(spread, (F.col("node") == F.col("_node")) & (F.col("_part") == F.col("_share")), "left")
+    return out.select(F.col("_id").alias(row_id), "n_shingles", "node", F.when(F.col("_node").isNull(), F.col("_id")).otherwise(F.col("_first")).alias("component_id"))
 
 
 def one_of_each(df: DataFrame) -> DataFrame:
-    """The rows whose document is the first of its component; all columns stay.
+    """The rows whose document is the first of its component; all columns stay, whatever their names.
 
     Rows that repeat an id with the same text are one document and stay or go together; rows
-    with a null id or without words stay.
+    with a null id, or with a null or empty text, stay. An empty table stays empty.
     """
     judged = linked(df)
-    drop = judged.filter("doc_id is not null and node is not null and doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
+    one, set_key, mine = free_name(df, "one"), free_name(df, "set"), free_name(df, "key")
+    drop = judged.filter("doc_id is not null and node is not null and doc_id <> component_id").select(F.col("doc_id").alias(one), F.col("node").alias(set_key)).distinct()
     drop_ids = written(drop, "near-copies")
     # an id that is dropped for one text stays for another: only then are keys of texts compared
-    unclear = judged.filter("node is null or doc_id = component_id").select("doc_id").join(drop_ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    unclear = judged.filter("node is null or doc_id = component_id").select("doc_id").join(drop_ids, F.col("doc_id") == F.col(one), "left_semi")
     if unclear.isEmpty():
-        return df.join(drop_ids.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_anti")
+        return df.join(drop_ids.select(one).distinct(), F.col("doc_id") == F.col(one), "left_anti")
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in segments(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_keys(*shingle_sets(texts)))], names=[*batch.schema.names, "_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_keys(*shingle_sets(texts)))], names=[*batch.schema.names, mine])
 
-    keyed = df.mapInArrow(key, df.schema.add("_key", "long"))
-    return keyed.join(drop_ids, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_node")), "left_anti").drop("_key")
+    keyed = df.mapInArrow(key, T.StructType([*df.schema.fields, T.StructField(mine, T.LongType())]))
+    return keyed.join(drop_ids, (F.col("doc_id") == F.col(one)) & (F.col(mine) == F.col(set_key)), "left_anti").drop(mine)

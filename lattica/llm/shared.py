@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .words import U64
 
@@ -18,9 +17,14 @@ BLOCK = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), one is made and set."""
+    """The folder named in spark.checkpoint.dir; where it is unset in local mode (tests), one is made and set.
+
+    On a cluster a folder of one machine would lose rows, so there the setting must be given.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -45,8 +49,12 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def pack(*arrays: np.ndarray) -> list[bytes]:
-    return [np.ascontiguousarray(a).tobytes() for a in arrays]
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
 
 
 class Sketch:
@@ -128,8 +136,3 @@ def sketch(df: DataFrame, values_of: Callable[[Iterator[pa.RecordBatch]], Iterat
         bits[at : at + BLOCK // 8] = row["bits"]
         n += row["n"]
     return spark.sparkContext.broadcast(Sketch(bytes(bits), cells)), n
-
-
-def extra_columns_dropped(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, whatever else the table has."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
