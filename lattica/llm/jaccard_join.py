@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Sketch, drop_table, free_name, sketch, written
+from .shared import Sketch, drop_table, free_name, sketch, spread_join, written
 from .words import NON_BLANK, U64, Words, inside, mix, rolling, segments
 
 SHINGLE = 5
@@ -430,9 +430,7 @@ def linked(df: DataFrame, row_id: str = "doc_id") -> DataFrame:
     found = keyed.join(least, "comp").filter("_n > 1 or comp <> node or not _first <=> _least").selectExpr("node _node", "_first", "_n")
     found = written(found, "sets")
     hot = [r[0] for r in found.filter(F.col("_n") * 1000 > rows).select("_node").collect()]  # fewer than 1000
-    part = F.when(F.col("node").isin(hot), F.pmod(F.xxhash64("_id"), F.lit(64))).otherwise(0).alias("_part") if hot else F.lit(0).alias("_part")
-    spread = found.withColumn("_share", F.explode(F.when(F.col("_node").isin(hot), F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0))))) if hot else found.withColumn("_share", F.lit(0))
-    out = nodes.select("*", part).join(spread, (F.col("node") == F.col("_node")) & (F.col("_part") == F.col("_share")), "left")
+    out = spread_join(nodes, found, "node", "_node", hot, "_id", "left")
     return out.select(F.col("_id").alias(row_id), "n_shingles", "node", F.when(F.col("_node").isNull(), F.col("_id")).otherwise(F.col("_first")).alias("component_id"))
 
 

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .words import U64
 
@@ -57,6 +58,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Parts into which rows of a hot key are dealt.
+SHARES = 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, other: str, hot: list, by: str, how: str = "inner") -> DataFrame:
+    """left joined with right on key = other; rows of hot keys are dealt over SHARES parts by their column `by`.
+
+    `right` has one row a key, and `hot` is a short list, such as keys with a thousandth of the rows each.
+    """
+    if not hot:
+        return left.join(right, F.col(key) == F.col(other), how)
+    dealt = left.withColumn("_share", F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(by), F.lit(SHARES))).otherwise(0))
+    spread = right.withColumn("_part", F.explode(F.when(F.col(other).isin(hot), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(spread, (F.col(key) == F.col(other)) & (F.col("_share") == F.col("_part")), how).drop("_share", "_part")
+
+
 class Sketch:
     """Bitmap of the cells that were counted often enough; a value whose cell isn't set was not."""
 
