@@ -21,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
-from .words import segments
+from .shared import drop_table, sketch, written
+from .words import mix, segments
 
-BUCKETS = 256
+#: Pieces of one length that are ranked in one task, about.
+RANKED = 20_000
+#: Cells of the bitmap of documents that are cut (8 MB broadcast); more input than it suits only moves more texts.
+CELLS = 1 << 26
 #: Distinct words whose ids a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
 
@@ -225,15 +228,16 @@ def pack(df: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end:
     Every sequence is full but for the last few, whose lengths are powers of two.
     """
     cut = written(pieces(df, capacity, tokenizer, end), "pieces")
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     # ranks within a length: each length's rows are dealt to buckets, so a length that many share is no single task
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "text_key"), F.lit(BUCKETS))
+    buckets = 1 + max(histogram.values(), default=0) // RANKED
+    bucket = F.pmod(F.xxhash64("doc_id", "start", "text_key"), F.lit(buckets))
     by = cut.withColumn("bucket", bucket)
     sizes = by.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).select("length", "bucket", "before")
     local = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "text_key")) - 1
     ranked = by.withColumn("local", local).join(before, ["length", "bucket"]).withColumn("rank", (F.col("local") + F.col("before")).cast("long"))
     ranked = ranked.select("doc_id", "text_key", "start", "length", "ids_crc32", "doc_tokens", "rank")
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     records, _ = plan(histogram, capacity)
     by_length: dict[int, np.ndarray] = {}
     for r in records:
@@ -271,9 +275,24 @@ def pack(df: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end:
     if all(r[4] == r[0] for r in records):
         return placed.select(*columns)
     placed = written(placed, "placed")
+    drop_table(cut)
     split = placed.filter(F.col("ids_crc32").isNull())
-    spans = split.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    spans = written(split.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "length")).alias("spans")), "cut-items")
+
+    def tags(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield mix(batch.column(0).to_numpy().view(np.uint64))
+
+    # only texts that an item was cut from are moved; the bitmap tells nearly all others apart where they are read
+    marked, _ = sketch(spans.select(F.xxhash64("doc_id", "text_key")), tags, CELLS, 1)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked.value.holds(mix(batch.column(3).to_numpy().view(np.uint64)))))
+
     texts = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    texts = texts.withColumn("tag", F.xxhash64("doc_id", "text_key"))
+    texts = texts.mapInArrow(pick, texts.schema).drop("tag")
     wanted = texts.join(spans.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
 
     def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
