@@ -2,10 +2,16 @@
 
 Only suffixes that begin at minimisers are kept: of each n-word window the first smallest
 fingerprint of its k-word runs. Any passage of n words has one, at the same place in each copy.
-Suffixes with the same first k words meet in one bucket; there they are sorted, once for each
-number of words by which they are extended to the left, and neighbours are compared over the n
-words from there on. Longer matches are the unions of those of the minimisers within them, so
-n words of context on each side are enough whatever a match's length.
+Each suffix goes with the words around it to where others meet it. There the suffixes are sorted
+by their words, and neighbours are compared: from the lengths that neighbours have in common
+follow all runs of suffixes that agree for a number of words. The same is done with what comes
+before the suffixes, read backwards, so that matches are extended to the left. Places whose two
+runs agree for n words in all hold a repeated passage; longer matches are the unions of those of
+the minimisers within them, so n words around a place are enough whatever a match's length.
+
+A suffix goes two ways: with the words to its right, for passages that have less than half of
+their possible extension to the left, and with those to its left, for the others. So where a
+few words are very common, what meets has about 30 words in common, not k.
 """
 
 from __future__ import annotations
@@ -20,27 +26,95 @@ from pyspark.sql import functions as F
 
 from .shared import sketch, written
 from .substring_dedup import beside, by_bucket, minimisers, places_counted
-from .words import NON_BLANK, U64, Words, covered, mix, rolling, runs, segments
+from .words import NON_BLANK, U64, Words, covered, mix, runs, segments
 
 PASSAGE = 50
 GRAM = 8
 #: Cells of the sketch of minimisers (32 MB broadcast); more input than it suits only sends more suffixes to be sorted.
 CELLS = 1 << 28
-#: Suffixes of one batch.
-BATCH = 40_000
+#: Suffixes of one batch, and suffixes that are sorted at once.
+BATCH, SORTED = 50_000, 1 << 15
 
 TABLE = "route long, batch long, bucket long, n long, suffixes binary, context binary, bits binary, ids array<{kind}>, keys array<long>, words array<int>, counts array<int>, places binary, uids binary"
-#: A distinct suffix of a batch: first words' fingerprint, least and most left extension, whether it occurs twice, and its first occurrence.
-SUFFIX = np.dtype([("key", "<u8"), ("low", "u1"), ("high", "u1"), ("many", "u1"), ("doc", "<i8"), ("at", "<u4")])
+#: A distinct suffix of a batch: way (0: by its right, 1: by its left words), fingerprint of the words that meet, least and most
+#: left extension, whether it occurs twice, and its first occurrence.
+SUFFIX = np.dtype([("way", "u1"), ("key", "<u8"), ("low", "u1"), ("high", "u1"), ("many", "u1"), ("doc", "<i8"), ("at", "<u4")])
+
+
+class Ways:
+    """Which left extensions and which words around a suffix each of both ways has."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.left = n, n - k
+        self.half = (n - k) // 2
+        self.width = max(self.half + n, self.left + n - self.half)
+        #: for each way its extensions, the column of the suffix's first word, and the words that all its passages have
+        self.extensions = range(self.half), range(self.half, self.left + 1)
+        self.place = self.half, self.left
+        self.common = range(n - self.half + 1), range(-self.half, k)
+
+    def context(self, way: int, h: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """32 bits of each word around the places p that lies in a passage (else 0), and fingerprints of the words that all passages have."""
+        offset = np.arange(self.width) - self.place[way]
+        valid = (offset >= -high[:, None]) & (offset < self.n - low[:, None])
+        words = np.where(valid, h[np.clip(p[:, None] + offset, 0, len(h) - 1)], 0).astype(np.uint32)
+        at = self.place[way] + np.array(self.common[way])
+        key = np.full(len(p), way, dtype=np.uint64)
+        for column in at.tolist():
+            key = mix(key + words[:, column].astype(np.uint64))
+        return words, key
+
+
+def _sorted(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's place in the order by key and words, and the words that each row of that order has in common with the one before (-1: another key)."""
+    line = np.concatenate([key.astype(">u8")[:, None].view(np.uint8), np.ascontiguousarray(words.astype(">u4")).view(np.uint8)], axis=1)
+    order = np.argsort(line.view(f"S{line.shape[1]}").ravel(), kind="stable")
+    key, words = key[order], words[order]
+    differ = words[1:] != words[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), words.shape[1])
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return place, np.concatenate([[-1], np.where(key[1:] == key[:-1], common, -1)])
+
+
+def compared(s: np.ndarray, context: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the suffixes the left extensions (bits) whose n words occur again among them, and those whose first place it is."""
+    ways = Ways(n, k)
+    repeat, leads = np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64)
+    order = np.lexsort((s["at"], s["doc"], s["key"], s["way"]))
+    x = s[order]
+    same = (x["key"][1:] == x["key"][:-1]) & (x["way"][1:] == x["way"][:-1])
+    rows = order[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (x["many"] > 0)]
+    x = s[rows]
+    begins = np.flatnonzero(np.concatenate([[True], (x["key"][1:] != x["key"][:-1]) | (x["way"][1:] != x["way"][:-1])])) if len(rows) else np.zeros(0, np.int64)
+    turns = np.flatnonzero(np.concatenate([[True], (begins[1:] // SORTED != begins[:-1] // SORTED) | (x["way"][begins[1:]] != x["way"][begins[:-1]])])) if len(rows) else []
+    cuts = [*begins[turns].tolist(), len(rows)] if len(rows) else [0]
+    for b, e in zip(cuts[:-1], cuts[1:], strict=True):
+        r, part = rows[b:e], x[b:e]
+        way = int(part["way"][0])
+        words, z = context[r], ways.place[way]
+        right, after = _sorted(part["key"], words[:, z:])
+        left, before = _sorted(part["key"], words[:, :z][:, ::-1])
+        for o in ways.extensions[way]:
+            use = np.flatnonzero((part["low"] <= o) & (part["high"] >= o))
+            if not len(use):
+                continue
+            run = np.cumsum(after < n - o)[right[use]] * np.int64(len(r) + 1) + np.cumsum(before < o)[left[use]]
+            by = np.argsort(run, kind="stable")  # rows are in the order of their first occurrences
+            equal = run[by][1:] == run[by][:-1]
+            twice = np.concatenate([[False], equal]) | np.concatenate([equal, [False]]) | (part["many"][use[by]] > 0)
+            bit = np.uint64(1) << np.uint64(o)
+            repeat[r[use[by[twice]]]] |= bit
+            leads[r[use[by[np.concatenate([[True], ~equal])]]]] |= bit
+    return repeat, leads
 
 
 def _suffixes(df: DataFrame, n: int, k: int, known: object, buckets: int, kind: str) -> DataFrame:
-    left = n - k
-    width = left + n
+    ways = Ways(n, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        factors = np.random.default_rng(5).integers(1, 2**63, width, dtype=np.uint64) * U64(2) + U64(1)
+        factors = np.random.default_rng(5).integers(1, 2**63, ways.width, dtype=np.uint64) * U64(2) + U64(1)
         schema, turn = None, 0
         suffix, context, place, ids, keys, sizes, counts, held = [], [], [], [], [], [], [], 0
 
@@ -49,9 +123,9 @@ def _suffixes(df: DataFrame, n: int, k: int, known: object, buckets: int, kind:
             s, c = np.concatenate(suffix), np.concatenate(context)
             bucket = (s["key"] % U64(buckets)).astype(np.int64)
             whole = mix((c.astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64) + s["low"].astype(np.uint64) * U64(257) + s["high"])
-            order = np.lexsort((s["at"], s["doc"], whole, s["key"], bucket))
+            order = np.lexsort((s["at"], s["doc"], whole, s["way"], s["key"], bucket))
             s, c, bucket, whole = s[order], c[order], bucket[order], whole[order]
-            new = np.concatenate([[True], (s["key"][1:] != s["key"][:-1]) | (whole[1:] != whole[:-1])])
+            new = np.concatenate([[True], (s["key"][1:] != s["key"][:-1]) | (s["way"][1:] != s["way"][:-1]) | (whole[1:] != whole[:-1]) | (c[1:] != c[:-1]).any(axis=1)])
             number_of = np.cumsum(new) - 1
             uid = np.empty(len(s), dtype=np.uint32)
             # the lowest bit: the first occurrence of its suffix in this batch
@@ -79,16 +153,22 @@ def _suffixes(df: DataFrame, n: int, k: int, known: object, buckets: int, kind:
             p, high, low = p[hit], high[hit], low[hit]
             if not len(p):
                 continue
-            offset = np.arange(-left, n)
-            index = p[:, None] + offset
-            valid = (offset >= -high[:, None]) & (offset < n - low[:, None])
             h = (words.hashes() >> U64(32)).astype(np.uint32)
-            context.append(np.where(valid, h[np.clip(index, 0, len(h) - 1)], 0).astype(np.uint32))
-            doc = words.doc[p]
-            s = np.zeros(len(p), dtype=SUFFIX)
-            s["key"], s["low"], s["high"] = grams[p], low, high
-            s["doc"], s["at"] = batch.column(3).to_numpy()[doc], p - words.first[doc]
+            each = []
+            for way, extensions in enumerate(ways.extensions):
+                some = np.flatnonzero((low < extensions.stop) & (high >= extensions.start))
+                lo, hi = np.maximum(low[some], extensions.start), np.minimum(high[some], extensions.stop - 1)
+                c, key = ways.context(way, h, p[some], lo, hi)
+                s = np.zeros(len(some), dtype=SUFFIX)
+                s["way"], s["key"], s["low"], s["high"] = way, key, lo, hi
+                doc = words.doc[p[some]]
+                s["doc"], s["at"] = batch.column(3).to_numpy()[doc], p[some] - words.first[doc]
+                each.append((s, c, doc))
+            s, c, doc = (np.concatenate(x) for x in zip(*each, strict=True))
+            order = np.argsort(doc, kind="stable")
+            s, c, doc = s[order], c[order], doc[order]
             suffix.append(s)
+            context.append(c)
             place.append(s["at"])
             count = np.bincount(doc, minlength=len(texts))
             some = np.flatnonzero(count)
@@ -96,7 +176,7 @@ def _suffixes(df: DataFrame, n: int, k: int, known: object, buckets: int, kind:
             keys.append(batch.column(1).to_numpy()[some])
             sizes.append(words.count[some])
             counts.append(count[some])
-            held += len(p)
+            held += len(s)
             if held >= BATCH:
                 yield flush()
         if held:
@@ -106,45 +186,8 @@ def _suffixes(df: DataFrame, n: int, k: int, known: object, buckets: int, kind:
 
 
 def _compared(suffixes: DataFrame, n: int, k: int, tasks: int, kind: str) -> DataFrame:
-    """For each distinct suffix the left extensions (bits) whose n words repeat, and those whose first place it is."""
-    left = n - k
-    width = left + n
-
-    def compare(s: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        repeat, leads = np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64)
-        order = np.argsort(s["key"], kind="stable")
-        key = s["key"][order]
-        same = key[1:] == key[:-1]
-        several = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) | (s["many"][order] > 0)
-        rows = order[several]
-        if not len(rows):
-            return repeat, leads
-        for at in range(0, len(rows), 1 << 16):
-            # whole key groups at once: begin and end where the key changes
-            b = at if at == 0 else int(np.searchsorted(s["key"][rows], s["key"][rows[at]]))
-            e = len(rows) if at + (1 << 16) >= len(rows) else int(np.searchsorted(s["key"][rows], s["key"][rows[at + (1 << 16)]]))
-            r = rows[b:e]
-            if not len(r):
-                continue
-            base = 0x5851F42D4C957F2D
-            power = np.array([pow(base, j, 1 << 64) for j in range(width)], dtype=np.uint64)
-            back = np.array([pow(pow(base, -1, 1 << 64), j, 1 << 64) for j in range(width)], dtype=np.uint64)
-            sums = np.concatenate([np.zeros((len(r), 1), np.uint64), np.cumsum(mix(context[r].astype(np.uint64) + U64(1)) * power, axis=1, dtype=np.uint64)], axis=1)
-            for o in range(left + 1):
-                use = np.flatnonzero((s["low"][r] <= o) & (s["high"][r] >= o))
-                if not len(use):
-                    continue
-                window = mix((sums[use, left - o + n] - sums[use, left - o]) * back[left - o]) ^ s["key"][r[use]]
-                x = s[r[use]]
-                by = np.lexsort((x["at"], x["doc"], window))
-                window = window[by]
-                equal = window[1:] == window[:-1]
-                lead = np.concatenate([[True], ~equal])
-                twice = np.concatenate([[False], equal]) | np.concatenate([equal, [False]]) | (x["many"][by] > 0)
-                bit = U64(1) << U64(o)
-                repeat[r[use[by[twice]]]] |= bit
-                leads[r[use[by[lead]]]] |= bit
-        return repeat, leads
+    """The bits of compared() for each batch's suffixes; rows of documents pass."""
+    width = Ways(n, k).width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -154,13 +197,13 @@ def _compared(suffixes: DataFrame, n: int, k: int, tasks: int, kind: str) -> Dat
             bucket = batch.column(2).to_numpy()
             if (bucket < 0).any():
                 yield batch.filter(pa.array(bucket < 0))
-            for u, number, m, s, c in batch.filter(pa.array(bucket >= 0)).select(["bucket", "batch", "n", "suffixes", "context"]).to_pandas().itertuples(index=False):
+            for u, number, m, s, c in zip(*(x.to_pylist() for x in batch.filter(pa.array(bucket >= 0)).select(["bucket", "batch", "n", "suffixes", "context"]).columns), strict=True):
                 held.setdefault(u, []).append((number, m, s, c))
         while held:
             u, rows = held.popitem()
             s = np.concatenate([np.frombuffer(r[2], SUFFIX) for r in rows])
             c = np.concatenate([np.frombuffer(r[3], np.uint32).reshape(-1, width) for r in rows])
-            repeat, leads = compare(s, c)
+            repeat, leads = compared(s, c, n, k)
             out, at = [], 0
             for number, m, *_ in rows:
                 out.append(dict(route=-1 - number, batch=number, bucket=u, n=m, bits=np.stack([repeat[at : at + m], leads[at : at + m]]).tobytes()))
@@ -178,15 +221,15 @@ def passages(df: DataFrame, n: int = PASSAGE, k: int = GRAM, cells: int = CELLS,
     numbers. Words are cut at ASCII white space; null and empty texts and texts under n words have
     none. Repeated rows are copies of each other; null ids come last in the order.
     """
-    if not k < n <= 64 + k:
-        raise ValueError("passages of more than k and at most 64 + k words are compared")
+    if not k < n < 64 + k:
+        raise ValueError("passages of more than k and less than 64 + k words are compared")
     spark = df.sparkSession
     kind = df.schema[row_id].dataType.simpleString()
     rank = F.col(row_id).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(row_id)
     own = df.select(F.col(row_id).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"), F.col(text).alias("_text"), F.coalesce(rank, F.lit(2**63 - 1)).alias("_rank"))
     known, counted = sketch(own.select("_text"), places_counted(n, k), cells, 2)
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(base, counted // 50_000)
+    tasks = max(base, counted // 25_000)
     table = written(_compared(_suffixes(own, n, k, known, 4 * tasks, kind), n, k, tasks, kind), "suffix-groups")
     bits = table.filter("bucket >= 0").groupBy("batch").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("parts"))  # one row a bucket, of at most BATCH suffixes
     both = table.filter("bucket < 0").select("batch", "ids", "keys", "words", "counts", "places", "uids").join(bits, "batch").drop("batch")
