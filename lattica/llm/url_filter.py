@@ -2,7 +2,7 @@
 
 URLs that a rule decides are the labelled ones; the trees learn from them what blocked URLs look
 like and judge the rest. Features: lengths, path depth, digit ratio, character entropy, number of
-parameters, and how often labelled URLs of the host's suffix are blocked (over all rows).
+parameters, and how often other labelled URLs of the host's suffix are blocked (over all rows).
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import spread_join, written
+
 #: Fixed rules: host and path, then the verdict.
 RULES = (
     ("net/", "block"),
@@ -24,17 +26,21 @@ RULES = (
 )
 
 
+#: Weight of the share of all labelled URLs in a suffix's share.
+PRIOR = 10
+#: URLs whose bytes are counted at once.
+COUNTED = 2048
+
+
 @dataclass(frozen=True)
 class Boosting:
-    """rows: labelled URLs that the trees are fitted on, at most; suffix_bins: hashed host suffixes
-    whose statistics are kept (a bounded table, whatever the number of suffixes)."""
+    """rows: labelled URLs that the trees are fitted on, at most."""
 
     rows: int = 20_000
     trees: int = 30
     depth: int = 3
     rate: float = 0.3
     bins: int = 32
-    suffix_bins: int = 4096
 
 
 def host_of(url: Column) -> Column:
@@ -56,19 +62,43 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def features(url: pd.Series, host: pd.Series, path: pd.Series, blocked: pd.Series) -> np.ndarray:
-    """Lexical features, a row per URL."""
-    out = np.zeros((len(url), 9))
-    for i, (u, h, p) in enumerate(zip(url.fillna(""), host, path, strict=True)):
-        raw = u.encode("utf-8", "replace")
-        n = len(raw)
-        if n:
-            count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-            share = count[count > 0] / n
-            query = u.partition("?")[2].partition("#")[0]
-            out[i, :8] = (n, len(h), h.count(".") + 1, p.count("/"), count[48:58].sum() / n, -(share * np.log2(share)).sum(), query.count("&") + 1 if query else 0, len(p))
-    out[:, 8] = blocked
-    return out
+def entropy(urls: pd.Series) -> np.ndarray:
+    """Shannon entropy of each URL's bytes (null or empty: 0)."""
+    out = []
+    raw = [u.encode("utf-8", "replace") if u else b"" for u in urls]
+    for at in range(0, len(raw), COUNTED):
+        part = raw[at : at + COUNTED]
+        size = np.array([len(r) for r in part])
+        count = np.bincount(np.repeat(np.arange(len(part)) * 256, size) + np.frombuffer(b"".join(part), np.uint8), minlength=256 * len(part)).reshape(-1, 256)
+        share = count / np.maximum(size, 1)[:, None]
+        out.append(-(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _times(text: Column, char: str) -> Column:
+    """How often a character of one byte occurs."""
+    return F.octet_length(text) - F.octet_length(F.translate(text, char, ""))
+
+
+def lexical(url: Column, host: Column, path: Column) -> list[Column]:
+    """Lexical features but for the entropy: lengths in bytes, labels of the host, depth, digit ratio, parameters."""
+    u = F.coalesce(url, F.lit(""))
+    n = F.octet_length(u)
+    query = F.regexp_extract(u, r"(?s)^[^?]*\?([^#]*)", 1)
+    digits = n - F.octet_length(F.translate(u, "0123456789", ""))
+    columns = {
+        "f_bytes": n,
+        "f_host": F.octet_length(host),
+        "f_labels": _times(host, ".") + 1,
+        "f_depth": _times(path, "/"),
+        "f_digits": digits / F.greatest(n, F.lit(1)),
+        "f_parameters": F.when(query == "", 0).otherwise(_times(query, "&") + 1),
+        "f_path": F.octet_length(path),
+    }
+    return [c.cast("double").alias(name) for name, c in columns.items()]
+
+
+LEXICAL = ["f_bytes", "f_host", "f_labels", "f_depth", "f_digits", "f_parameters", "f_path"]
 
 
 class Trees:
@@ -128,33 +158,41 @@ def judged(df: DataFrame, how: Boosting = Boosting(), row_id: str = "page_id", u
     A null url or one without :// has an empty host and path, no rule, and is judged by the trees
     like others. Repeated rows each give a row, null ids stay, an empty table gives none; extra
     columns are left out. Where no URL, or only URLs of one verdict, are labelled, the rest is
-    allowed, or gets that verdict.
+    allowed, or gets that verdict. The share of a suffix leaves the URL itself out; hosts without a
+    labelled other URL get the share of all. URLs of any length are read whole.
     """
     spark = df.sparkSession
     u = F.col("_url")
     base = df.select(F.col(f"`{row_id}`").alias("_id"), F.col(f"`{url}`").alias("_url"))
     base = base.select("*", host_of(u).alias("host"), path_of(u).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    suffix = F.pmod(F.xxhash64(F.substring_index("host", ".", -2)), F.lit(how.suffix_bins)).cast("int")
-    base = base.select("*", rule.alias("rule"), verdict.alias("_rule_verdict"), suffix.alias("_bin"))
-    stats = base.filter("rule is not null").groupBy("_bin").agg(F.count_if(F.col("_rule_verdict") == "block").alias("b"), F.count("*").alias("n")).collect()  # at most suffix_bins rows
-    total = (sum(r["b"] for r in stats) + 1) / (sum(r["n"] for r in stats) + 2)
-    share = np.full(how.suffix_bins, total)
-    for r in stats:
-        share[r["_bin"]] = (r["b"] + 10 * total) / (r["n"] + 10)
-    sample = base.filter("rule is not null").orderBy(F.xxhash64("_url"), "_url").limit(how.rows).select("_url", "host", "path", "_bin", "_rule_verdict").toPandas()
+    base = base.select("*", rule.alias("rule"), verdict.alias("_rule_verdict"), F.substring_index("host", ".", -2).alias("_suffix"))
+    blocked = F.col("_rule_verdict") == "block"
+    stats = written(base.groupBy(F.col("_suffix").alias("_of")).agg(F.count_if(blocked).alias("_b"), F.count("rule").alias("_n"), F.count("*").alias("_all")), "url-suffixes")
+    b, n, rows = stats.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("_b", "_n", "_all")]).first()
+    total = (b + 1) / (n + 2)
+    # rows of a suffix that very many share are dealt out
+    hot = [r[0] for r in stats.filter(F.col("_all") * 1000 > rows).select("_of").collect()]  # fewer than 1000
+    known = spread_join(base, stats.filter("_n > 0").drop("_all"), "_suffix", "_of", hot, "_url", "left")
+    own = F.when(F.col("rule").isNull(), 0).otherwise(1)
+    share = (F.coalesce(F.col("_b"), F.lit(0)) - F.coalesce(blocked, F.lit(False)).cast("int") + PRIOR * total) / (F.coalesce(F.col("_n"), F.lit(0)) - own + PRIOR)
+    known = known.select("_id", "_url", "host", "path", "rule", "_rule_verdict", *lexical(u, F.col("host"), F.col("path")), share.alias("f_share"))
+    # about as many rows as are wanted, by a hash of the URL, so that no task sends more than its part
+    place = F.pmod(F.xxhash64("_url"), F.lit(1 << 30))
+    some = known.filter("rule is not null").filter(place < int((1 << 30) * min(1.0, 1.2 * how.rows / max(n, 1)))).orderBy(place, "_url").limit(how.rows)
+    sample = some.select("_url", *LEXICAL, "f_share", "_rule_verdict").toPandas()
     y = (sample["_rule_verdict"] == "block").to_numpy(dtype=np.float64)
     trees = None
     if 0 < y.sum() < len(y):
-        trees = Trees(features(sample["_url"], sample["host"], sample["path"], share[sample["_bin"].to_numpy(dtype=np.int64)]), y, how)
-    shared = spark.sparkContext.broadcast((share, trees, float(y.mean()) if len(y) else 0.0))
+        trees = Trees(np.column_stack([sample[c] for c in [*LEXICAL, "f_share"]] + [entropy(sample["_url"])]), y, how)
+    shared = spark.sparkContext.broadcast((trees, float(y.mean()) if len(y) else 0.0))
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        table, model, otherwise = shared.value
-        for a, b, c, d in batches:
-            yield pd.Series(model.predict(features(a, b, c, table[d.to_numpy(dtype=np.int64)])) if model else np.full(len(a), otherwise))
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        model, otherwise = shared.value
+        for text, *columns in batches:
+            yield pd.Series(model.predict(np.column_stack([*columns, entropy(text)])) if model else np.full(len(text), otherwise))
 
-    out = base.withColumn("score", score("_url", "host", "path", "_bin"))
+    out = known.withColumn("score", score("_url", *LEXICAL, "f_share"))
     method = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return out.select(F.col("_id").alias(row_id), "host", "path", "rule", "score", F.coalesce("_rule_verdict", method).alias("verdict"))
