@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .words import ALNUM, Words, inside, rolling, segments
 
@@ -105,14 +106,17 @@ def leaks(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: str
     """Rows row_id, item_id, distance, first_word, last_word: each item's closest place in each text.
 
     Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z. Null and
-    empty texts and items match nothing; items under LEAST_WORDS words match exactly. Repeated rows give
-    a row each; null ids are kept. Items are read in blocks of ITEMS_A_PASS, each broadcast.
+    empty texts and items match nothing; items under LEAST_WORDS words match exactly; long texts are
+    searched whole. Of equally near places that whose piece comes first in the text is given. Repeated
+    rows, of either table, give a row each; null ids are kept. An empty table of either kind gives no
+    rows; extra columns are left out. Items are read in blocks of ITEMS_A_PASS, each broadcast.
     """
     spark = df.sparkSession
     source = df.select(F.col(row_id).alias("_id"), F.col(text).alias("_text"))
     items = benchmark.select("item_id", "text")
     passes = max(1, -(-items.count() // ITEMS_A_PASS))
     id_kind, item_kind = df.schema[row_id].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for p in range(passes):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p) if passes > 1 else items
@@ -120,7 +124,6 @@ def leaks(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: str
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = shared.value
-            item_type = None
             for batch, texts in segments(batches, "_text"):
                 words = Words(texts, ALNUM, lower=True)
                 best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -142,7 +145,6 @@ def leaks(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: str
                 if best:
                     at = pa.array([d for d, _ in best], pa.int64())
                     values = list(best.values())
-                    item_type = item_type or (pa.int64() if isinstance(known.ids[0], int) else None)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(at), pa.array([known.ids[i] for _, i in best], item_type), *(pa.array([v[k] for v in values], pa.int64()) for k in range(3))],
                         names=["_id", "item_id", "distance", "first_word", "last_word"],
@@ -154,8 +156,11 @@ def leaks(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: str
 
 
 def without_leaks(df: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows whose text holds no benchmark item; all columns stay. No text is shuffled: each row is judged where it lies."""
-    # a verdict for each row in place: the text itself is the only key needed
+    """The rows whose text holds no benchmark item; all columns stay, whatever their names.
+
+    No text is shuffled: each row is judged where it lies. Null and empty texts stay; repeated rows are
+    judged each; long texts are searched whole; without items, or rows, the table stays as it is.
+    """
     spark = df.sparkSession
     items = benchmark.select("item_id", "text")
     passes = max(1, -(-items.count() // ITEMS_A_PASS))
