@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import free_name, written
 
 SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -240,10 +240,12 @@ def keep_good(df: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFram
     """The rows of df that the rules keep, with all its columns; rows that share an id are judged each.
 
     A verdict follows from the text and the stratum, so it is joined by the id and a hash of both.
+    Null and empty texts fail the base rule; long texts are judged whole; an empty table stays
+    empty; extra columns, whatever their names, stay as they are.
     """
-    tag = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")))
-    with_tag = df.select("doc_id", "lang", "text").withColumn("_tag", tag)
-    m = written(metrics(with_tag, ["doc_id", "lang", "_tag"]), "quality-metrics")
+    tag, judged_id, judged_tag = free_name(df, "tag"), free_name(df, "id"), free_name(df, "good")
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")))
+    m = written(metrics(df.select("doc_id", "lang", "text", hashed.alias("_tag")), ["doc_id", "lang", "_tag"]), "quality-metrics")
     marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
     chosen = thresholds(m.filter(~base_failed()).join(marked, "doc_id"), "lang", "good", risk)
     per = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut"))
@@ -251,5 +253,5 @@ def keep_good(df: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFram
     for r in RULES:
         hit = hit | F.coalesce(F.col(r) >= F.col("cut")[r], F.lit(False))
     good = m.join(per, F.col("lang").eqNullSafe(F.col("stratum")), "left").filter(~base_failed() & ~hit)
-    good = good.select(F.col("doc_id").alias("_id"), F.col("_tag").alias("_good")).distinct()
-    return df.withColumn("_tag", tag).join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("_good")), "left_semi").drop("_tag")
+    good = good.select(F.col("doc_id").alias(judged_id), F.col("_tag").alias(judged_tag)).distinct()
+    return df.withColumn(tag, hashed).join(good, F.col("doc_id").eqNullSafe(F.col(judged_id)) & (F.col(tag) == F.col(judged_tag)), "left_semi").drop(tag)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sketch, written
+from .shared import free_name, sketch, written
 from .words import NON_BLANK, U64, Words, covered, inside, minimiser_at, mix, rolling, runs, segments
 
 GRAM = 16
@@ -184,9 +184,10 @@ def repeated(df: DataFrame, n: int = 35, k: int = GRAM, cells: int = CELLS, row_
 
 def beside(df: DataFrame, found: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the found columns of the row with its id and text (null: none)."""
-    right = found.withColumnRenamed("_id", "_fid").withColumnRenamed("_key", "_fkey")
+    own, other = free_name(df, "found_id"), free_name(df, "found_key")
+    right = found.withColumnRenamed("_id", own).withColumnRenamed("_key", other)
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    return df.join(right, F.col(row_id).eqNullSafe(F.col("_fid")) & (key == F.col("_fkey")), "left").drop("_fid", "_fkey")
+    return df.join(right, F.col(row_id).eqNullSafe(F.col(own)) & (key == F.col(other)), "left").drop(own, other)
 
 
 def remove_repeated(df: DataFrame, n: int = 35, k: int = GRAM, cells: int = CELLS, row_id: str = "doc_id", text: str = "text") -> DataFrame:

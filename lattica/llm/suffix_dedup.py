@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sketch, written
+from .shared import free_name, sketch, written
 from .substring_dedup import beside, by_bucket, minimisers, places_counted
 from .words import NON_BLANK, U64, Words, covered, mix, runs, segments
 
@@ -219,7 +219,8 @@ def passages(df: DataFrame, n: int = PASSAGE, k: int = GRAM, cells: int = CELLS,
     repeated: runs of words in such passages; removed: those of them that aren't the passage's
     first occurrence (by row id, then place). Each holds begins, then ends, as unsigned 32-bit
     numbers. Words are cut at ASCII white space; null and empty texts and texts under n words have
-    none. Repeated rows are copies of each other; null ids come last in the order.
+    none; long texts are read whole. Repeated rows are copies of each other; null ids come last in
+    the order, and ties of the order keep either. An empty table has none; extra columns are left out.
     """
     if not k < n < 64 + k:
         raise ValueError("passages of more than k and less than 64 + k words are compared")
@@ -298,16 +299,18 @@ def without_repeats(df: DataFrame) -> DataFrame:
 
     n_chars, where there is such a column, becomes the length of the text that is left. A text
     keeps its white space but for that after words which go. Rows without a removed passage are
-    unchanged, nulls included; a text of which nothing is left stays as an empty one.
+    unchanged, nulls included; a text of which nothing is left stays as an empty one. Long texts
+    are read whole; an empty table stays empty; extra columns may have any names.
     """
+    gone_words = free_name(df, "removed")
     # texts that occur twice give several equal-keyed rows: one whose words are all kept is the first
-    found = passages(df).groupBy("_id", "_key").agg(F.min_by("removed", F.struct(F.length("removed"), "removed")).alias("removed"))
-    both = beside(df, found.filter(F.length("removed") > 0).withColumnRenamed("removed", "_removed"))
+    found = passages(df).groupBy("_id", "_key").agg(F.min_by("removed", F.struct(F.length("removed"), "removed")).alias(gone_words))
+    both = beside(df, found.filter(F.length(gone_words) > 0))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            gone = batch.column(batch.schema.get_field_index("_removed")).to_pylist()
+            gone = batch.column(batch.schema.get_field_index(gone_words)).to_pylist()
             texts = batch.column(at).to_pylist()
             for i, r in enumerate(gone):
                 if r:
@@ -319,8 +322,8 @@ def without_repeats(df: DataFrame) -> DataFrame:
                         left.append(words.data[place : edge[x]])
                         place = edge[y]
                     texts[i] = b"".join([*left, words.data[place:-1]]).decode()
-            columns = [pa.array(texts, batch.schema.field(at).type) if j == at else c for j, c in enumerate(batch.columns) if batch.schema.names[j] != "_removed"]
-            yield pa.RecordBatch.from_arrays(columns, names=[x for x in batch.schema.names if x != "_removed"])
+            columns = [pa.array(texts, batch.schema.field(at).type) if j == at else c for j, c in enumerate(batch.columns) if batch.schema.names[j] != gone_words]
+            yield pa.RecordBatch.from_arrays(columns, names=[x for x in batch.schema.names if x != gone_words])
 
     out = both.mapInArrow(cut, df.schema)
     if "n_chars" in df.columns:
