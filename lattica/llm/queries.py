@@ -113,7 +113,35 @@ SELECT page_id, n AS payload_bytes,
 FROM d
 """
 
+PASSAGE_SQL = """
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM t WHERE len(ws) >= 50),
+k AS (SELECT doc_id, i, hash(array_to_string(ws[i:i + 49], ' ')) AS g, md5(array_to_string(ws[i:i + 49], ' ')) AS m FROM w),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY g, m) AS n, row_number() OVER (PARTITION BY g, m ORDER BY doc_id, i) AS place FROM k),
+c AS (SELECT doc_id, p, max(later) AS gone FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p, (place > 1)::BIGINT AS later FROM r WHERE n > 1) GROUP BY doc_id, p),
+s AS (SELECT doc_id, p, gone, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS span FROM c)
+SELECT doc_id, (min(p) - 1)::BIGINT AS first_word, count(*)::BIGINT AS n_words, sum(gone)::BIGINT AS n_removed FROM s GROUP BY doc_id, span
+"""
+
+JACCARD_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+),
+e AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM t
+),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM e),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS m, b.n AS n, count(*) AS c FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (m + n - c) UNION ALL SELECT b, a FROM p WHERE 100 * c >= 80 * (m + n - c)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT e.doc_id, len(s)::BIGINT AS n_shingles, least(e.doc_id, coalesce(q.first, e.doc_id)) AS component_id
+FROM e LEFT JOIN (SELECT a, min(b) AS first FROM r GROUP BY a) q ON q.a = e.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op8_warc_archives": WARC_SQL,
     "op2_repeated_windows": WINDOW_SQL,
+    "op5_suffix_passages": PASSAGE_SQL,
+    "op10_jaccard_join": JACCARD_SQL,
 }
