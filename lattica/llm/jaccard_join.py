@@ -6,8 +6,8 @@
    A sketch of all prefix shingles tells which occur once only; those are not listed.
 3. Nodes with the same prefix and size are one group. A shingle's list holds the groups that have
    it in their prefix, each once.
-4. Group pairs are filtered: sizes within the similarity, and enough shared prefix shingles to
-   reach it at all with what comes after the prefixes. Each list's first group is paired with the
+4. Group pairs are filtered: sizes within the similarity, places of a shared shingle that leave
+   room for it, and enough shared prefix shingles to reach it with what comes after the prefixes. Each list's first group is paired with the
    others before; pairs of groups that are then in one component are left out, so that a large
    group of near copies is not paired with itself.
 5. Pairs of groups that pass are expanded to members, and those are verified on the whole sets,
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,7 +116,7 @@ def _scan(df: DataFrame, row_id: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(sizes.astype(np.int64)), pa.array(np.zeros(len(keys), np.int32))], names=names)
             pending.append(grams[seen.fresh(keys)[doc]])
             held += len(pending[-1])
-            if held > 3_000_000 and (out := frequent()) is not None:
+            if held > 1_500_000 and (out := frequent()) is not None:
                 yield out
         if pending and (out := frequent()) is not None:
             yield out
@@ -126,7 +126,7 @@ def _scan(df: DataFrame, row_id: str) -> DataFrame:
 
 
 def _prefixes(texts: list[bytes], common: object, seen: _Seen) -> tuple[np.ndarray, ...] | None:
-    """Of texts whose sets are new to the task: their numbers, set keys, sizes, group keys, prefix lengths, and prefix shingles."""
+    """Of texts whose sets are new to the task: their numbers, set keys, sizes, group keys, prefix lengths, places in the prefixes, and prefix shingles."""
     values, ranks = common.value
     doc, grams, sizes = shingle_sets(texts)
     keys = set_keys(doc, grams, sizes)
@@ -148,12 +148,12 @@ def _prefixes(texts: list[bytes], common: object, seen: _Seen) -> tuple[np.ndarr
     inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
     tokens = grams[np.repeat(begin, length) + inner]
     group = mix(_keys(tokens, length, 2) + own.astype(np.uint64))
-    return np.flatnonzero(new), keys[new], own, group, length, tokens
+    return np.flatnonzero(new), keys[new], own, group, length, inner, tokens
 
 
 def _listed(df: DataFrame, row_id: str, common: object, repeated: object, buckets: int) -> DataFrame:
     """Rows of members (bucket -1: _id, node, g, size) and, packed by bucket, of prefix shingles with their groups."""
-    names = ["bucket", "_id", "node", "g", "size", "tokens", "groups", "sizes"]
+    names = ["bucket", "_id", "node", "g", "size", "tokens", "groups", "sizes", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, groups = _Seen(), _Seen()
@@ -163,7 +163,7 @@ def _listed(df: DataFrame, row_id: str, common: object, repeated: object, bucket
 
         def flush() -> pa.RecordBatch:
             nonlocal parts, held
-            token, group, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            token, group, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts, held = [], 0
             bucket = ((token >> U64(20)) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -171,14 +171,14 @@ def _listed(df: DataFrame, row_id: str, common: object, repeated: object, bucket
             rows = [order[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             n = len(rows)
             return pa.RecordBatch.from_arrays(
-                [pa.array(bucket[order][cut[:-1]]), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())] + [pa.array([x[r].tobytes() for r in rows], pa.binary()) for x in (token, group, size)], names=names
+                [pa.array(bucket[order][cut[:-1]]), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())] + [pa.array([x[r].tobytes() for r in rows], pa.binary()) for x in (token, group, size, place)], names=names
             )
 
         for batch, texts in segments(batches, "_text"):
             kind = batch.column(0).type
             if (found := _prefixes(texts, common, seen)) is None:
                 continue
-            at, keys, own, group, length, tokens = found
+            at, keys, own, group, length, inner, tokens = found
             hit = repeated.value.holds(mix(tokens))
             owner = np.repeat(np.arange(len(at)), length)
             listed = np.bincount(owner[hit], minlength=len(at)) > 0
@@ -186,22 +186,22 @@ def _listed(df: DataFrame, row_id: str, common: object, repeated: object, bucket
             if not n:
                 continue
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, -1)), batch.column(0).take(pa.array(at[listed])), pa.array(keys[listed]), pa.array(group[listed].view(np.int64)), pa.array(own[listed].astype(np.int32))] + [pa.nulls(n, pa.binary())] * 3, names=names
+                [pa.array(np.full(n, -1)), batch.column(0).take(pa.array(at[listed])), pa.array(keys[listed]), pa.array(group[listed].view(np.int64)), pa.array(own[listed].astype(np.int32))] + [pa.nulls(n, pa.binary())] * 4, names=names
             )
             hit &= groups.fresh(group)[owner]  # a group's shingles go out once a task
-            parts.append((tokens[hit], group[owner[hit]], own[owner[hit]].astype(np.uint32)))
+            parts.append((tokens[hit], group[owner[hit]], own[owner[hit]].astype(np.uint32), inner[hit].astype(np.uint32)))
             held += int(hit.sum())
-            if held > 1_000_000:
+            if held > 500_000:
                 yield flush()
         if held:
             yield flush()
 
     id_kind = df.schema[row_id].dataType.simpleString()
-    return df.select(F.col(f"`{row_id}`").alias("_id"), F.col("text").alias("_text")).mapInArrow(run, f"bucket long, _id {id_kind}, node long, g long, size int, tokens binary, groups binary, sizes binary")
+    return df.select(F.col(f"`{row_id}`").alias("_id"), F.col("text").alias("_text")).mapInArrow(run, f"bucket long, _id {id_kind}, node long, g long, size int, tokens binary, groups binary, sizes binary, places binary")
 
 
 def _lists(packed: DataFrame, tasks: int) -> DataFrame:
-    """Rows token, g, size of shingles that several groups, or a group's several members, may share."""
+    """Rows token, g, size, place of prefix shingles that several groups have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -210,33 +210,44 @@ def _lists(packed: DataFrame, tasks: int) -> DataFrame:
                 held.setdefault(bucket, []).append(arrays)
         while held:
             _, rows = held.popitem()
-            token, group, size = (np.concatenate([np.frombuffer(r[i], dtype=t) for r in rows]) for i, t in enumerate((np.uint64, np.int64, np.uint32)))
+            token, group, size, place = (np.concatenate([np.frombuffer(r[i], dtype=t) for r in rows]) for i, t in enumerate((np.uint64, np.int64, np.uint32, np.uint32)))
             order = np.lexsort((group, token))
-            token, group, size = token[order], group[order], size[order]
+            token, group, size, place = token[order], group[order], size[order], place[order]
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
-            token, group, size = token[new], group[new], size[new]
+            token, group, size, place = token[new], group[new], size[new], place[new]
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(np.concatenate([first, [len(token)]]))
             many = np.repeat(length, length) > 1
             if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(group[many]), pa.array(size[many].astype(np.int32))], names=["token", "g", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(group[many]), pa.array(size[many].astype(np.int32)), pa.array(place[many].astype(np.int32))], names=["token", "g", "size", "place"])
 
-    return packed.repartition(tasks, "bucket").mapInArrow(run, "token long, g long, size int")
+    return packed.repartition(tasks, "bucket").mapInArrow(run, "token long, g long, size int, place int")
 
 
-def _alike(a: str, b: str) -> str:
-    """Whether sets of these sizes can reach the similarity (SQL)."""
-    return f"(100 * least({a}, {b}) >= {PER_CENT} * greatest({a}, {b}))"
+def _need(a: str, b: str) -> str:
+    """Shared shingles that sets of these sizes need at least (SQL)."""
+    return f"ceil({PER_CENT} * ({a} + {b}) / {100 + PER_CENT})"
 
 
-def _possible(c: str, a: str, b: str) -> str:
-    """Whether sets of these sizes that share c prefix shingles can reach the similarity (SQL).
+def _alike(x: str, y: str) -> str:
+    """Whether groups x and y that share a prefix shingle at these places can reach the similarity (SQL).
 
-    All common shingles up to the nearer end of both prefixes are among the c; what else is shared
+    Shingles before it that both have are in both prefixes, so in lists: no more than the lesser of
+    both ranks there. After it no more than either has left.
+    """
+    s, t = f"size{x}", f"size{y}"
+    most = f"least(rank{x}, rank{y}) + least({s} - place{x}, {t} - place{y})"
+    return f"(100 * least({s}, {t}) >= {PER_CENT} * greatest({s}, {t}) and {most} >= {_need(s, t)})"
+
+
+def _least_common(a: str, b: str) -> str:
+    """Prefix shingles that sets of these sizes must share to reach the similarity (SQL), one at least.
+
+    All common shingles up to the nearer end of both prefixes are in both; what else is shared
     comes after that prefix.
     """
     after = f"greatest(({PER_CENT} * {a} + 99) div 100, ({PER_CENT} * {b} + 99) div 100) - 1"
-    return f"({c} + {after} >= ceil({PER_CENT} * ({a} + {b}) / {100 + PER_CENT}))"
+    return f"({_need(a, b)} - ({after}))"
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -353,7 +364,10 @@ def linked(df: DataFrame, row_id: str = "doc_id") -> DataFrame:
     repeated, _ = sketch(df.select(F.col("text").alias("_text")), prefix_shingles, cells, 2)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000_000)
     packed = written(_listed(df, row_id, common, repeated, 4 * tasks), "prefixes")
-    lists = written(_lists(packed.filter("bucket >= 0").select("bucket", "tokens", "groups", "sizes"), tasks), "lists")
+    lists = _lists(packed.filter("bucket >= 0").select("bucket", "tokens", "groups", "sizes", "places"), tasks)
+    # listed: how many of a group's shingles are in lists; rank: how many of them before this one
+    own = Window.partitionBy("g")
+    lists = written(lists.withColumn("rank", F.row_number().over(own.orderBy("place")) - 1).withColumn("listed", F.count("*").over(own)), "lists")
     # how much of its prefix a group shares with others: the source of near copies more than each of them
     share = lists.groupBy("g").agg((F.count("*") / F.first("size")).alias("share"))
     # nodes of one group share all its shingles, which are in lists with other groups or in none
@@ -390,9 +404,10 @@ def linked(df: DataFrame, row_id: str = "doc_id") -> DataFrame:
     def leads(rows: DataFrame, turn: int) -> DataFrame:
         """Each list's other groups with its first, by share and then by turn; those that have several shingles in common."""
         prefer = F.struct(-F.col("share") if turn == 0 else F.lit(0), F.xxhash64("g", F.lit(turn)), F.col("g"), F.col("node"))
-        lead = rows.groupBy("token").agg(F.min_by(F.struct("node", "comp", "size"), prefer).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", "l")
-        pairs = rows.join(lead, "token").filter("comp <> l.comp").selectExpr("node a", "size sx", "l.node b", "l.size sy").filter(_alike("sx", "sy"))
-        return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("sx").alias("sx")).filter("c >= 1 + 0.05 * sx").select("a", "b")
+        lead = rows.groupBy("token").agg(F.min_by(F.struct("node", "comp", "size", "place", "rank"), prefer).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").selectExpr("token", "l.node b", "l.comp comp_b", "l.size size_b", "l.place place_b", "l.rank rank_b")
+        pairs = rows.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("comp", "size", "place", "rank")], "token").join(lead, "token")
+        pairs = pairs.filter("comp_a <> comp_b").filter(_alike("_a", "_b"))
+        return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("size_a").alias("size")).filter("c >= 1 + 0.05 * size").select("a", "b")
 
     inner = members.filter("node <> first").selectExpr("node a", "first b")
     firsts = lists.join(members.filter("node = first").selectExpr("g", "node", "node comp", "share"), "g")
@@ -403,12 +418,17 @@ def linked(df: DataFrame, row_id: str = "doc_id") -> DataFrame:
     now = written(held(), "held")
     mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").selectExpr("token", f"(m + {LIST_ROWS - 1}) div {LIST_ROWS} parts")
     open_ = now.join(mixed, "token")
-    x = open_.selectExpr("token", "pmod(xxhash64(g, comp), parts) part", "g gx", "size sx", "comp cx")
-    y = open_.selectExpr("token", "explode(sequence(0l, parts - 1)) part", "g gy", "size sy", "comp cy")
-    shared = x.join(y, ["token", "part"]).filter("cx < cy").filter(_alike("sx", "sy")).groupBy("gx", "gy", "cx", "cy").agg(F.count("*").alias("c"), F.first("sx").alias("sx"), F.first("sy").alias("sy"))
+    x = open_.selectExpr("token", "pmod(xxhash64(g, comp), parts) part", "g gx", "comp cx", "size sizex", "place placex", "rank rankx", "listed listedx")
+    y = open_.selectExpr("token", "explode(sequence(0l, parts - 1)) part", "g gy", "comp cy", "size sizey", "place placey", "rank ranky", "listed listedy")
+    # of the shingles that a pair must share the first is among the first of the group that has fewer in lists
+    once = f"cx <> cy and struct(listedx, gx, cx) < struct(listedy, gy, cy) and rankx <= listedx - {_least_common('sizex', 'sizey')}"
+    met = x.join(y, ["token", "part"]).filter(once).filter(_alike("x", "y")).groupBy("gx", "gy").agg(F.first("sizex").alias("sx"), F.first("sizey").alias("sy"))
+    prefix = now.groupBy("g").agg(F.collect_set("token").alias("p"))
+    shared = met.join(prefix.selectExpr("g gx", "p px"), "gx").join(prefix.selectExpr("g gy", "p py"), "gy").withColumn("c", F.size(F.array_intersect("px", "py")))
     # a group whose members are in several components, and lists that no other group shares
     split = units().groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").selectExpr("g gx", "g gy")
-    possible = written(shared.filter(_possible("c", "sx", "sy")).selectExpr("gx", "gy", "c / least(sx, sy) near").unionByName(split.withColumn("near", F.lit(1.0))).groupBy("gx", "gy").agg(F.max("near").alias("near")), "candidates")
+    possible = shared.filter(f"gx <> gy and c >= {_least_common('sx', 'sy')}").selectExpr("gx", "gy", "c / least(sx, sy) near")
+    possible = written(possible.unionByName(split.withColumn("near", F.lit(1.0))), "candidates")
 
     def expanded(rows: DataFrame) -> DataFrame:
         a, b = rows.selectExpr("g gx", "node a", "comp ca"), rows.selectExpr("g gy", "node b", "comp cb")
