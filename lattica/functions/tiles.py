@@ -1,16 +1,19 @@
 """Column expressions on gray tiles: arrays of height * width values, row by row.
 
 Every expression stays within its row, so scoring or filtering images moves no pixels between
-executors. Borders are reflected without repeating the edge (-1 is 1, n is n - 2).
+executors. What looks at neighbouring pixels is vectorised over Arrow batches. Borders are reflected without repeating the edge (-1 is 1, n is n - 2).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lattica.functions import kernels
+
 LAPLACE = ((0, 1, 0), (1, -4, 1), (0, 1, 0))
 HIGH_PASS = ((-1, -1, -1), (-1, 8, -1), (-1, -1, -1))
 SOBEL_X = ((-1, 0, 1), (-2, 0, 2), (-1, 0, 1))
@@ -40,23 +43,24 @@ def bgr_to_gray(b: Column, g: Column, r: Column) -> Column:
 
 
 def convolve(px: Column, width: Column | int, height: Column | int, kernel: Sequence[Sequence[float]]) -> Column:
-    """3 x 3 correlation with reflected borders."""
-    w = F.lit(width) if isinstance(width, int) else width
+    """3 x 3 correlation with reflected borders, vectorised over the images of an Arrow batch."""
+    weights = tuple(tuple(float(k) for k in row) for row in kernel)
+
+    @F.arrow_udf("array<double>")
+    def run(values: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+        return kernels.convolved(values, w, h, weights)
+
+    return run(px, *[F.lit(n) if isinstance(n, int) else n for n in (width, height)])
 
-    def whole(p: Column) -> Column:
-        def at(i: Column) -> Column:
-            y, x = F.floor(i / w).cast("int"), (i % w).cast("int")
-            total = None
-            for dy, row in enumerate(kernel):
-                for dx, k in enumerate(row):
-                    if k:
-                        term = F.lit(float(k)) * F.get(p, (reflect(y + dy - 1, height) * w + reflect(x + dx - 1, width)).cast("int")).cast("double")
-                        total = term if total is None else total + term
-            return total
 
-        return F.transform(F.sequence(F.lit(0), F.size(p) - 1), at)
+def measures(px: Column, width: Column | int, height: Column | int) -> Column:
+    """A struct of laplacian, gradient, deviation and noise, in one pass over each image."""
 
-    return let(px, whole)
+    @F.arrow_udf("laplacian double, gradient double, deviation double, noise double")
+    def run(values: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+        return kernels.measures(values, w, h)
+
+    return run(px, *[F.lit(n) if isinstance(n, int) else n for n in (width, height)])
 
 
 def _moments(a: Column, finish) -> Column:
@@ -91,6 +95,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def correlation(a: Column, b: Column) -> Column:
     """Pearson correlation of two equally long arrays; 0 where one is constant."""
-    cov = dot(a, b) / F.size(a) - mean(a) * mean(b)
-    scale = F.sqrt(variance(a) * variance(b))
-    return F.when(scale > 0, cov / scale).otherwise(0.0)
+
+    @F.arrow_udf("double")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return kernels.correlations(x, y)
+
+    return run(a, b)

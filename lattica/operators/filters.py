@@ -20,16 +20,17 @@ def byte(v: Column) -> Column:
 
 
 def unsharp(px: Column, w: int, h: int, strength: float) -> Column:
-    return t.let(px, lambda p: F.zip_with(p, t.convolve(p, w, h, t.GAUSS), lambda v, b: byte((1 + strength) * v - strength * b)))
+    return F.zip_with(px, t.convolve(px, w, h, t.GAUSS), lambda v, b: byte((1 + strength) * v - strength * b))
 
 
 def laplacian_sharpen(px: Column, w: int, h: int, strength: float) -> Column:
-    return t.let(px, lambda p: F.zip_with(p, t.convolve(p, w, h, t.LAPLACE), lambda v, l: byte(v - strength * l)))
+    return F.zip_with(px, t.convolve(px, w, h, t.LAPLACE), lambda v, l: byte(v - strength * l))
 
 
 def shadow_normalised(px: Column, w: int, h: int, strength: float) -> Column:
     """Value over its surroundings, times 128, mixed with the value by strength."""
-    return t.let(px, lambda p: F.zip_with(p, t.convolve(p, w, h, t.BOX), lambda v, b: byte((1 - strength) * v + strength * F.least(F.lit(255.0), v / F.greatest(b, F.lit(1.0)) * 128))))
+    near = F.transform(t.convolve(px, w, h, t.BOX), lambda b: F.greatest(F.round(b, 9), F.lit(1.0)))
+    return F.zip_with(px, near, lambda v, b: byte(F.round((1 - strength) * v + strength * F.least(F.lit(255.0), v / b * 128), 5)))
 
 
 def minmax(px: Column, low: float, high: float) -> Column:

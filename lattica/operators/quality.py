@@ -24,14 +24,16 @@ def noise(px: Column, w, h) -> Column:
     return t.deviation(t.convolve(px, w, h, t.HIGH_PASS))
 
 
-def score(px: Column, w, h) -> Column:
-    """Weighted sharpness, gradient, contrast and (inverse) noise, 0 to 1; an empty image has 0."""
-    value = 0.4 * t.normalise(laplacian_variance(px, w, h), 0, 1000) + 0.3 * t.normalise(gradient_magnitude(px, w, h), 0, 100) + 0.2 * t.normalise(t.deviation(px), 0, 100) + 0.1 * (1 - t.normalise(noise(px, w, h), 0, 50))
-    return F.when(F.coalesce(F.size(px), F.lit(0)) <= 0, F.lit(0.0)).otherwise(t.clip(value))
+def combined(m: Column) -> Column:
+    """Weighted sharpness, gradient, contrast and (inverse) noise of a struct of measures, 0 to 1."""
+    return t.clip(0.4 * t.normalise(m["laplacian"], 0, 1000) + 0.3 * t.normalise(m["gradient"], 0, 100) + 0.2 * t.normalise(m["deviation"], 0, 100) + 0.1 * (1 - t.normalise(m["noise"], 0, 50)))
 
 
 def assess(images: DataFrame, px: str = "px", width: str = "width", height: str = "height") -> DataFrame:
-    return images.withColumn("quality", score(F.col(px), F.col(width), F.col(height)))
+    """images with their quality; an empty image has 0."""
+    measured = images.withColumn("_measures", t.measures(F.col(px), F.col(width), F.col(height)))
+    empty = F.coalesce(F.size(px), F.lit(0)) <= 0
+    return measured.withColumn("quality", F.when(empty, F.lit(0.0)).otherwise(combined(F.col("_measures")))).drop("_measures")
 
 
 def is_blurry(quality: Column, threshold: float = 0.5) -> Column:
