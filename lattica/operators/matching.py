@@ -22,6 +22,18 @@ def packed(descriptors: DataFrame) -> DataFrame:
     return descriptors.filter("descriptor is not null").groupBy("image_id").agg(rows.alias("f")).select("image_id", F.transform("f", lambda x: x["kp_id"]).alias("kp"), F.transform("f", lambda x: x["d"]).alias("d"))
 
 
+def closest(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of x and y and distances (9 digits) of all that may be among the k closest, ties included.
+
+    A matrix product gives squared distances but for rounding; what comes within that of the k-th is
+    measured again exactly, so the result is the same whatever the sizes are.
+    """
+    squares = (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T
+    slack = 1e-9 * (1 + (x**2).sum(1).max() + (y**2).sum(1).max())
+    row, col = np.nonzero(squares <= np.partition(squares, k - 1, axis=1)[:, k - 1 : k] + 2 * slack)
+    return row, col, np.round(np.sqrt(((x[row] - y[col]) ** 2).sum(1)), 9)
+
+
 def nearest(descriptors: DataFrame, pairs: DataFrame, k: int = 2) -> DataFrame:
     """Rows image_i, image_j, kp_i, kp_j, distance, rank: the k nearest of each of i's keypoints in j (exact, ties by id)."""
     p = packed(descriptors)
@@ -36,16 +48,32 @@ def nearest(descriptors: DataFrame, pairs: DataFrame, k: int = 2) -> DataFrame:
                     continue
                 kb, top = np.asarray(r.kb), min(k, len(y))
                 for at in range(0, len(x), 1024):
-                    block = x[at : at + 1024]
-                    d = np.round(np.sqrt(np.maximum(((block[:, None, :] - y[None, :, :]) ** 2).sum(-1) if len(y) * len(block) * y.shape[1] <= 4_000_000 else (block**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * block @ y.T, 0)), 9)
-                    order = np.lexsort((np.broadcast_to(kb, d.shape), d), axis=1)[:, :top]
-                    n = len(block)
-                    yield pd.DataFrame({"image_i": r.image_i, "image_j": r.image_j, "kp_i": np.repeat(np.asarray(r.ka)[at : at + n], top), "kp_j": kb[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel(), "rank": np.tile(np.arange(1, top + 1), n)})
+                    row, col, d = closest(x[at : at + 1024], y, top)
+                    order = np.lexsort((kb[col], d, row))
+                    row, col, d = row[order], col[order], d[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    row, col, d, place = (v[place < top] for v in (row, col, d, place))
+                    yield pd.DataFrame({"image_i": r.image_i, "image_j": r.image_j, "kp_i": np.asarray(r.ka)[at + row], "kp_j": kb[col], "distance": d, "rank": place + 1})
 
     joined = pairs.select("image_i", "image_j").join(a, "image_i").join(b, "image_j").select("image_i", "image_j", "ka", "da", "kb", "db")
     return joined.mapInPandas(run, "image_i long, image_j long, kp_i long, kp_j long, distance double, rank int")
 
 
+def nearest_overall(descriptors: DataFrame, k: int = 2, block: int = 2000) -> DataFrame:
+    """Rows kp_i, kp_j, distance, rank: the k nearest of each descriptor (kp_id, descriptor) among all others, exact.
+
+    Descriptors are dealt to blocks by a hash; pairs of blocks are compared, and their best merged.
+    """
+    n = descriptors.count()
+    blocks = max(1, -(-n // block))
+    dealt = descriptors.select(F.pmod(F.xxhash64("kp_id"), F.lit(blocks)).alias("image_id"), "kp_id", "descriptor")
+    ids = descriptors.sparkSession.range(blocks)
+    pairs = ids.select(F.col("id").alias("image_i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("image_j"))
+    near = nearest(dealt, pairs, k + 1).filter("kp_i <> kp_j")
+    best = near.groupBy("kp_i").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "kp_j"))), 1, k).alias("b"))  # k + 1 of each block
+    return best.select("kp_i", F.posexplode("b").alias("p", "x")).select("kp_i", "x.kp_j", "x.distance", (F.col("p") + 1).alias("rank"))
+
+
 def ratio_test(near: DataFrame, ratio: float = RATIO) -> DataFrame:
     """First neighbours closer than `ratio` times the second; both must exist."""
     two = near.groupBy("image_i", "image_j", "kp_i").agg(F.min_by("kp_j", "rank").alias("kp_j"), F.min(F.when(F.col("rank") == 1, F.col("distance"))).alias("distance"), F.min(F.when(F.col("rank") == 2, F.col("distance"))).alias("second"))

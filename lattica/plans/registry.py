@@ -298,11 +298,10 @@ SELECT kp_i AS vec_id, kp_j AS match_id, round(distance, 6) AS distance, round(1
 
 @query(BEST)
 def best_match(spark, d):
-    """Every embedding's best unambiguous match among all others: the packed train side is one image, itself left out."""
-    e = table(spark, d, "embeddings").select(F.lit(0).cast("long").alias("image_id"), F.col("vec_id").alias("kp_id"), F.col("embedding").alias("descriptor"))
-    near = matching.nearest(e, spark.createDataFrame([(0, 0)], "image_i long, image_j long"), 3).filter("kp_i <> kp_j")
-    again = near.withColumn("rank", F.row_number().over(Window.partitionBy("kp_i").orderBy("rank"))).filter("rank <= 2")
-    two = again.groupBy("kp_i").agg(F.min_by("kp_j", "rank").alias("kp_j"), F.min_by("distance", "rank").alias("distance"), F.max_by("distance", "rank").alias("second"), F.count("*").alias("n"))
+    """Every embedding's best unambiguous match among all others."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("kp_id"), F.col("embedding").alias("descriptor"))
+    near = matching.nearest_overall(e, 2)
+    two = near.groupBy("kp_i").agg(F.min_by("kp_j", "rank").alias("kp_j"), F.min_by("distance", "rank").alias("distance"), F.max_by("distance", "rank").alias("second"), F.count("*").alias("n"))
     return two.filter((F.col("n") == 2) & (F.col("distance") < 0.95 * F.col("second"))).select(F.col("kp_i").alias("vec_id"), F.col("kp_j").alias("match_id"), r6("distance", "distance"), r6(1 - F.col("distance") / F.col("second"), "confidence"))
 
 
@@ -763,7 +762,7 @@ def detect_features(spark, d):
     return features.detect(tiles(spark, d)).select("image_id", "kp_id", "x", "y", r6("response", "response"))
 
 
-@query()
+@query("SELECT vec_id AS image_id, (i * 2 + j)::BIGINT AS kp_id, (4 * j + 2)::DOUBLE AS x, (4 * i + 2)::DOUBLE AS y FROM embeddings, range(2) a(i), range(2) b(j)")
 def dense_keypoints(spark, d):
     return features.detector("dense")(tiles(spark, d)).select("image_id", "kp_id", "x", "y")
 
@@ -773,7 +772,7 @@ SELECT image_id, ((ky // 4) * 2 + kx // 4)::BIGINT AS kp_id, bin, round(n / 9::D
 def keypoint_histograms(spark, d):
     p = pixels(tiles(spark, d))
     k = p.filter("y % 4 = 2 and x % 4 = 2").select("image_id", (F.floor(F.col("y") / 4) * 2 + F.floor(F.col("x") / 4)).alias("kp_id"), F.col("x").cast("double"), F.col("y").cast("double"))
-    h = features.colour_histograms(k, p, 1)
+    h = features.colour_histograms(k, tiles(spark, d), 1)
     return h.select("image_id", "kp_id", F.posexplode("histogram").alias("bin", "share")).filter("share > 0").withColumn("share", r6("share"))
 
 
