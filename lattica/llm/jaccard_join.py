@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Sketch, drop_table, free_name, sketch, spread_join, written
+from .shared import Sketch, cells_for, drop_table, free_name, sketch, spread_join, written
 from .words import NON_BLANK, U64, Words, inside, mix, rolling, segments
 
 SHINGLE = 5
@@ -318,7 +318,7 @@ def _texts_of(df: DataFrame, row_id: str, chosen: DataFrame) -> DataFrame:
         for batch in batches:
             yield mix(batch.column(0).to_numpy().view(np.uint64))
 
-    among, _ = sketch(chosen.select("tag"), tags, 1 << 26, 1)
+    among, _ = sketch(chosen.select("tag"), tags, cells_for(chosen.count()), 1)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Sketch = among.value

@@ -74,6 +74,14 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, other: str, hot: li
     return dealt.join(spread, (F.col(key) == F.col(other)) & (F.col("_share") == F.col("_part")), how).drop("_share", "_part")
 
 
+def cells_for(n: int) -> int:
+    """Cells of a sketch of n values, 16 to 32 for each: 1 M at least, 2^28 (32 MB to broadcast) at most.
+
+    Beyond that more values share a cell, which only lets more through to what follows the sketch.
+    """
+    return min(max(BLOCK, 1 << (16 * n).bit_length()), 1 << 28)
+
+
 class Sketch:
     """Bitmap of the cells that were counted often enough; a value whose cell isn't set was not."""
 

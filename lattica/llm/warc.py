@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_table, new_path, sketch, spread_join, written
+from .shared import cells_for, drop_table, new_path, sketch, spread_join, written
 from .words import mix
 
 #: Bytes read or inflated at once.
@@ -27,8 +27,6 @@ ARCHIVE_BYTES = 256 << 20
 LEVEL = 3
 #: Rows of one Arrow batch: pages are long, and a worker holds a batch.
 ROWS = 256
-#: Cells of the sketches of payload digests (32 MB broadcast); more input than it suits only sends more rows through a join.
-CELLS = 1 << 28
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -252,8 +250,8 @@ def archived(df: DataFrame, row_id: str = "page_id", url: str = "url", html: str
     pages = pages.select("_id", "url", "html", F.octet_length("html").cast("long").alias("bytes"), F.sha1(F.encode("html", "UTF-8")).alias("sum"), F.lit("response").alias("record_type"), F.lit(None).cast(kind).alias("refers_to"))
     tagged = pages.withColumn("tag", F.xxhash64("sum")).withColumn("own", F.xxhash64("sum", "_id"))
     narrow = written(tagged.select("_id", "url", "bytes", "sum", "tag"), "payloads")
-    repeated, rows = sketch(narrow.select("tag"), _values, CELLS, 2)
-    bytes_ = narrow.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    rows, bytes_ = narrow.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    repeated, _ = sketch(narrow.select("tag"), _values, cells_for(rows), 2)
 
     def again(column: pa.Array) -> np.ndarray:
         return repeated.value.holds(mix(column.to_numpy().view(np.uint64)))
@@ -264,7 +262,7 @@ def archived(df: DataFrame, row_id: str = "page_id", url: str = "url", html: str
 
     several = narrow.mapInArrow(several_rows, narrow.schema)
     last = written(several.groupBy("sum").agg(F.max("_id").alias("_last"), F.count("*").alias("_n")), "repeated-payloads")
-    lasts, _ = sketch(last.select(F.xxhash64("sum", "_last")), _values, CELLS, 1)
+    lasts, _ = sketch(last.select(F.xxhash64("sum", "_last")), _values, cells_for(last.count()), 1)
     hot = [r[0] for r in last.filter(F.col("_n") * 1000 > rows).select("sum").collect()]  # fewer than 1000
 
     def once(batch: pa.RecordBatch) -> np.ndarray:
