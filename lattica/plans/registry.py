@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lattica.functions import kernels
 from lattica.functions import tiles as t
-from lattica.operators import control_points, duplicates, features, filters, graph, layout, matching, pairs, quality, raster, seams
+from lattica.operators import control_points, duplicates, enhance, features, filters, graph, layout, matching, pairs, preview, quality, raster, seams, semantic, stitch
 from lattica.plans.tables import written
 from lattica.sources import images as sources
 from lattica.streaming import events as streams
@@ -776,6 +779,161 @@ def keypoint_histograms(spark, d):
     return h.select("image_id", "kp_id", F.posexplode("histogram").alias("bin", "share")).filter("share > 0").withColumn("share", r6("share"))
 
 
+# ---- whole scenes ------------------------------------------------------------------------------
+
+# a pattern of 48 x 64 cells, the mean of all layers there, cut into six overlapping images of 32 x 32
+CUTS = "cuts AS (SELECT i::BIGINT AS image_id, ((i % 3) * 16)::BIGINT AS x0, ((i // 3) * 16)::BIGINT AS y0 FROM range(6) r(i))"
+
+
+def pattern(spark, d):
+    cells = layers(spark, d).groupBy("y", "x").agg(F.round(F.avg("value"), 9).alias("value"))
+    every = spark.range(48 * 64).select(F.floor(F.col("id") / 64).cast("int").alias("y"), (F.col("id") % 64).cast("int").alias("x"))
+    return every.join(cells, ["y", "x"], "left").fillna(0.0, ["value"])
+
+
+def cut_images(spark, d):
+    """The images without their places."""
+    cuts = spark.range(6).select(F.col("id").alias("image_id"), (F.col("id") % 3 * 16).alias("x0"), (F.floor(F.col("id") / 3) * 16).alias("y0"))
+    cell = pattern(spark, d).crossJoin(F.broadcast(cuts)).filter("x >= x0 and x < x0 + 32 and y >= y0 and y < y0 + 32")  # six rows
+    packed = cell.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "value"))).alias("c"))
+    return written(packed.select("image_id", F.lit(32).alias("width"), F.lit(32).alias("height"), F.col("c.value").alias("px")), "cuts")
+
+
+@query(f"WITH {CUTS} SELECT image_id, x0, y0, x0 + 32 AS x1, y0 + 32 AS y1 FROM cuts")
+def stitch_placement(spark, d):
+    """Where images of one scene lie, found from their pixels alone."""
+    return stitch.placed(cut_images(spark, d)).select("image_id", "x0", "y0", "x1", "y1")
+
+
+@query(LAYERS + ", p AS (SELECT y, x, avg(value) AS v FROM l GROUP BY 1, 2) SELECT a.y::BIGINT AS y, b.x::BIGINT AS x, round(coalesce(v, 0), 3) AS value FROM range(48) a(y) CROSS JOIN range(64) b(x) LEFT JOIN p ON p.y = a.y AND p.x = b.x")
+def stitch_panorama(spark, d):
+    """The panorama is the pattern that the images were cut from."""
+    return stitch.stitched(cut_images(spark, d)).select("y", "x", F.round("value", 3).alias("value"))
+
+
+@query(f"""WITH {CUTS}, c AS (SELECT image_id, x0 * 1.3::DOUBLE AS cx, y0 * 1.3::DOUBLE AS cy FROM cuts), t AS (SELECT *, trunc(cx - 16)::INT AS tx, trunc(cy - 16)::INT AS ty FROM c)
+SELECT image_id, tx - min(tx) OVER () + 50 AS x, ty - min(ty) OVER () + 50 AS y FROM t""")
+def grid_alignment(spark, d):
+    """An exploded view of the scene: centres spread by 1.3 from the first."""
+    return stitch.grid_aligned(cut_images(spark, d), low=0.0).select("image_id", "x", "y")
+
+
+def colour_tiles(spark, d):
+    """Every three tiles in turn as blue, green and red of one image."""
+    three = tiles(spark, d).groupBy(F.floor(F.col("image_id") / 3).alias("image_id")).agg(*[F.max(F.when(F.col("image_id") % 3 == k, F.col("px"))).alias(c) for k, c in enumerate("bgr")])
+    whole = three.filter("b is not null and g is not null and r is not null").select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("n_channels"), *"bgr")
+    return whole.select("image_id", "height", "width", "n_channels", F.unhex(F.array_join(F.flatten(F.transform(F.arrays_zip(*"bgr"), lambda v: F.array(*[F.lpad(F.hex(v[c].cast("long")), 2, "0") for c in "bgr"]))), "")).alias("data"))
+
+
+COLOURS = PX + """, bgr AS (SELECT b.image_id // 3 AS image_id, b.y, b.x, b.g AS b, g.g AS g, r.g AS r FROM px b
+JOIN px g ON g.image_id = b.image_id + 1 AND g.y = b.y AND g.x = b.x JOIN px r ON r.image_id = b.image_id + 2 AND r.y = b.y AND r.x = b.x WHERE b.image_id % 3 = 0)"""
+
+
+@query(COLOURS + " SELECT image_id, y::BIGINT AS y, x::BIGINT AS x, round(0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r, 6) AS value FROM bgr")
+def decode_gray(spark, d):
+    """Gray values of packed bytes."""
+    named = colour_tiles(spark, d).withColumn("path", F.lit(""))
+    return long_pixels(sources.gray(named)).withColumn("value", r6("value"))
+
+
+def long_pixels(images):
+    p = images.select("image_id", "width", F.posexplode("px").alias("i", "value"))
+    return p.select("image_id", F.floor(F.col("i") / F.col("width")).cast("long").alias("y"), (F.col("i") % F.col("width")).cast("long").alias("x"), "value")
+
+
+@query(PX + " SELECT image_id, (y // 2)::BIGINT AS y, (x // 2)::BIGINT AS x, round(avg(g), 6) AS value FROM px GROUP BY 1, 2, 3")
+def thumbnails(spark, d):
+    return long_pixels(sources.thumbnails(tiles(spark, d), 4)).withColumn("value", r6("value"))
+
+
+@query(PX + """, k AS (SELECT image_id, y, x, g // 32 AS label FROM px), n AS (SELECT a.image_id, a.y, a.x, bool_or(b.label <> a.label) AS edge FROM k a LEFT JOIN k b ON b.image_id = a.image_id AND ((b.y = a.y + 1 AND b.x = a.x) OR (b.y = a.y AND b.x = a.x + 1)) GROUP BY 1, 2, 3)
+SELECT a.image_id, a.y::BIGINT AS y, a.x::BIGINT AS x, (max(CASE WHEN b.edge THEN 255 ELSE 0 END))::DOUBLE AS value FROM n a JOIN n b ON b.image_id = a.image_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY 1, 2, 3""")
+def label_boundaries(spark, d):
+    """Boundaries of eight value bands, one cell wider on each side."""
+    return long_pixels(kernels.gray_images(tiles(spark, d), lambda m: semantic.label_boundary(m // 32, 1, 1)))
+
+
+@query(PX + """ SELECT image_id, y::BIGINT AS y, x::BIGINT AS x, round(greatest(0, least(1, least(y, 7 - y, x, 7 - x) / 100::DOUBLE)) * (1 - 0.3::DOUBLE * g / 255) * (1 + 0.5::DOUBLE * (g > 128)::INT), 9) AS value FROM px""")
+def semantic_weights(spark, d):
+    return long_pixels(kernels.gray_images(tiles(spark, d), lambda m: semantic.weight(*m.shape, m, (m > 128).astype(float)))).withColumn("value", F.round("value", 9))
+
+
+@query()
+def semantic_boundaries(spark, d):
+    return long_pixels(semantic.boundaries(colour_tiles(spark, d), "hybrid"))
+
+
+@query(COLOURS + " SELECT y::BIGINT AS y, x::BIGINT AS x, round(sum(b * w) / sum(w), 6) AS b, round(sum(g * w) / sum(w), 6) AS g, round(sum(r * w) / sum(w), 6) AS r FROM (SELECT *, 1 + image_id % 3 AS w FROM bgr) GROUP BY 1, 2")
+def semantic_blend(spark, d):
+    """All colour images on one place, weighted."""
+    cells = colour_cells(colour_tiles(spark, d)).withColumn("weight", (1 + F.col("image_id") % 3).cast("double"))
+    return semantic.blend(cells).select("y", "x", *[r6(c, c) for c in "bgr"])
+
+
+def colour_cells(images):
+    """Cells image_id, y, x, b, g, r of colour images."""
+    schema = "image_id long, y long, x long, b double, g double, r double"
+
+    def rows(r):
+        m = kernels.colour_of(r)
+        ys, xs = np.indices(m.shape[:2])
+        return [dict(image_id=r["image_id"], y=int(y), x=int(x), b=float(v[0]), g=float(v[1]), r=float(v[2])) for y, x, v in zip(ys.ravel(), xs.ravel(), m.reshape(-1, m.shape[2]), strict=True)]
+
+    return kernels.each_row(images, rows, T._parse_datatype_string(schema))
+
+
+@query(COLOURS + ", m AS (SELECT image_id, min(b) AS b0, max(b) AS b1, min(g) AS g0, max(g) AS g1, min(r) AS r0, max(r) AS r1 FROM bgr GROUP BY 1) SELECT image_id, y::BIGINT AS y, x::BIGINT AS x, round_even(CASE WHEN b1 > b0 THEN (b - b0) * 255 / (b1 - b0)::DOUBLE ELSE b END, 0)::DOUBLE AS b, round_even(CASE WHEN g1 > g0 THEN (g - g0) * 255 / (g1 - g0)::DOUBLE ELSE g END, 0)::DOUBLE AS g, round_even(CASE WHEN r1 > r0 THEN (r - r0) * 255 / (r1 - r0)::DOUBLE ELSE r END, 0)::DOUBLE AS r FROM bgr JOIN m USING (image_id)")
+def colour_stretch(spark, d):
+    return colour_cells(kernels.colour_images(colour_tiles(spark, d), enhance.stretched))
+
+
+@query()
+def enhance_colour(spark, d):
+    return colour_cells(enhance.enhance(colour_tiles(spark, d), "balanced"))
+
+
+@query()
+def final_enhancement(spark, d):
+    return colour_cells(enhance.processed(colour_tiles(spark, d)))
+
+
+@query(COLOURS + """, s AS (SELECT image_id, y + (image_id % 5) * 6 AS y, x + (image_id % 7) * 6 AS x, CASE WHEN y IN (0, 7) OR x IN (0, 7) THEN 0 ELSE b END AS b, CASE WHEN y IN (0, 7) OR x IN (0, 7) THEN 0 ELSE g END AS g, CASE WHEN y IN (0, 7) OR x IN (0, 7) THEN 0 ELSE r END AS r FROM bgr)
+SELECT y::BIGINT AS y, x::BIGINT AS x, arg_max(b, image_id)::INT AS b, arg_max(g, image_id)::INT AS g, arg_max(r, image_id)::INT AS r FROM s GROUP BY 1, 2""")
+def preview_canvas(spark, d):
+    """Images one over the other with a border each, the last on top."""
+    i = colour_tiles(spark, d).withColumns({"seq": F.col("image_id"), "x0": F.col("image_id") % 7 * 6, "y0": F.col("image_id") % 5 * 6, "angle": F.lit(0.0)})
+    return preview.canvas(i)
+
+
+@query()
+def seam_joined(spark, d):
+    """Each colour tile joined with itself upside down along the cheapest seam."""
+    i = colour_tiles(spark, d)
+    pairs_ = i.select("image_id", "height", "width", F.col("data").alias("first"), F.unhex(F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.substring(F.hex("data"), k * 48 + 1, F.lit(48)))), "")).alias("second"), F.unhex(F.repeat(F.lit("01"), F.lit(64))).alias("overlap"))
+    return colour_cells(seams.joined_at_seam(pairs_, 2))
+
+
+@query()
+def orb_features(spark, d):
+    return features.detector("orb", 50)(cut_images(spark, d)).drop("descriptor")
+
+
+@query()
+def akaze_features(spark, d):
+    return features.detector("akaze", 50)(cut_images(spark, d)).drop("descriptor")
+
+
+@query()
+def enhanced_features(spark, d):
+    return features.detector("enhanced", 50)(cut_images(spark, d)).drop("descriptor")
+
+
+@query(COLOURS + ", u AS (SELECT image_id, y, x, b FROM bgr), o AS (SELECT y, x, count(*) > 1 AS overlap FROM (SELECT (image_id % 5) * 6 + y AS y, (image_id % 7) * 6 + x AS x FROM u) GROUP BY 1, 2) SELECT DISTINCT (j * 12)::BIGINT AS tile_y, (k * 12)::BIGINT AS tile_x FROM o, range(10) a(j), range(10) b(k) WHERE overlap AND y >= j * 12 AND y < j * 12 + 16 AND x >= k * 12 AND x < k * 12 + 16")
+def seam_tiles(spark, d):
+    cells = colour_cells(colour_tiles(spark, d)).select((F.col("image_id") % 5 * 6 + F.col("y")).alias("y"), (F.col("image_id") % 7 * 6 + F.col("x")).alias("x"), F.col("b").alias("value"))
+    return seams.tiles_at_seams(seams.overlap_mask(cells), 16, 0.25)
+
+
 # ---- extensions: not operators of image sets -----------------------------------------------------
 
 

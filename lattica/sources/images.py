@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lattica.functions import kernels
 
 #: Fixed sets of file suffixes: plain scans take the first, interactive ones both cases of all.
 PLAIN = ("jpg", "png", "tif", "tiff")
@@ -39,29 +42,53 @@ def images(spark: SparkSession, folder: str, suffixes=PLAIN, any_case: bool = Fa
     return raw.select(F.xxhash64("origin").alias("image_id"), F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("n_channels"), "data")
 
 
-def bytes_to_ints(data: Column) -> Column:
-    """Unsigned bytes of a binary column as an array of integers."""
-    h = F.hex(data)
-    return F.transform(F.sequence(F.lit(0), F.length(data) - 1), lambda i: F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+GRAY = T.StructType([T.StructField("image_id", T.LongType()), T.StructField("path", T.StringType()), *kernels.GRAY.fields[1:], T.StructField("alpha", T.ArrayType(T.IntegerType()))])
 
 
 def gray(images_: DataFrame) -> DataFrame:
     """Gray values px of decoded images: weighted channels, or the single one; alpha where there is one."""
-    v = bytes_to_ints(F.col("data"))
-    i = images_.withColumn("_v", v)
-    n = F.col("n_channels")
-    at = lambda c: F.get("_v", c)
-    px = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda p: F.when(n == 1, at(p).cast("double")).otherwise(0.114 * at(p * n) + 0.587 * at(p * n + 1) + 0.299 * at(p * n + 2)))
-    alpha = F.when(n == 4, F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda p: at(p * 4 + 3)))
-    return i.select("image_id", "path", "height", "width", px.alias("px"), alpha.alias("alpha"))
-
-
-def thumbnails(tiles: DataFrame, most: int = 512) -> DataFrame:
-    """Gray images scaled down (never up) to at most `most` a side by picking pixels."""
-    s = F.greatest(F.lit(1.0), F.greatest("width", "height") / F.lit(float(most)))
-    w, h = F.floor(F.col("width") / s).cast("int"), F.floor(F.col("height") / s).cast("int")
-    px = F.transform(F.sequence(F.lit(0), w * h - 1), lambda i: F.get("px", (F.floor(F.floor(i / w) * s) * F.col("width") + F.floor((i % w) * s)).cast("int")))
-    return tiles.select("image_id", h.alias("height"), w.alias("width"), px.alias("px"))
+
+    def run(r: dict) -> dict:
+        m = kernels.colour_of(r)
+        return kernels.gray_row(kernels.luma(m), image_id=r["image_id"], path=r["path"], alpha=m[:, :, 3].ravel().tolist() if m.shape[2] == 4 else None)
+
+    return kernels.each_row(images_.select("image_id", "path", "height", "width", "n_channels", "data"), run, GRAY)
+
+
+def thumbnails(images_: DataFrame, most: int = 512) -> DataFrame:
+    """Gray images scaled down (never up) by areas to at most `most` cells a side."""
+    return kernels.gray_images(images_, lambda m: kernels.bounded(m, most))
+
+
+def proxies(images_: DataFrame, most: int = 512) -> DataFrame:
+    """Colour images scaled down (never up) by areas to at most `most` cells a side, without alpha, with their path."""
+    schema = T.StructType([kernels.COLOUR.fields[0], T.StructField("path", T.StringType()), *kernels.COLOUR.fields[1:]])
+    return kernels.each_row(images_.select("image_id", "path", "height", "width", "n_channels", "data"), lambda r: kernels.colour_row(kernels.bounded(kernels.three(kernels.colour_of(r)), most), image_id=r["image_id"], path=r["path"]), schema)
+
+
+def cached_proxies(images_: DataFrame, cache: str, most: int = 512) -> DataFrame:
+    """Proxies kept as a table at `cache`, by path: only images that aren't there yet are read and scaled."""
+    spark = images_.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        known = spark.read.parquet(cache)
+        new = images_.join(known.select("path"), "path", "left_anti")
+    else:
+        new = images_
+    proxies(new, most).write.mode("append").parquet(cache)
+    return spark.read.parquet(cache).join(images_.select("path"), "path", "left_semi")
+
+
+def loaded(images_: DataFrame, most: int = 2000) -> DataFrame:
+    """Gray images of bounded size for finding features."""
+    return thumbnails(gray(images_), most)
+
+
+def reloaded(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Images of the given files at full size, decoded again, without alpha."""
+    raw = spark.read.format("image").option("dropInvalid", "true").load(paths).select("image.*")
+    named = raw.select(F.xxhash64("origin").alias("image_id"), "height", "width", F.col("nChannels").alias("n_channels"), "data")
+    return kernels.each_row(named, lambda r: kernels.colour_row(kernels.three(kernels.colour_of(r)), image_id=r["image_id"]), kernels.COLOUR)
 
 
 def or_half(quality: Column) -> Column:
