@@ -243,9 +243,14 @@ def with_lightness(m: np.ndarray, f: Callable[[np.ndarray], np.ndarray]) -> np.n
 
 
 def equalised(m: np.ndarray, limit: float, tiles: int) -> np.ndarray:
-    """Contrast-limited histogram equalisation on tiles x tiles parts, blended bilinearly between their centres."""
+    """Contrast-limited histogram equalisation on tiles x tiles equal parts, blended bilinearly between their centres.
+
+    Where the parts would not be equal the image is continued by reflection.
+    """
+    high, wide = m.shape
+    tiles_y, tiles_x = min(tiles, high), min(tiles, wide)
+    m = np.pad(m, [(0, -high % tiles_y), (0, -wide % tiles_x)], mode="symmetric")
     h, w = m.shape
-    tiles_y, tiles_x = min(tiles, h), min(tiles, w)
     ys, xs = np.arange(h) * tiles_y // h, np.arange(w) * tiles_x // w
     level = np.clip(m, 0, 255).astype(int)
     part = ys[:, None] * tiles_x + xs[None]
@@ -260,7 +265,7 @@ def equalised(m: np.ndarray, limit: float, tiles: int) -> np.ndarray:
     i2, j2 = np.minimum(i + 1, tiles_y - 1), np.minimum(j + 1, tiles_x - 1)
     v, u = (y - i)[:, None], (x - j)[None]
     at = lambda a, b: table[a[:, None], b[None], level]
-    return (1 - v) * ((1 - u) * at(i, j) + u * at(i, j2)) + v * ((1 - u) * at(i2, j) + u * at(i2, j2))
+    return ((1 - v) * ((1 - u) * at(i, j) + u * at(i, j2)) + v * ((1 - u) * at(i2, j) + u * at(i2, j2)))[:high, :wide]
 
 
 # ---- columns of gray images ---------------------------------------------------------------------

@@ -88,6 +88,13 @@ def kept_images(images: DataFrame, edges: DataFrame) -> DataFrame:
     return images.join(touched, "image_id", "left").crossJoin(F.broadcast(any_)).filter(F.col("_hit") | F.col("_none")).drop("_hit", "_none")
 
 
+def renumbered(images: DataFrame, name: str = "index") -> DataFrame:
+    """Dense numbers from 0 in the order of image_id, as after a filter; ids stay as they are."""
+    from lattica.operators.quality import numbered
+
+    return numbered(images, "image_id", name)
+
+
 def _one_task(df: DataFrame, by: str | None, run, schema: str) -> DataFrame:
     """A sequential operator on the edge table of each group, whose size the images of one scene bound."""
     return (df.withColumn("_g", F.lit(0)) if by is None else df.withColumn("_g", F.col(by))).groupBy("_g").applyInPandas(run, schema)

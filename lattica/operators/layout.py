@@ -75,7 +75,8 @@ def exploded_view(images: DataFrame, factor: float = 1.3, padding: int = 50) ->
     """Grid layout from transformed centres (center_x, center_y, width, height): spread by the factor, from the padding on."""
     low = images.agg(F.min("center_x").alias("lx"), F.min("center_y").alias("ly"))
     s = images.crossJoin(F.broadcast(low))
-    s = s.withColumn("cx", (F.col("center_x") - F.col("lx")) * factor).withColumn("cy", (F.col("center_y") - F.col("ly")) * factor)
+    # rounded, so that the noise of fitted transforms doesn't move a box by a cell
+    s = s.withColumn("cx", F.round((F.col("center_x") - F.col("lx")) * factor, 6)).withColumn("cy", F.round((F.col("center_y") - F.col("ly")) * factor, 6))
     s = s.withColumn("x", (F.col("cx") - F.col("width") / 2).cast("int")).withColumn("y", (F.col("cy") - F.col("height") / 2).cast("int"))
     first = s.agg(F.min("x").alias("mx"), F.min("y").alias("my"))
     return s.crossJoin(F.broadcast(first)).select("image_id", (F.col("x") - F.col("mx") + padding).alias("x"), (F.col("y") - F.col("my") + padding).alias("y"), F.round("cx", 6).alias("center_x"), F.round("cy", 6).alias("center_y"))

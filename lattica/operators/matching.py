@@ -146,7 +146,7 @@ def ransac(points: DataFrame, threshold: float = 3.0, tries: int = 200, least: i
             out = []
             for r in batch.itertuples(index=False):
                 m = np.array([[p["x1"], p["y1"], p["x2"], p["y2"]] for p in r.m], dtype=np.float64)
-                if len(m) < 4:
+                if len(m) < 4 or not np.isfinite(m).all():  # a pair that can't be fitted costs no other
                     continue
                 z, w = m[:, 0] + 1j * m[:, 1], m[:, 2] + 1j * m[:, 3]
                 pick = np.random.default_rng([int(r.image_i) & 0x7FFFFFFF, int(r.image_j) & 0x7FFFFFFF]).integers(0, len(m), (tries, 2))

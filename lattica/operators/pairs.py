@@ -68,3 +68,14 @@ def planned(positions: DataFrame, n: int, cells: DataFrame | None, confidence: f
         b = clusters.select(F.col("image_id").alias("image_j"), F.col("cluster").alias("cj"))
         return near.join(a, "image_i").join(b, "image_j").filter("ci = cj").select("image_i", "image_j")
     return windowed(positions, n, position)
+
+
+#: Modes of matching by name; an unknown one is the plan for the number of images.
+MODES = {"exhaustive": all_pairs, "sequential": windowed, "chain": chain, "planned": candidates}
+
+
+def by_mode(positions: DataFrame, n: int, mode: str = "planned", cells: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs by a mode's name; `grid` needs the cells of a grid."""
+    if mode == "grid" and cells is not None:
+        return grid_pairs(cells)
+    return MODES.get(mode, candidates)(positions, n)

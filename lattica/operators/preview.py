@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.functions import kernels as k
+from lattica.plans.tables import written
 
 #: Longest side of an image and of the canvas, and the angle in degrees from which images are turned.
 IMAGE_SIDE, CANVAS_SIDE, TURNED = 600, 8000, 0.5
@@ -61,3 +62,18 @@ def canvas(images: DataFrame, border: tuple[int, int, int] = (0, 0, 0)) -> DataF
 
     all_ = k.each_row(images.select("seq", "height", "width", "n_channels", "data", "x0", "y0", F.col("angle").cast("double")), cells, CELLS)
     return all_.filter("not white").groupBy("y", "x").agg(F.max_by(F.struct("b", "g", "r"), "seq").alias("_c")).select("y", "x", "_c.*")
+
+
+def saved(images: DataFrame, path: str, quality: str = "high") -> int | None:
+    """Write the preview as an image file; None if there is nothing to show."""
+    from lattica.sources import sinks
+
+    cells = written(canvas(images), "preview")
+    return None if cells.isEmpty() else sinks.save(on_white(cells), path, quality)
+
+
+def on_white(cells: DataFrame) -> DataFrame:
+    """The cells and white ones for the rest of their box."""
+    box = cells.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    every = box.select(F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1").select("y", F.explode(F.sequence("x0", "x1")).alias("x"))
+    return every.join(cells, ["y", "x"], "left").select("y", "x", *[F.coalesce(c, F.lit(255)).alias(c) for c in "bgr"])

@@ -135,7 +135,8 @@ def bundle_adjust(observations: DataFrame, rounds: int = 20, delta: float = 5.0,
     """Transforms (image, a, b, tx, ty) of one scene that bring observed points of image pairs together.
 
     A similarity is linear in its four numbers, so a robust fit is a weighted least-squares
-    problem solved again and again (Huber or soft L1 weights); the first image stays where it is.
+    problem solved again and again (Huber or soft L1 weights); the first image stays where it is,
+    or where `start` has it.
     Executors add up an 8 x 8 block for each pair of images; the driver gets the pairs' blocks and
     solves their sparse system by conjugate gradients. A scene's pairs are few, whatever the number
     of points.
@@ -165,7 +166,10 @@ def bundle_adjust(observations: DataFrame, rounds: int = 20, delta: float = 5.0,
                     second = np.stack([y1, x1, zero, one, -y2, -x2, zero, -one], axis=1)
                     both = np.concatenate([now[where[pair[0]]], now[where[pair[1]]]])
                     away = np.hypot(first @ both, second @ both)
-                    w = np.where(away <= delta, 1.0, delta / np.maximum(away, 1e-12)) if loss == "huber" else 1 / np.sqrt(1 + (away / delta) ** 2)
+                    # distances in the images' own scale, else a scene could fit by shrinking
+                    scale = (both[:2] ** 2).sum() / 2 + (both[4:6] ** 2).sum() / 2
+                    away = away / np.sqrt(scale)
+                    w = (np.where(away <= delta, 1.0, delta / np.maximum(away, 1e-12)) if loss == "huber" else 1 / np.sqrt(1 + (away / delta) ** 2)) / scale
                     blocks[pair] = blocks.get(pair, 0) + (first * w[:, None]).T @ first + (second * w[:, None]).T @ second
             if blocks:
                 yield pd.DataFrame([(i, j, m.ravel().tolist()) for (i, j), m in blocks.items()], columns=["image_i", "image_j", "m"])
@@ -197,7 +201,6 @@ def _solved(pairs: np.ndarray, blocks: np.ndarray, n: int, start: np.ndarray) ->
     np.add.at(own, pairs[:, 1], blocks[:, 4:, 4:])
     inverse = np.linalg.inv(own + 1e-9 * np.eye(4))
     v = start.copy()
-    v[0] = 1.0, 0.0, 0.0, 0.0
     r = -product(v)
     r[0] = 0
     z = np.einsum("kij,kj->ki", inverse, r)
@@ -217,9 +220,15 @@ def _solved(pairs: np.ndarray, blocks: np.ndarray, n: int, start: np.ndarray) ->
     return v
 
 
-def two_stage(observations: DataFrame) -> pd.DataFrame:
-    """A coarse fit, points that it leaves far apart taken out, and a fine fit from there on."""
-    coarse = bundle_adjust(observations, 50, 5.0, 1e-4, "huber")
+def two_stage(observations: DataFrame, start: pd.DataFrame | None = None) -> pd.DataFrame:
+    """A coarse fit from the start on, points that it leaves far apart taken out, and a fine fit from there on.
+
+    Points that the start leaves far apart take no part: a least-squares step could else shrink the scene to meet them.
+    """
+    if start is not None:
+        near = refine(observations, observations.sparkSession.createDataFrame(start.rename(columns={"image": "image_id"})))
+        observations = observations if near.isEmpty() else near
+    coarse = bundle_adjust(observations, 50, 5.0, 1e-4, "huber", start)
     table = observations.sparkSession.createDataFrame(coarse.rename(columns={"image": "image_id"}))
     good = refine(observations, table)
     if good.isEmpty():

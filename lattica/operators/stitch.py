@@ -142,5 +142,16 @@ def grid_aligned(images: DataFrame, how: Options = Options(), low: float = 0.1,
 
 
 def adjusted(observations: DataFrame) -> DataFrame:
-    """Transforms after the two-stage adjustment of observed points (image_i, image_j, x1, y1, x2, y2), as a table."""
-    return observations.sparkSession.createDataFrame(seams.two_stage(observations).rename(columns={"image": "image_id"}))
+    """Transforms image_id, a, b, tx, ty after the two-stage adjustment of observed points (image_i, image_j, x1, y1, x2, y2).
+
+    It starts from the pairs' own robust fits, put together from the smallest image on.
+    """
+    spark = observations.sparkSession
+    named = observations.withColumn("kp_i", F.xxhash64("x1", "y1")).withColumn("kp_j", F.xxhash64("x2", "y2"))
+    fits = written(matching.ransac(named.select("image_i", "image_j", "kp_i", "kp_j", "x1", "y1", "x2", "y2")), "fits")
+    start = None
+    if not fits.isEmpty():
+        first = fits.select(F.least("image_i", "image_j").alias("image_id")).orderBy("image_id").limit(1)
+        tree = written(graph.bfs(fits, first), "tree")
+        start = graph.propagate(fits.select("image_i", "image_j", "a", "b", "tx", "ty"), tree).withColumnRenamed("image_id", "image").toPandas()
+    return spark.createDataFrame(seams.two_stage(observations, start).rename(columns={"image": "image_id"}))
