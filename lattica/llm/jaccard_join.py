@@ -36,6 +36,8 @@ FREQUENT = 1 << 20
 ROUNDS = 2
 #: Rows of a list that one task pairs with the whole list; longer lists are split.
 LIST_ROWS = 512
+#: Bytes of text from which on a partition is not read together with others.
+TASK_BYTES = 32 << 20
 #: Cells of the sketch of prefix shingles, least and most (2 to 128 MB broadcast); too few only make lists longer.
 CELLS = 1 << 24, 1 << 30
 
@@ -345,6 +347,9 @@ def linked(df: DataFrame, row_id: str = "doc_id") -> DataFrame:
     give a row. An empty table gives no rows. Extra columns, whatever their names, are left out.
     """
     spark = df.sparkSession
+    # many small partitions are read together, so that a task sees which shingles are frequent
+    size = df.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    df = df.select(F.col(f"`{row_id}`"), "text").coalesce(int(max(spark.sparkContext.defaultParallelism, size // TASK_BYTES)))
     scanned = written(_scan(df, row_id), "shingle-scan")
     nodes = scanned.filter("kind = 0").select(F.col("_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     rows, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
