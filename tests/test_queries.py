@@ -10,7 +10,7 @@ from lattica.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part lineitem events documents embeddings".split()
-SOME = ["tile_pixels", "quality_laplacian_var", "dhash_bits", "phash_bits", "pairs_smart", "ratio_test", "best_match", "cross_check", "similarity_ls_fit", "cluster_links", "grid_neighbors", "blend_weighted", "blend_first_wins", "blend_median", "unsharp", "percentile_stretch", "topk_by_response", "session_windows"]
+SOME = ["tile_pixels", "quality_laplacian_var", "dhash_bits", "phash_bits", "pairs_smart", "ratio_test", "best_match", "cross_check", "similarity_ls_fit", "cluster_links", "grid_neighbors", "blend_weighted", "blend_first_wins", "blend_median", "unsharp", "percentile_stretch", "topk_by_response", "session_windows", "decode_gray", "thumbnails", "label_boundaries", "semantic_weights", "semantic_blend", "colour_stretch", "preview_canvas", "seam_tiles", "shadow_normalize", "keypoint_histograms"]
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +42,7 @@ def test_correspondence_queries_read_every_supplier(spark):
         x2, y2 = 0.9 * x - 0.1 * y + i + (40 + (o * 8 + n) % 50 if o % 9 == 0 else 0), 0.1 * x + 0.9 * y - i
         total[i] += 1
         right[i] += o % 9 != 0
-        inside[i] += x < 40 and y < 90 and 0 <= x2 < 60 and 0 <= y2 < 90
+        inside[i] += x < 60 and y < 90 and 0 <= x2 < 60 and 0 <= y2 < 90
         moves[i].append((x2 - x, y2 - y))
     assert len(total) == 100
     got = lambda name: {r[0]: r for r in registry.QUERIES[name](spark, d).collect()}
