@@ -139,9 +139,35 @@ SELECT e.doc_id, len(s)::BIGINT AS n_shingles, least(e.doc_id, coalesce(q.first,
 FROM e LEFT JOIN (SELECT a, min(b) AS first FROM r GROUP BY a) q ON q.a = e.doc_id
 """
 
+QUALITY_SQL = r"""
+WITH c AS (SELECT [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05]::DOUBLE[] AS cuts),
+t AS (SELECT doc_id, lang, coalesce(text, '') AS x, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+g AS (SELECT doc_id, i, ws[i:i + 2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM t WHERE len(ws) >= 3)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g) WHERE n > 1) GROUP BY doc_id),
+ln AS (SELECT *, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
+m AS (SELECT ln.doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+  length(regexp_replace(x, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(x, '[^!?|=_~^]', '', 'g')) AS n_marks FROM ln LEFT JOIN r ON r.doc_id = ln.doc_id),
+s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  [CASE WHEN n_words > 0 THEN least(1, n_symbols / n_words::DOUBLE) ELSE 0 END, CASE WHEN word_chars > 0 THEN least(1, n_upper / word_chars::DOUBLE) ELSE 0 END, CASE WHEN n_lines > 0 THEN least(1, n_dup_lines / n_lines::DOUBLE) ELSE 0 END,
+   CASE WHEN n_words > 0 THEN least(1, n_repeat_words / n_words::DOUBLE) ELSE 0 END, CASE WHEN n_words > 0 THEN least(1, n_marks / n_words::DOUBLE) ELSE 0 END]::DOUBLE[] AS score FROM m),
+l AS (SELECT s.doc_id, lang, good, list_transform(score, lambda v: len(list_filter(cuts, lambda k: v < k))) AS first FROM s, c, (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1) q WHERE q.doc_id = s.doc_id AND NOT base_failed),
+st AS (SELECT DISTINCT lang, list_min(list_transform(list_filter([0, 1, 2, 3, 4], lambda i: first[i + 1] < 11), lambda i: first[i + 1] * 5 + i)) AS step FROM l WHERE NOT good AND list_min(first) < 11),
+tk AS (SELECT l.doc_id, l.lang, good, min(step) AS taken FROM l LEFT JOIN st ON st.lang IS NOT DISTINCT FROM l.lang AND first[step % 5 + 1] <= step // 5 GROUP BY 1, 2, 3),
+tr AS (SELECT st.lang, step, count(*) FILTER (good) AS n, count(*) FILTER (good AND taken <= step) AS k, count(*) FILTER (NOT good AND taken <= step) AS j FROM st JOIN tk ON tk.lang IS NOT DISTINCT FROM st.lang GROUP BY 1, 2),
+sf AS (SELECT *, j - 5 * k AS gain, k < 0.02::DOUBLE * n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02::DOUBLE) + (n - i) * ln(0.98::DOUBLE)))) <= 0.05::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT lang FROM st)) AS safe FROM tr),
+fl AS (SELECT lang, min(step) FILTER (NOT safe) AS failed FROM sf GROUP BY 1),
+pr AS (SELECT sf.lang, step, gain FROM sf JOIN fl ON fl.lang IS NOT DISTINCT FROM sf.lang WHERE gain > 0 AND (failed IS NULL OR step < failed)),
+b AS (SELECT lang, min(step) AS step FROM (SELECT *, max(gain) OVER (PARTITION BY lang) AS top FROM pr) WHERE gain = top GROUP BY 1),
+cu AS (SELECT st.lang, st.step % 5 AS rule, min(cuts[st.step // 5 + 1]) AS cutoff FROM st JOIN b ON b.lang IS NOT DISTINCT FROM st.lang AND st.step <= b.step, c GROUP BY 1, 2),
+hit AS (SELECT DISTINCT s.doc_id FROM s JOIN cu ON cu.lang IS NOT DISTINCT FROM s.lang AND score[rule + 1] >= cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM hit) AS kept FROM s
+"""
+
 ORACLES: dict[str, str] = {
     "op8_warc_archives": WARC_SQL,
     "op2_repeated_windows": WINDOW_SQL,
     "op5_suffix_passages": PASSAGE_SQL,
+    "op9_quality_rules": QUALITY_SQL,
     "op10_jaccard_join": JACCARD_SQL,
 }
