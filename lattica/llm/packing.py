@@ -13,7 +13,6 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,44 +22,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cells_for, drop_table, sketch, written
-from .words import NON_BLANK, Words, mix, segments
+from .words import mix, segments
 
 #: Pieces of one length that are ranked in one task, about.
 RANKED = 20_000
-#: Distinct words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Distinct words and parts of words whose ids a worker remembers before it starts afresh (about 170 MB).
+REMEMBERED = 1_000_000
 
 
 class WordIds:
     """Token ids of texts by a tokenizer that drops white space, so that words can be encoded one by one.
 
     ASCII white space never lies within a token here, so the ids of a text are those of its
-    pieces between white space, in order; each distinct piece is encoded once, and ids are put
-    together by array operations.
+    pieces between white space, in order; each distinct piece is encoded once.
     """
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), end
-        self._forget()
-
-    def _forget(self) -> None:
-        """No words known; ids of known ones lie in `flat` from `start` on, `size` of them."""
-        self.known: dict[bytes, int] = {}
-        self.flat, self.start, self.size = array("I"), array("q"), array("q")
-
-    def _add(self, word: bytes, ids: list[int] | array) -> int:
-        self.start.append(len(self.flat))
-        self.size.append(len(ids))
-        self.flat.extend(ids)
-        self.known[word] = len(self.start) - 1
-        return len(self.start) - 1
-
-    def _ids(self, word: bytes) -> array:
-        i = self.known[word]
-        return self.flat[self.start[i] : self.start[i] + self.size[i]]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.end = np.array([end], dtype="<u4").tobytes()
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, ...]:
@@ -75,40 +58,25 @@ class WordIds:
             return (word,)
         return (core, last) if last else (core,)
 
-    def _numbers(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of distinct words among those known; new ones are encoded."""
-        new = [w for w in words if w not in self.known]
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """For each text its ids, little-endian unsigned 32-bit, and the end id."""
+        split = [t.split() for t in texts]
+        words = set().union(*split) if split else set()
+        new = words.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self._forget()
+            self.known.clear()
             new = words
         cut = {w: self._parts(w) for w in new}
-        missing = list({p for parts in cut.values() for p in parts if p not in self.known})
+        missing = list({p for parts in cut.values() for p in parts}.difference(self.known))
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self._add(word, e.ids)
+                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
         for w, parts in cut.items():
             if w not in self.known:
-                ids = array("I")
-                for p in parts:
-                    ids.extend(self._ids(p))
-                self._add(w, ids)
-        return np.fromiter((self.known[w] for w in words), dtype=np.int64, count=len(words))
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, little-endian unsigned 32-bit, text by text, each with the end id, and where texts begin."""
-        words = Words(texts, NON_BLANK)
-        _, first, number = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        which = self._numbers([words.word(i) for i in first.tolist()])[number]
-        flat, start, size = np.array(self.flat, dtype="<u4"), np.array(self.start)[which], np.array(self.size)[which]
-        before = np.cumsum(size) - size
-        counts = np.bincount(words.doc, weights=size, minlength=len(texts)).astype(np.int64) + 1
-        begin = np.concatenate([[0], np.cumsum(counts)])
-        out = np.full(begin[-1], self.end, dtype="<u4")
-        inner = np.arange(size.sum())
-        # each text before has put one end id
-        out[np.repeat(words.doc, size) + inner] = flat[np.repeat(start - before, size) + inner]
-        return out, begin
+                self.known[w] = self.known[parts[0]] if len(parts) == 1 else b"".join([self.known[p] for p in parts])
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) + self.end for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -127,14 +95,11 @@ def pieces(df: DataFrame, capacity: int, path: str | None, end: int) -> DataFram
         encode = _word_ids(path, end)
         for batch, texts in segments(batches, "text"):
             out: list[list] = [[], [], [], [], []]
-            ids, begin = encode(texts)
-            data, edge = memoryview(ids).cast("B"), begin.tolist()
-            for i in range(len(texts)):
-                n = edge[i + 1] - edge[i]
+            for i, ids in enumerate(encode(texts)):
+                n = len(ids) // 4
                 for start in range(0, n, capacity):
-                    size = min(capacity, n - start)
-                    at = 4 * (edge[i] + start)
-                    for column, value in zip(out, (i, start, size, zlib.crc32(data[at : at + 4 * size]), n), strict=True):
+                    part = ids[4 * start : 4 * (start + capacity)]
+                    for column, value in zip(out, (i, start, len(part) // 4, zlib.crc32(part), n), strict=True):
                         column.append(value)
             at = pa.array(out[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -331,12 +296,9 @@ def pack(df: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end:
         encode = _word_ids(tokenizer, end)
         for batch, all_texts in segments(batches, "text"):
             out: list[list] = [[], [], [], []]
-            ids, begin = encode(all_texts)
-            data, edge = memoryview(ids).cast("B"), begin.tolist()
-            for i, asked in enumerate(batch.column(3).to_pylist()):
+            for i, (ids, asked) in enumerate(zip(encode(all_texts), batch.column(3).to_pylist(), strict=True)):
                 for x in asked:
-                    first = 4 * (edge[i] + x["start"])
-                    for column, value in zip(out, (i, x["start"], x["length"], zlib.crc32(data[first : first + 4 * x["length"]])), strict=True):
+                    for column, value in zip(out, (i, x["start"], x["length"], zlib.crc32(ids[4 * x["start"] : 4 * (x["start"] + x["length"])])), strict=True):
                         column.append(value)
             at = pa.array(out[0], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), *(pa.array(c, pa.int64()) for c in out[1:])], names=["_id", "_key", "_start", "_length", "crc"])

@@ -299,7 +299,8 @@ def without_repeats(df: DataFrame) -> DataFrame:
 
     n_chars, where there is such a column, becomes the length of the text that is left. A text
     keeps its white space but for that after words which go. Rows without a removed passage are
-    unchanged, nulls included; a text of which nothing is left stays as an empty one. Long texts
+    unchanged, nulls included; a text of which nothing is left stays as an empty one. Rows that
+    repeat both id and text are one document, which keeps what its first row keeps. Long texts
     are read whole; an empty table stays empty; extra columns may have any names.
     """
     gone_words = free_name(df, "removed")
