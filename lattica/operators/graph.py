@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,36 +101,64 @@ def _one_task(df: DataFrame, by: str | None, run, schema: str) -> DataFrame:
     return (df.withColumn("_g", F.lit(0)) if by is None else df.withColumn("_g", F.col(by))).groupBy("_g").applyInPandas(run, schema)
 
 
+def _neighbours(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Sorted ids; where each one's neighbours start, their places and weights, from edges given once in either direction.
+
+    Without weights only the neighbours before an id are listed. Places take four bytes, as this is one task's memory.
+    """
+    nodes = np.union1d(np.unique(a), np.unique(b))
+    a, b = (np.searchsorted(nodes, v).astype(np.int32) for v in (a, b))
+    src, dst = (np.maximum(a, b), np.minimum(a, b)) if weight is None else (np.concatenate([a, b]), np.concatenate([b, a]))
+    del a, b
+    first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(nodes)))])
+    order = np.argsort(src)
+    del src
+    return nodes, first, dst[order], None if weight is None else weight[order % max(1, len(weight))]
+
+
+def _given_once(edges: DataFrame) -> DataFrame:
+    """Columns a < b of the edges between different images."""
+    a, b = F.col("image_i").cast("long"), F.col("image_j").cast("long")
+    return edges.filter(a != b).withColumn("a", F.least(a, b)).withColumn("b", F.greatest(a, b))
+
+
 def greedy_cover(edges: DataFrame, limit: float = 0.5) -> DataFrame:
     """Images chosen one after another: seq, image_id. Columns image_i, image_j, confidence, inlier_ratio.
 
     Starts at the highest degree; adds the connected candidate whose overlap with chosen ones is
-    within the limit and which opens most new neighbours with least overlap.
+    within the limit and which opens most new neighbours with least overlap. Of edges given twice the
+    largest overlap counts.
     """
 
+    # what a candidate gains only falls, and only when a neighbour of it is chosen, so a step looks at those alone; the
+    # greatest gain of all is found through the greatest of each block
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, dict[int, float]] = {}
-        for r in pdf.itertuples(index=False):
-            o = min(2 * r.confidence * r.inlier_ratio, 1.0)
-            near.setdefault(int(r.image_i), {})[int(r.image_j)] = o
-            near.setdefault(int(r.image_j), {})[int(r.image_i)] = o
-        chosen = [min(near, key=lambda v: (-len(near[v]), v))]
-        inside = set(chosen)
+        nodes, first, near, o = _neighbours(pdf.a.to_numpy(), pdf.b.to_numpy(), pdf.overlap.to_numpy())
+        n, wide = len(nodes), 512
+        if not n:
+            return pd.DataFrame({"seq": [], "image_id": []})
+        left = np.diff(first)  # neighbours not chosen
+        most, inside = np.full(n, -np.inf), np.zeros(n, dtype=bool)
+        gain = np.full((-(-n // wide), wide), -np.inf)
+        flat, best = gain.reshape(-1), np.full(len(gain), -np.inf)
+        chosen, c = [], int(left.argmax())
         while True:
-            best = None
-            for v in sorted({u for c in chosen for u in near[c]} - inside):
-                most = max(near[v][c] for c in near[v] if c in inside)
-                if most <= limit:
-                    gain = sum(u not in inside for u in near[v]) + 2 * (1 - most)
-                    if best is None or gain > best[0]:
-                        best = (gain, v)
-            if best is None:
-                break
-            chosen.append(best[1])
-            inside.add(best[1])
-        return pd.DataFrame({"seq": range(len(chosen)), "image_id": chosen})
-
-    return _one_task(edges.select("image_i", "image_j", "confidence", "inlier_ratio"), None, run, "seq int, image_id long")
+            chosen.append(c)
+            inside[c], flat[c] = True, -np.inf
+            near_c = near[first[c] : first[c + 1]]
+            left[near_c] -= 1
+            most[near_c] = np.maximum(most[near_c], o[first[c] : first[c + 1]])
+            flat[near_c] = np.where(inside[near_c] | (most[near_c] > limit), -np.inf, left[near_c] + 2 * (1 - most[near_c]))
+            touched = np.unique(np.append(near_c, c) // wide)
+            best[touched] = gain[touched].max(axis=1)
+            block = int(best.argmax())  # the first one, so the lowest id
+            if best[block] == -np.inf:
+                return pd.DataFrame({"seq": range(len(chosen)), "image_id": nodes[chosen]})
+            c = block * wide + int(gain[block].argmax())
+
+    overlap = F.max(F.least(2 * F.col("confidence") * F.col("inlier_ratio"), F.lit(1.0))).alias("overlap")
+    return _one_task(_given_once(edges).groupBy("a", "b").agg(overlap), None, run, "seq int, image_id long")
 
 
 def clusters(edges: DataFrame, size: int = 50) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators against values computed by hand and against plain Python."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +142,39 @@ def test_images_round_trip(spark, tmp_path):
 def test_reflection(spark):
     got = spark.range(1).select(F.transform(F.array(*map(F.lit, [-1, 0, 7, 8])), lambda v: t.reflect(v, 8))).first()[0]
     assert got == [1, 0, 7, 6]
+
+
+def random_edges(spark, n, m, seed):
+    rng = np.random.default_rng(seed)
+    rows = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, n, (m, 2)) if a != b})
+    rows = [(a, b, float(rng.choice([0.1, 0.2, 0.3, 0.5])), float(rng.choice([0.5, 0.9]))) for a, b in rows]
+    return rows, spark.createDataFrame(rows, "image_i long, image_j long, confidence double, inlier_ratio double")
+
+
+def plain_cover(rows, limit=0.5):
+    near = {}
+    for i, j, c, r in rows:
+        near.setdefault(i, {})[j] = near.setdefault(j, {})[i] = min(2 * c * r, 1.0)
+    chosen = [min(near, key=lambda v: (-len(near[v]), v))]
+    while True:
+        most = {v: max(near[v][c] for c in near[v] if c in chosen) for v in {u for c in chosen for u in near[c]} - set(chosen)}
+        gains = [(sum(u not in chosen for u in near[v]) + 2 * (1 - o), -v) for v, o in most.items() if o <= limit]
+        if not gains:
+            return chosen
+        chosen.append(-max(gains)[1])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_greedy_cover_chooses_as_the_plain_loop(spark, seed):
+    rows, edges = random_edges(spark, 40, 30 + 60 * seed, seed)
+    doubled = edges.unionByName(edges.limit(5).selectExpr("image_j AS image_i", "image_i AS image_j", "confidence", "inlier_ratio"))
+    assert [r["image_id"] for r in graph.greedy_cover(doubled).orderBy("seq").collect()] == plain_cover(rows)
+
+
+def test_greedy_cover_of_many_images_ends(spark):
+    """The plain loop looks at all candidates in every step, minutes here."""
+    rows, edges = random_edges(spark, 8000, 160_000, 7)
+    edges = edges.withColumn("confidence", F.lit(0.1))
+    began = time.time()
+    assert len({r["image_id"] for r in graph.greedy_cover(edges).collect()}) == len({v for r in rows for v in r[:2]})
+    assert time.time() - began < 60
