@@ -164,27 +164,32 @@ def greedy_cover(edges: DataFrame, limit: float = 0.5) -> DataFrame:
 def clusters(edges: DataFrame, size: int = 50) -> DataFrame:
     """Rows image_id, cluster: components, larger ones split greedily around their first images."""
     c = components(edges)
-    e = edges.select(F.col("image_i").cast("long").alias("image_i"), F.col("image_j").cast("long").alias("image_j")).join(c.select(F.col("image_id").alias("image_i"), "component"), "image_i")
+    e = _given_once(edges).select("a", "b").distinct().join(c.select(F.col("image_id").alias("a"), "component"), "a").select("a", "b", "component")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(pdf.image_i) | set(pdf.image_j))
-        near: dict[int, set[int]] = {v: set() for v in nodes}
-        for a, b in zip(pdf.image_i, pdf.image_j, strict=True):
-            near[a].add(b)
-            near[b].add(a)
-        if len(nodes) <= size:
-            return pd.DataFrame({"image_id": nodes, "cluster": [str(nodes[0])] * len(nodes)})
-        k = max(2, len(nodes) // size)
-        groups = [[v] for v in nodes[:k]]
-        where = {v: i for i, v in enumerate(nodes[:k])}
-        for v in nodes[k:]:
-            links = [sum(where.get(u) == i for u in near[v]) if len(groups[i]) < 1.2 * size else -1 for i in range(k)]
-            i = max(range(k), key=lambda i: (links[i], -i)) if max(links) >= 0 else 0
-            groups[i].append(v)
+        nodes, first, near, _ = _neighbours(pdf.a.to_numpy(), pdf.b.to_numpy())
+        n = len(nodes)
+        if n <= size:
+            return pd.DataFrame({"image_id": nodes, "cluster": [str(nodes[0])] * n})
+        k = max(2, n // size)
+        where = np.full(n, -1)
+        where[:k] = np.arange(k)
+        members, room = np.bincount(where[:k], minlength=k), 0  # room: no cluster before it takes more
+        for v in range(k, n):
+            # clusters of the neighbours before it, which are placed; all others have no link
+            at, links = np.unique(where[near[first[v] : first[v + 1]]], return_counts=True)
+            open_ = members[at] < 1.2 * size
+            if open_.any():
+                i = int(at[open_][links[open_].argmax()])
+            else:
+                while room < k and members[room] >= 1.2 * size:
+                    room += 1
+                i = room if room < k else 0
+            members[i] += 1
             where[v] = i
-        return pd.DataFrame({"image_id": nodes, "cluster": [f"{nodes[0]}.{where[v]}" for v in nodes]})
+        return pd.DataFrame({"image_id": nodes, "cluster": [f"{nodes[0]}.{i}" for i in where]})
 
-    return _one_task(e, "component", run, "image_id long, cluster string")
+    return e.groupBy("component").applyInPandas(run, "image_id long, cluster string")
 
 
 def cluster_links(edges: DataFrame, membership: DataFrame, weight: str = "num_inliers") -> DataFrame:

@@ -178,3 +178,25 @@ def test_greedy_cover_of_many_images_ends(spark):
     began = time.time()
     assert len({r["image_id"] for r in graph.greedy_cover(edges).collect()}) == len({v for r in rows for v in r[:2]})
     assert time.time() - began < 60
+
+
+def test_greedy_partition_of_many_images_ends(spark):
+    """As by counting the links of every image with every cluster, which takes minutes here."""
+    rows, edges = random_edges(spark, 20_000, 300_000, 8)
+    began = time.time()
+    got = {r["image_id"]: int(r["cluster"].split(".")[1]) for r in graph.clusters(edges, 10).collect()}
+    assert time.time() - began < 60
+    nodes, near = sorted(got), {}
+    for a, b, _, _ in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    k = len(nodes) // 10
+    where, sizes = {v: i for i, v in enumerate(nodes[:k])}, [1] * k
+    for v in nodes[k:]:
+        links = {i: 0 for i in [next(i for i in range(k) if sizes[i] < 12)]}
+        for u in near[v]:
+            if u in where and sizes[where[u]] < 12:
+                links[where[u]] = links.get(where[u], 0) + 1
+        where[v] = max(links, key=lambda i: (links[i], -i))
+        sizes[where[v]] += 1
+    assert got == where
