@@ -10,9 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.plans.tables import written
+
 MIN_MATCHES, RATIO, COLOUR_DIMS, COLOUR_LEAST = 10, 0.75, 48, 0.3
 
 
@@ -74,6 +77,55 @@ def nearest_overall(descriptors: DataFrame, k: int = 2, block: int = 2000) -> Da
     return best.select("kp_i", F.posexplode("b").alias("p", "x")).select("kp_i", "x.kp_j", "x.distance", (F.col("p") + 1).alias("rank"))
 
 
+def hashed_pairs(left: DataFrame, right: DataFrame, within: float, width: float, tables: int = 4, seed: int = 7, block: int = 16384) -> DataFrame:
+    """Rows kp_i, kp_j, distance: descriptors (kp_id, descriptor) closer than `within` that share a bucket of random projections.
+
+    Rows meet by table and bucket, in blocks, so nothing is written for a pair that is too far apart. A pair is found in
+    the first table where its buckets are the same and left out of the others, so no pairs are shuffled to be told apart.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    left, right = (v.filter("descriptor is not null").select("kp_id", "descriptor", array_to_vector(F.transform("descriptor", lambda x: x.cast("double"))).alias("v")) for v in (left, right))
+    schema = "kp_i long, kp_j long, distance double"
+    if left.isEmpty() or right.isEmpty():
+        return left.sparkSession.createDataFrame([], schema)
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(left)
+    buckets = F.array(*[vector_to_array(F.col("h")[k])[0].cast("long") for k in range(tables)])
+    a, b = (model.transform(v).select("kp_id", "descriptor", buckets.alias("h")).select("*", F.posexplode("h").alias("t", "bucket")) for v in (left, right))
+    blocks = [v.groupBy("t", "bucket").agg(F.ceil(F.count("*") / block).alias(n)) for v, n in ((a, "_p"), (b, "_q"))]
+    blocks = written(blocks[0].join(blocks[1], ["t", "bucket"]), "buckets")
+    place = lambda n: F.pmod(F.xxhash64("kp_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = a.join(blocks, ["t", "bucket"]).select("kp_id", "descriptor", "h", "t", "bucket", place("_p").alias("p"), every("_q").alias("q"))
+    b = b.join(blocks, ["t", "bucket"]).select("kp_id", "descriptor", "h", "t", "bucket", every("_p").alias("p"), place("_q").alias("q"))
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # columns of its own, where both sides come from one table
+
+    def rows_of(table: pa.Table, name: str, kind: type) -> np.ndarray:
+        return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(table.num_rows, -1)
+
+    def run(key: tuple, one: pa.Table, other: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if one.num_rows and other.num_rows:
+            (x, y), (hx, hy) = ([rows_of(v, "descriptor", np.float64) for v in (one, other)], [rows_of(v, "h", np.int64)[:, : key[0].as_py()] for v in (one, other)])
+            ids, jds = (v.column("kp_id").to_numpy() for v in (one, other))
+            squares = (y**2).sum(1)
+            slack = 1e-9 * (1 + (x**2).sum(1).max() + squares.max())
+            for at in range(0, len(x), 512):
+                z = x[at : at + 512]
+                row, col = np.nonzero((z**2).sum(1)[:, None] + squares[None] - 2 * z @ y.T < within * within + slack)
+                new = ~(hx[at + row] == hy[col]).any(1)
+                row, col = row[new], col[new]
+                d = np.sqrt(((z[row] - y[col]) ** 2).sum(1))
+                near = d < within
+                for column, values in zip(found, (ids[at + row[near]], jds[col[near]], d[near]), strict=True):
+                    column.append(values)
+        return pa.table({n: np.concatenate(v) for n, v in zip(("kp_i", "kp_j", "distance"), found, strict=True)})
+
+    keys = ["t", "bucket", "p", "q"]
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, schema)
+
+
 def ratio_test(near: DataFrame, ratio: float = RATIO) -> DataFrame:
     """First neighbours closer than `ratio` times the second; both must exist."""
     two = near.groupBy("image_i", "image_j", "kp_i").agg(F.min_by("kp_j", "rank").alias("kp_j"), F.min(F.when(F.col("rank") == 1, F.col("distance"))).alias("distance"), F.min(F.when(F.col("rank") == 2, F.col("distance"))).alias("second"))

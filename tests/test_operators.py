@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import tiles as t
 from lattica.operators import control_points, duplicates, filters, graph, layout, matching, pairs, quality, raster, seams
+from lattica.plans import registry
 from lattica.sources import images as sources
 from lattica.sources import sinks
 
@@ -200,3 +201,26 @@ def test_greedy_partition_of_many_images_ends(spark):
         where[v] = max(links, key=lambda i: (links[i], -i))
         sizes[where[v]] += 1
     assert got == where
+
+
+def test_hashed_pairs_are_those_of_the_bucket_join(spark):
+    """In blocks smaller than buckets; the join itself makes a row of every two rows in a bucket and shuffles them."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (300, 6)).astype(np.float32))] + [(300, [0.5] * 6), (301, [0.5] * 6)]
+    d = spark.createDataFrame(rows, "kp_id long, descriptor array<float>")
+    left, right = d.filter("kp_id % 2 = 0"), d.filter("kp_id % 2 = 1")
+    v = d.select("kp_id", array_to_vector(F.transform("descriptor", lambda x: x.cast("double"))).alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=3, seed=7).fit(v)
+    joined = model.approxSimilarityJoin(v.filter("kp_id % 2 = 0"), v.filter("kp_id % 2 = 1"), 1.9, "d")
+    want = {(r[0], r[1]): r[2] for r in joined.select("datasetA.kp_id", "datasetB.kp_id", "d").collect()}
+    found = matching.hashed_pairs(left, right, 1.9, 0.5, tables=3, block=20)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and {(i, j): pytest.approx(x, abs=1e-9) for i, j, x in got} == want
+    assert 0 < len(want) and (300, 301) in want
+    assert found.filter("distance < 0.1").count() == sum(x < 0.1 for x in want.values())
+    plan = registry.QUERIES["lsh_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "datasetA" not in plan  # no aggregate over pairs
+    assert matching.hashed_pairs(left.limit(0), right, 1.9, 0.5).collect() == []
