@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,7 @@ from .words import mix, segments
 RANKED = 20_000
 #: Distinct words and parts of words whose ids a worker remembers before it starts afresh (about 170 MB).
 REMEMBERED = 1_000_000
+PUNCTUATION = string.punctuation.encode()
 
 
 class WordIds:
@@ -42,13 +44,23 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # whether a token ends a run of letters (and so a word of letters alone), if the tokenizer marks that
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.end = np.array([end], dtype="<u4").tobytes()
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, ...]:
-        """What the pre-tokenizer cuts a word into, as far as that is plain: letters, and a comma or stop after them."""
-        core, last = (word[:-1], word[-1:]) if word[-1:] in (b",", b".") else (word, b"")
+        """What the pre-tokenizer cuts a word into, as far as that is plain: letters, and punctuation after them."""
+        core = word.rstrip(PUNCTUATION)
+        last = word[len(core) :]
+        if not core:
+            return (word,)
         if not core.isascii():
             if not last or not core.decode("utf-8", "replace")[-1].lower().isalpha():  # lower-casing may end in a mark
                 return (word,)
@@ -58,6 +70,38 @@ class WordIds:
             return (word,)
         return (core, last) if last else (core,)
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the ids of words; those of letters alone are encoded many in one text, which their last tokens cut."""
+        one_by_one = []
+        lines: list[list[bytes]] = [[]]
+        for w in words:
+            if self.ends is None or not w.decode("utf-8", "replace").isalpha():
+                one_by_one.append(w)
+            elif len(lines[-1]) < 1000:
+                lines[-1].append(w)
+            else:
+                lines.append([w])
+        while lines:
+            part = [x for x in lines[-20:] if x]
+            del lines[-20:]
+            for line, e in zip(part, self.tokenizer.encode_batch_fast([b" ".join(x).decode("utf-8") for x in part], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+                if len(stops) != len(line):  # some word is no single run of letters to the tokenizer
+                    if len(line) > 50:
+                        lines += [line[i : i + 50] for i in range(0, len(line), 50)]
+                    else:
+                        one_by_one += line
+                    continue
+                raw, begin = ids.tobytes(), 0
+                for w, stop in zip(line, stops, strict=True):
+                    self.known[w] = raw[begin:stop]
+                    begin = stop
+        for at in range(0, len(one_by_one), 20_000):
+            part = one_by_one[at : at + 20_000]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids, little-endian unsigned 32-bit, and the end id."""
         split = [t.split() for t in texts]
@@ -67,11 +111,7 @@ class WordIds:
             self.known.clear()
             new = words
         cut = {w: self._parts(w) for w in new}
-        missing = list({p for parts in cut.values() for p in parts}.difference(self.known))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
+        self._learn(list({p for parts in cut.values() for p in parts}.difference(self.known)))
         for w, parts in cut.items():
             if w not in self.known:
                 self.known[w] = self.known[parts[0]] if len(parts) == 1 else b"".join([self.known[p] for p in parts])

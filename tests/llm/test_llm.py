@@ -331,3 +331,28 @@ def test_license_scan(docs, spark, nothing):
     assert (got[2]["n_words"], got[2]["labels"], got[2]["score"], got[2]["first_word"]) == (0, "", 0.0, None)
     assert got[None]["base_labels"] == "apache" and (got[3]["n_base"], got[3]["first_word"], got[3]["last_word"]) == (2, 0, 2) and got[4]["n_base"] == 0
     assert license_scan.scan(nothing).count() == 0 and license_scan.scan(docs).count() == docs.count()
+
+
+def test_words_of_letters_are_encoded_together_as_alone():
+    import public_tokenizers
+
+    from lattica.llm.packing import WordIds
+
+    encode = WordIds(public_tokenizers.path("word_bpe_49k.json"), 2)
+    lines = []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **more):
+            lines.extend(texts)
+            return self.inner.encode_batch_fast(texts, **more)
+
+    plain, encode.tokenizer = encode.tokenizer, Counted(encode.tokenizer)
+    letters = [f"wo{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}rd" for i in range(600)]
+    odd = "İstanbul ΣΑΣ ß, ǅ. ﬁ ªº straße### don't it's l'été 'tis a</w> </w> 日本語 テスト がぎ ก็ हिन्दी ٣٤ ⅷ 𝒜𝓑 ʰa \U00010d50 (x) --- a--- é!? Éa,*** x</w>y"
+    texts = [" ".join(letters).encode(), odd.encode(), b"", b"bad \xff bytes", " ".join(f"{w}###" for w in letters).encode()]
+    want = [[*plain.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, 2] for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encode(texts)] == want
+    assert len(lines) < 200  # 600 words of letters in one line, and again if one of a line is no single run of letters
