@@ -6,6 +6,7 @@ multi-byte character is never a separator.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -145,6 +146,15 @@ def minimiser_at(grams: np.ndarray, span: int) -> np.ndarray:
     return at
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers stay alive between tasks, and allocators keep what they once needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not every C library has it
+        pass
+
+
 def segments(batches: Iterator[pa.RecordBatch], text: str, limit: int = SEGMENT_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with texts as UTF-8 bytes (null: empty), of about `limit` bytes each."""
     for batch in batches:
@@ -160,6 +170,8 @@ def segments(batches: Iterator[pa.RecordBatch], text: str, limit: int = SEGMENT_
             size += len(t)
         if begin < len(texts):
             yield batch.slice(begin), texts[begin:]
+        del batch, column, texts
+    _give_back()
 
 
 def runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -356,3 +356,16 @@ def test_words_of_letters_are_encoded_together_as_alone():
     want = [[*plain.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, 2] for t in texts]
     assert [np.frombuffer(ids, "<u4").tolist() for ids in encode(texts)] == want
     assert len(lines) < 200  # 600 words of letters in one line, and again if one of a line is no single run of letters
+
+
+def test_a_task_gives_its_freed_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from lattica.llm import words
+
+    calls = []
+    monkeypatch.setattr(words, "_give_back", lambda: calls.append(1))
+    batches = [pa.RecordBatch.from_arrays([pa.array(["a b", None, "c"])], names=["text"])] * 2
+    parts = words.segments(iter(batches), "text", 2)
+    assert next(parts)[1] == [b"a b", b""] or not calls
+    assert b"".join(t for _, texts in parts for t in texts).endswith(b"c") and calls == [1]
