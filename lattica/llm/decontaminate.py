@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .words import ALNUM, Words, inside, rolling, segments
+from .words import ALNUM, Words, inside, lean, rolling, segments
 
 #: Items of fewer words are matched exactly: their pieces are too short to tell a leak from chance.
 LEAST_WORDS = 8
@@ -150,7 +150,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: str
                         names=["_id", "item_id", "distance", "first_word", "last_word"],
                     )
 
-        part = source.mapInArrow(match, f"_id {id_kind}, item_id {item_kind}, distance long, first_word long, last_word long")
+        part = source.mapInArrow(lean(match), f"_id {id_kind}, item_id {item_kind}, distance long, first_word long, last_word long")
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("_id", row_id)
 
@@ -188,5 +188,5 @@ def without_leaks(df: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[list(leaked)] = False
                     yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(clean, schema)
+        out = out.mapInArrow(lean(clean), schema)
     return out

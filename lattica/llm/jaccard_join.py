@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import Sketch, cells_for, drop_table, free_name, sketch, spread_join, written
-from .words import NON_BLANK, U64, Words, inside, mix, rolling, segments
+from .words import NON_BLANK, U64, Words, inside, lean, mix, rolling, segments
 
 SHINGLE = 5
 PER_CENT = 80
@@ -101,10 +101,11 @@ def _scan(df: DataFrame, row_id: str) -> DataFrame:
 
         def frequent() -> pa.RecordBatch | None:
             nonlocal pending, held
-            values = np.sort(np.concatenate(pending))
+            values = np.concatenate(pending)
+            pending, held = [], 0
+            values.sort()
             first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
             counts = np.diff(np.concatenate([first, [len(values)]]))
-            pending, held = [], 0
             often = counts >= 2
             n = int(often.sum())
             return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array(values[first][often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.array(np.ones(n, np.int32))], names=names) if n else None
@@ -124,7 +125,7 @@ def _scan(df: DataFrame, row_id: str) -> DataFrame:
             yield out
 
     id_kind = df.schema[row_id].dataType.simpleString()
-    return df.select(F.col(f"`{row_id}`").alias("_id"), F.col("text").alias("_text")).mapInArrow(run, f"_id {id_kind}, node long, n long, kind int")
+    return df.select(F.col(f"`{row_id}`").alias("_id"), F.col("text").alias("_text")).mapInArrow(lean(run), f"_id {id_kind}, node long, n long, kind int")
 
 
 def _prefixes(texts: list[bytes], common: object, seen: _Seen) -> tuple[np.ndarray, ...] | None:
@@ -199,7 +200,7 @@ def _listed(df: DataFrame, row_id: str, common: object, repeated: object, bucket
             yield flush()
 
     id_kind = df.schema[row_id].dataType.simpleString()
-    return df.select(F.col(f"`{row_id}`").alias("_id"), F.col("text").alias("_text")).mapInArrow(run, f"bucket long, _id {id_kind}, node long, g long, size int, tokens binary, groups binary, sizes binary, places binary")
+    return df.select(F.col(f"`{row_id}`").alias("_id"), F.col("text").alias("_text")).mapInArrow(lean(run), f"bucket long, _id {id_kind}, node long, g long, size int, tokens binary, groups binary, sizes binary, places binary")
 
 
 def _lists(packed: DataFrame, tasks: int) -> DataFrame:
@@ -223,7 +224,7 @@ def _lists(packed: DataFrame, tasks: int) -> DataFrame:
             if many.any():
                 yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(group[many]), pa.array(size[many].astype(np.int32)), pa.array(place[many].astype(np.int32))], names=["token", "g", "size", "place"])
 
-    return packed.repartition(tasks, "bucket").mapInArrow(run, "token long, g long, size int, place int")
+    return packed.repartition(tasks, "bucket").mapInArrow(lean(run), "token long, g long, size int, place int")
 
 
 def _need(a: str, b: str) -> str:
@@ -283,7 +284,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     p = pairs.withColumn("route", F.pmod(F.xxhash64("a"), F.lit(routes)))
     member = p.join(texts.withColumnRenamed("node", "a"), "a").selectExpr("route", "b", "1 kind", "a", "text")
     lead = p.select("route", "b").distinct().join(texts.withColumnRenamed("node", "b"), "b").selectExpr("route", "b", "0 kind", "cast(null as bigint) a", "text")
-    return member.unionByName(lead).repartition(routes, "route").sortWithinPartitions("route", "b", "kind").mapInArrow(run, "a long, b long, ok boolean")
+    return member.unionByName(lead).repartition(routes, "route").sortWithinPartitions("route", "b", "kind").mapInArrow(lean(run), "a long, b long, ok boolean")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -332,7 +333,7 @@ def _texts_of(df: DataFrame, row_id: str, chosen: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), part.column(2)], names=["_id", "node", "text"])
 
     id_kind = df.schema[row_id].dataType.simpleString()
-    picked = df.select(F.col(f"`{row_id}`").alias("_id"), F.xxhash64(F.col(f"`{row_id}`")).alias("tag"), "text").mapInArrow(pick, f"_id {id_kind}, node long, text string")
+    picked = df.select(F.col(f"`{row_id}`").alias("_id"), F.xxhash64(F.col(f"`{row_id}`")).alias("tag"), "text").mapInArrow(lean(pick), f"_id {id_kind}, node long, text string")
     wanted = chosen.select(F.col("_id").alias("_one"), F.col("node").alias("_node"))
     # repeated rows of an id give a node's text more than once
     return written(picked.join(wanted, (F.col("node") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_one"))).groupBy("node").agg(F.min("text").alias("text")), "chosen-texts")
@@ -478,5 +479,5 @@ def one_of_each(df: DataFrame) -> DataFrame:
         for batch, texts in segments(batches, "text"):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_keys(*shingle_sets(texts)))], names=[*batch.schema.names, mine])
 
-    keyed = df.mapInArrow(key, T.StructType([*df.schema.fields, T.StructField(mine, T.LongType())]))
+    keyed = df.mapInArrow(lean(key), T.StructType([*df.schema.fields, T.StructField(mine, T.LongType())]))
     return keyed.join(drop_ids, (F.col("doc_id") == F.col(one)) & (F.col(mine) == F.col(set_key)), "left_anti").drop(mine)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import bisect
 import os
 import string
+import threading
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,12 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cells_for, drop_table, sketch, written
-from .words import mix, segments
+from .words import _give_back, lean, mix, segments
 
 #: Pieces of one length that are ranked in one task, about.
 RANKED = 20_000
 #: Distinct words and parts of words whose ids a worker remembers before it starts afresh (about 170 MB).
 REMEMBERED = 1_000_000
+#: Seconds without a task after which a worker forgets them; workers live on when packing is over.
+IDLE_SECONDS = 10.0
 PUNCTUATION = string.punctuation.encode()
 
 
@@ -128,11 +131,37 @@ def _word_ids(path: str | None, end: int) -> WordIds:
     return WordIds(path, end)
 
 
+_idle: threading.Timer | None = None
+
+
+def _forget() -> None:
+    """Drop the tokenizers and their words; a task that runs keeps its own."""
+    _word_ids.cache_clear()
+    _give_back()
+
+
+def _remembering(path: str | None, end: int) -> WordIds:
+    """The worker's tokenizer, with the words of its tasks before."""
+    if _idle is not None:
+        _idle.cancel()
+    return _word_ids(path, end)
+
+
+def _pause() -> None:
+    """At a task's end: forget the words unless another task asks for them soon."""
+    global _idle
+    if _idle is not None:
+        _idle.cancel()
+    _idle = threading.Timer(IDLE_SECONDS, _forget)
+    _idle.daemon = True
+    _idle.start()
+
+
 def pieces(df: DataFrame, capacity: int, path: str | None, end: int) -> DataFrame:
     """Rows doc_id, text_key, start, length, ids_crc32, doc_tokens: each document cut at multiples of capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _word_ids(path, end)
+        encode = _remembering(path, end)
         for batch, texts in segments(batches, "text"):
             out: list[list] = [[], [], [], [], []]
             for i, ids in enumerate(encode(texts)):
@@ -146,9 +175,10 @@ def pieces(df: DataFrame, capacity: int, path: str | None, end: int) -> DataFram
                 [batch.column(0).take(at), batch.column(2).take(at), *(pa.array(c, pa.int64()) for c in out[1:])],
                 names=["doc_id", "text_key", "start", "length", "ids_crc32", "doc_tokens"],
             )
+        _pause()
 
     d = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    return d.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, text_key long, start long, length long, ids_crc32 long, doc_tokens long")
+    return d.mapInArrow(lean(run), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, text_key long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def closest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -307,7 +337,7 @@ def pack(df: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end:
             )
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    placed = ranked.mapInArrow(assign, f"doc_id {kind}, text_key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed = ranked.mapInArrow(lean(assign), f"doc_id {kind}, text_key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     if all(r[4] == r[0] for r in records):
         return placed.select(*columns)
@@ -329,11 +359,12 @@ def pack(df: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end:
 
     texts = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
     texts = texts.withColumn("tag", F.xxhash64("doc_id", "text_key"))
-    texts = texts.mapInArrow(pick, texts.schema).drop("tag")
+    # written, so that a task that joins few texts at once has one Python worker, not two; workers live on with what they hold
+    texts = written(texts.mapInArrow(lean(pick), texts.schema).drop("tag"), "cut-texts")
     wanted = texts.join(spans.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
 
     def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _word_ids(tokenizer, end)
+        encode = _remembering(tokenizer, end)
         for batch, all_texts in segments(batches, "text"):
             out: list[list] = [[], [], [], []]
             for i, (ids, asked) in enumerate(zip(encode(all_texts), batch.column(3).to_pylist(), strict=True)):
@@ -342,7 +373,8 @@ def pack(df: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end:
                         column.append(value)
             at = pa.array(out[0], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), *(pa.array(c, pa.int64()) for c in out[1:])], names=["_id", "_key", "_start", "_length", "crc"])
+        _pause()
 
-    found = wanted.select("doc_id", "text", "text_key", "spans").mapInArrow(crcs, f"_id {kind}, _key long, _start long, _length long, crc long").distinct()
+    found = wanted.select("doc_id", "text", "text_key", "spans").mapInArrow(lean(crcs), f"_id {kind}, _key long, _start long, _length long, crc long").distinct()
     again = split.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")) & (F.col("start") == F.col("_start")) & (F.col("length") == F.col("_length")))
     return placed.filter(F.col("ids_crc32").isNotNull()).select(*columns).unionByName(again.drop("ids_crc32").withColumnRenamed("crc", "ids_crc32").select(*columns))

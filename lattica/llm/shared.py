@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import U64
+from .words import U64, lean
 
 #: Cells of one block of a sketch; a block's bitmap takes BLOCK / 8 bytes.
 BLOCK = 1 << 20
@@ -106,19 +106,22 @@ def sketch(df: DataFrame, values_of: Callable[[Iterator[pa.RecordBatch]], Iterat
     per_flush = 1 << 21
 
     def emit(parts: list[np.ndarray], n: int) -> pa.RecordBatch:
-        cell = np.sort(np.concatenate(parts) >> U64(shift))
+        cell = np.concatenate(parts)
+        parts.clear()
+        cell.sort()
         new = np.concatenate([[True], cell[1:] != cell[:-1]])
+        several = np.concatenate([~new[1:], [False]])[new]
         unique = cell[new]
-        count = np.diff(np.concatenate([np.flatnonzero(new), [len(cell)]]))
-        block = (unique // U64(BLOCK)).astype(np.int64)
+        del cell, new
+        block = unique // np.uint32(BLOCK)
         cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
         once, more = [], []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            inside = (unique[a:b] % U64(BLOCK)).astype(np.uint32)
+            inside = unique[a:b] % np.uint32(BLOCK)
             once.append(inside.tobytes())
-            more.append(inside[count[a:b] > 1].tobytes())
+            more.append(inside[several[a:b]].tobytes())
         return pa.RecordBatch.from_arrays(
-            [pa.array(block[cut[:-1]], pa.int64()), pa.array(once, pa.binary()), pa.array(more, pa.binary()), pa.array([n] + [0] * (len(once) - 1), pa.int64())],
+            [pa.array(block[cut[:-1]].astype(np.int64)), pa.array(once, pa.binary()), pa.array(more, pa.binary()), pa.array([n] + [0] * (len(once) - 1), pa.int64())],
             names=["block", "once", "more", "n"],
         )
 
@@ -126,7 +129,7 @@ def sketch(df: DataFrame, values_of: Callable[[Iterator[pa.RecordBatch]], Iterat
         parts, n = [], 0
         for values in values_of(batches):
             if len(values):
-                parts.append(values)
+                parts.append((values >> U64(shift)).astype(np.uint32))  # there are 2^32 cells at most
                 n += len(values)
             if n >= per_flush:
                 yield emit(parts, n)
@@ -152,8 +155,8 @@ def sketch(df: DataFrame, values_of: Callable[[Iterator[pa.RecordBatch]], Iterat
             )
 
     spark = df.sparkSession
-    partials = df.mapInArrow(partial, "block long, once binary, more binary, n long")
-    merged = partials.repartition(min(cells // BLOCK, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))), "block").mapInArrow(merge, "block long, bits binary, n long")
+    partials = df.mapInArrow(lean(partial), "block long, once binary, more binary, n long")
+    merged = partials.repartition(min(cells // BLOCK, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))), "block").mapInArrow(lean(merge), "block long, bits binary, n long")
     bits = bytearray(cells // 8)
     n = 0
     for row in merged.toLocalIterator() if cells > (1 << 30) else merged.collect():

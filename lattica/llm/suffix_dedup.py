@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import free_name, sketch, written
 from .substring_dedup import beside, by_bucket, minimisers, places_counted
-from .words import NON_BLANK, U64, Words, covered, mix, runs, segments
+from .words import NON_BLANK, U64, Words, covered, lean, mix, runs, segments
 
 PASSAGE = 50
 GRAM = 8
@@ -182,7 +182,7 @@ def _suffixes(df: DataFrame, n: int, k: int, known: object, buckets: int, kind:
         if held:
             yield flush()
 
-    return df.mapInArrow(run, TABLE.format(kind=kind))
+    return df.mapInArrow(lean(run), TABLE.format(kind=kind))
 
 
 def _compared(suffixes: DataFrame, n: int, k: int, tasks: int, kind: str) -> DataFrame:
@@ -210,7 +210,7 @@ def _compared(suffixes: DataFrame, n: int, k: int, tasks: int, kind: str) -> Dat
                 at += m
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return suffixes.repartition(tasks, "route").mapInArrow(run, TABLE.format(kind=kind))
+    return suffixes.repartition(tasks, "route").mapInArrow(lean(run), TABLE.format(kind=kind))
 
 
 def passages(df: DataFrame, n: int = PASSAGE, k: int = GRAM, cells: int = CELLS, row_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,7 +269,7 @@ def passages(df: DataFrame, n: int = PASSAGE, k: int = GRAM, cells: int = CELLS,
                 if rows[0]:
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[0])), pa.array(keys[rows[0]]), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["_id", "_key", "repeated", "removed"])
 
-    return both.mapInArrow(mark, f"_id {kind}, _key long, repeated binary, removed binary")
+    return both.mapInArrow(lean(mark), f"_id {kind}, _key long, repeated binary, removed binary")
 
 
 def spans(found: DataFrame, row_id: str = "doc_id") -> DataFrame:
@@ -291,7 +291,7 @@ def spans(found: DataFrame, row_id: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(c, pa.int64()) for c in out[1:])], names=["_id", "first_word", "n_words", "n_removed"])
 
     kind = found.schema["_id"].dataType.simpleString()
-    return found.select("_id", "repeated", "removed").mapInArrow(run, f"_id {kind}, first_word long, n_words long, n_removed long").withColumnRenamed("_id", row_id)
+    return found.select("_id", "repeated", "removed").mapInArrow(lean(run), f"_id {kind}, first_word long, n_words long, n_removed long").withColumnRenamed("_id", row_id)
 
 
 def without_repeats(df: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def without_repeats(df: DataFrame) -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(at).type) if j == at else c for j, c in enumerate(batch.columns) if batch.schema.names[j] != gone_words]
             yield pa.RecordBatch.from_arrays(columns, names=[x for x in batch.schema.names if x != gone_words])
 
-    out = both.mapInArrow(cut, df.schema)
+    out = both.mapInArrow(lean(cut), df.schema)
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(df.schema["n_chars"].dataType))
     return out

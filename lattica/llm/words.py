@@ -7,11 +7,12 @@ multi-byte character is never a separator.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at once; a single longer text is still handled whole.
@@ -155,22 +156,39 @@ def _give_back() -> None:
         pass
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a task, at whose end, when nothing of it is held any more, memory is given back."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
+
+
+def _bytes_of(column: pa.Array) -> list[bytes]:
+    """Texts as UTF-8 bytes (null: empty)."""
+    if column.type not in (pa.binary(), pa.large_binary()):
+        column = column.cast(pa.binary() if column.type == pa.string() else pa.large_binary())
+    return [b"" if t is None else t for t in column.to_pylist()]
+
+
 def segments(batches: Iterator[pa.RecordBatch], text: str, limit: int = SEGMENT_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with texts as UTF-8 bytes (null: empty), of about `limit` bytes each."""
+    """Slices of the batches with texts as UTF-8 bytes (null: empty), of about `limit` bytes each; only one slice's texts are copied at a time."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        if column.type not in (pa.binary(), pa.large_binary()):
-            column = column.cast(pa.large_binary())
-        texts = [b"" if t is None else t for t in column.to_pylist()]
         begin, size = 0, 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(begin, i - begin), texts[begin:i]
+        for i, n in enumerate(pc.binary_length(column).to_pylist()):
+            n = n or 0
+            if size and size + n > limit:
+                yield batch.slice(begin, i - begin), _bytes_of(column.slice(begin, i - begin))
                 begin, size = i, 0
-            size += len(t)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
-        del batch, column, texts
+            size += n
+        if begin < len(column):
+            yield batch.slice(begin), _bytes_of(column.slice(begin))
+        del batch, column
     _give_back()
 
 

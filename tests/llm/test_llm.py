@@ -4,6 +4,9 @@ import base64
 import hashlib
 import random
 import re
+import time
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
@@ -369,3 +372,88 @@ def test_a_task_gives_its_freed_memory_back(monkeypatch):
     parts = words.segments(iter(batches), "text", 2)
     assert next(parts)[1] == [b"a b", b""] or not calls
     assert b"".join(t for _, texts in parts for t in texts).endswith(b"c") and calls == [1]
+
+
+def _peak(run) -> float:
+    """MB that Python and numpy hold at most while this runs."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+class _Caught:
+    """Stands for a table; keeps the function given to mapInArrow."""
+
+    sparkSession = None  # noqa: N815
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+        raise StopIteration
+
+
+def test_texts_of_a_batch_are_copied_a_segment_at_a_time():
+    import pyarrow as pa
+
+    from lattica.llm.words import segments
+
+    texts = [b"x" * 300_000, None, b"", "é".encode() * 1000] * 60
+    for kind in (pa.string(), pa.large_string(), pa.binary()):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(kind)], names=["text"])
+        assert [t for _, part in segments(iter([batch]), "text") for t in part] == [t or b"" for t in texts]
+        assert [len(rows) for rows, _ in segments(iter([batch]), "text")] == [len(part) for _, part in segments(iter([batch]), "text")]
+        assert _peak(lambda: [None for _ in segments(iter([batch.slice(4)]), "text")]) < 5  # 18 MB in all  # noqa: B023
+
+
+def test_a_task_gives_memory_back_when_it_holds_none(monkeypatch):
+    from lattica.llm import words
+
+    held, left = [], []
+    monkeypatch.setattr(words, "_give_back", lambda: left.append([x() for x in held]))
+
+    def run(batches):
+        large = np.zeros(1000)
+        held.append(weakref.ref(large))
+        for b in batches:
+            yield b + len(large)
+
+    assert list(words.lean(run)(iter([1, 2]))) == [1001, 1002] and left == [[None]]
+
+
+def test_sketch_holds_few_copies_of_the_values_it_counts():
+    from lattica.llm import shared
+
+    values = np.random.default_rng(3).integers(0, 1 << 63, 3_000_000, dtype=np.uint64)
+    values[1_000_000:1_500_000] = values[:500_000]
+    caught = _Caught()
+    with pytest.raises(StopIteration):
+        shared.sketch(caught, lambda _: iter(np.split(values, 30)), shared.BLOCK * 256, 2)
+    out = []
+    assert _peak(lambda: out.extend(caught.run(iter([])))) < 60
+    cells, counts = np.unique(values[:2_100_000] >> np.uint64(36), return_counts=True)
+    first = out[0].to_pydict()  # 21 pieces reach the size of a flush
+    once = np.concatenate([b * shared.BLOCK + np.frombuffer(x, np.uint32) for b, x in zip(first["block"], first["once"], strict=True)])
+    more = np.concatenate([b * shared.BLOCK + np.frombuffer(x, np.uint32) for b, x in zip(first["block"], first["more"], strict=True)])
+    assert np.array_equal(once, cells) and np.array_equal(more, cells[counts > 1]) and len(more) >= 500_000
+    assert sum(sum(b.to_pydict()["n"]) for b in out) == len(values)
+
+
+def test_packing_forgets_its_words_when_a_worker_has_no_task(monkeypatch):
+    monkeypatch.setattr(packing, "IDLE_SECONDS", 0.2)
+    encode = packing._remembering(None, 2)
+    before = encode([b"some words"])
+    packing._pause()
+    assert packing._remembering(None, 2) is encode  # the next task comes soon
+    time.sleep(0.5)
+    assert packing._remembering(None, 2) is encode  # and takes long
+    packing._pause()
+    time.sleep(0.5)
+    again = packing._remembering(None, 2)
+    assert again is not encode and encode([b"some words"]) == again([b"some words"]) == before
+
+
+def test_packing_chains_no_python_workers(docs):
+    plan = packing.pack(docs, capacity=64)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
